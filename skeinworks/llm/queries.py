@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skeinworks.llm import bpe, exact_dedup, language_id, mixing, simhash_dedup
+from skeinworks.llm import bpe, exact_dedup, language_id, mixing, simhash_dedup, token_files
 
 #: The vocabulary that the queries encode with; other paths are a parameter of the operators.
 VOCABULARY = "byte_bpe_50k.json"
@@ -36,6 +36,11 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(_table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = token_files.write_tokens(_table(spark, sf_dir, "documents"), vocabulary_path())
+    return token_files.read_tokens(shards).withColumnRenamed("id", "doc_id")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -45,6 +50,7 @@ QUERIES = {
     "op4_language_id": op4_language_id,
     "op5_mixing": op5_mixing,
     "op7_bpe": op7_bpe,
+    "op8_token_files": op8_token_files,
     "op9_exact_dedup": op9_exact_dedup,
 }
 

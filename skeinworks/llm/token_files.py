@@ -185,7 +185,8 @@ def write_tokens(df: DataFrame, vocabulary: str, folder: str | None = None, end_
                 out.add(docs, [np.concatenate([ids, end]) for ids in enc.encode([t or "" for t in texts])])
         if out:
             path, n_docs, n_ids = out.close()
-            yield pa.RecordBatch.from_pydict({"shard": pa.array([part], pa.int32()), "path": [path], "n_docs": [n_docs], "n_ids": [n_ids]})
+            uri = f"{folder.rstrip('/')}/{path.rpartition('/')[2]}"
+            yield pa.RecordBatch.from_pydict({"shard": pa.array([part], pa.int32()), "path": [uri], "n_docs": [n_docs], "n_ids": [n_ids]})
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     n = files or shuffle_partitions(spark)
@@ -202,7 +203,7 @@ def read_tokens(shards: DataFrame, with_ids: bool = False) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, start in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                file = TokenFile(Reader("/" if "://" not in path else path), path)
+                file = TokenFile(Reader(path), filesystem(path)[1])
                 step = max(1, 4_000_000 // max(1, file.n_ids // max(1, len(file.docs))))
                 for a in range(0, len(file.docs), step):
                     b = min(len(file.docs), a + step)
