@@ -31,6 +31,13 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/skein-{name}-{uuid.uuid4().hex}"
 
 
+def make_dir(spark: SparkSession, folder: str) -> str:
+    """The folder, which exists from now on."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
+    return folder
+
+
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """The rows as a table in the shared folder, which cuts lineage and outlives lost executors."""
     path = new_path(df.sparkSession, name)

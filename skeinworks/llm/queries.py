@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skeinworks.llm import bpe, exact_dedup, language_id, mixing, simhash_dedup, token_files
+from skeinworks.llm import bpe, exact_dedup, language_id, mixing, simhash_dedup, token_files, warc
 
 #: The vocabulary that the queries encode with; other paths are a parameter of the operators.
 VOCABULARY = "byte_bpe_50k.json"
@@ -45,6 +45,10 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES = {
     "op2_simhash": op2_simhash,
     "op4_language_id": op4_language_id,
@@ -52,6 +56,7 @@ QUERIES = {
     "op7_bpe": op7_bpe,
     "op8_token_files": op8_token_files,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_warc": op10_warc,
 }
 
 OP5_SQL = r"""
@@ -90,4 +95,18 @@ select doc_id, first_value(doc_id) over w as keep_id, count(*) over (partition b
 from b window w as (partition by text_sha256 order by chars desc, doc_id nulls last, r rows between unbounded preceding and unbounded following)
 """
 
-ORACLE_SQL = {"op5_mixing": OP5_SQL, "op9_exact_dedup": OP9_SQL}
+OP10_SQL = r"""
+with d as (
+  select page_id, octet_length(encode(coalesce(html, '')))::bigint as payload_bytes, sha1(coalesce(html, '')) as s from pages
+), w as (
+  select *, max(page_id) over (partition by s) as best from d
+)
+select page_id, payload_bytes,
+  list_aggregate(list_transform(range(0, 40, 5), lambda k: list_aggregate(list_transform([15, 10, 5, 0],
+    lambda b: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(s, (k + 1)::int, 5))::bigint >> b) & 31)::int + 1, 1)), 'string_agg', '')), 'string_agg', '') as payload_digest,
+  case when page_id = best then 'response' else 'revisit' end as record_type,
+  case when page_id = best then null else best end as refers_to
+from w
+"""
+
+ORACLE_SQL = {"op5_mixing": OP5_SQL, "op9_exact_dedup": OP9_SQL, "op10_warc": OP10_SQL}

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skeinworks.llm.common import new_path, shuffle_partitions, written
+from skeinworks.llm.common import make_dir, new_path, shuffle_partitions, written
 from skeinworks.llm.files import Reader, filesystem, new_name
 from skeinworks.llm.pretokens import pieces
 
@@ -171,8 +171,7 @@ def encoder(path: str) -> Encoder:
 def write_tokens(df: DataFrame, vocabulary: str, folder: str | None = None, end_id: int | None = 0, id_col: str = "doc_id", text_col: str = "text", files: int | None = None) -> DataFrame:
     """Writes the files; a row per file: shard (ascending with the ids), path, n_docs, n_ids, and start, the ids before it."""
     spark = df.sparkSession
-    folder = folder or new_path(spark, "tokens")
-    spark._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(spark._jvm.org.apache.hadoop.fs.Path(folder))
+    folder = make_dir(spark, folder or new_path(spark, "tokens"))
     end = np.array([] if end_id is None else [end_id], np.uint32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
