@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skeinworks.llm import bpe, exact_dedup, language_id, mixing, simhash_dedup, token_files, warc
+from skeinworks.llm import bpe, exact_dedup, language_id, media, mixing, simhash_dedup, token_files, warc
 
 #: The vocabulary that the queries encode with; other paths are a parameter of the operators.
 VOCABULARY = "byte_bpe_50k.json"
@@ -20,6 +20,10 @@ def vocabulary_path() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.round_trip(_table(spark, sf_dir, "documents"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_media": op1_media,
     "op2_simhash": op2_simhash,
     "op4_language_id": op4_language_id,
     "op5_mixing": op5_mixing,
