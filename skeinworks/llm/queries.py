@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skeinworks.llm import bpe, exact_dedup, language_id, media, mixing, simhash_dedup, token_files, warc
+from skeinworks.llm import bpe, exact_dedup, language_id, lm_score, media, mixing, simhash_dedup, token_files, warc
 
 #: The vocabulary that the queries encode with; other paths are a parameter of the operators.
 VOCABULARY = "byte_bpe_50k.json"
@@ -36,6 +36,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(_table(spark, sf_dir, "documents"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(_table(spark, sf_dir, "documents"), vocabulary_path())
 
@@ -58,6 +62,7 @@ QUERIES = {
     "op2_simhash": op2_simhash,
     "op4_language_id": op4_language_id,
     "op5_mixing": op5_mixing,
+    "op6_lm_score": op6_lm_score,
     "op7_bpe": op7_bpe,
     "op8_token_files": op8_token_files,
     "op9_exact_dedup": op9_exact_dedup,
