@@ -37,8 +37,8 @@ END = b"\n"  # no word has white space
 WORDS, RARE, DIM = 960, 64, 16
 HEAD = 1 << 17
 NOISE = 32
-BATCH = 2048
-RATE = 0.1
+BATCH = 1024
+RATE = 0.3
 #: Shares of the training texts, in 64ths, that the rounds pass over.
 ROUNDS = (4, 20, 40)
 #: Distinct words that a map task counts before it hands them on.

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from skeinworks.llm import bpe, exact_dedup, language_id, lm_score, media, mixing, simhash_dedup, token_files, warc
+from skeinworks.llm import bpe, exact_dedup, language_id, line_dedup, lm_score, media, mixing, simhash_dedup, token_files, warc
 
 #: The vocabulary that the queries encode with; other paths are a parameter of the operators.
 VOCABULARY = "byte_bpe_50k.json"
@@ -28,6 +29,12 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = line_dedup.dedup_lines(_table(spark, sf_dir, "documents"))
+    n_dropped = F.size("dropped").cast("long")
+    return lines.select("doc_id", "n_lines", n_dropped.alias("n_dropped"), F.array_join("dropped", ",").alias("dropped"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(_table(spark, sf_dir, "documents"))
 
@@ -60,6 +67,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_media": op1_media,
     "op2_simhash": op2_simhash,
+    "op3_line_dedup": op3_line_dedup,
     "op4_language_id": op4_language_id,
     "op5_mixing": op5_mixing,
     "op6_lm_score": op6_lm_score,
