@@ -1,9 +1,9 @@
 """Pigeonhole blocks over 64-bit fingerprints: which fingerprints share a block, dealt out in tiles of bounded size.
 
-Fingerprints that differ in RADIUS bits at most, cut into RADIUS + c blocks, agree on c blocks at least. Each choice of
-c blocks is a mask, and all fingerprints that share the masked bits form a bucket. c is the least number for which random
-fingerprints fill a bucket with FILL at most: one choice of 16 bits, then of about 26, 32 and 37 bits as the input grows.
-No link is lost for any c. A bucket with more than `tile` rows is dealt out as pairs of its chunks.
+Fingerprints that differ in r bits at most, cut into r + c blocks, agree on c blocks at least. Each choice of c blocks is
+a mask, and all fingerprints that share the masked bits form a bucket. c is the least number for which random fingerprints
+fill a bucket with `fill` at most, so that buckets stay small as the input grows (r = 3: 4 masks of 16 bits, then 10 of 25,
+20 of 31, 35 of 36). No link is lost for any c. A bucket with more than `tile` rows is dealt out as pairs of its chunks.
 """
 
 from __future__ import annotations
@@ -13,12 +13,10 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-RADIUS = 3
-FILL = 64
 MOST_CHOSEN = 4
 
 
-def masks(chosen: int, radius: int = RADIUS) -> list[int]:
+def masks(chosen: int, radius: int) -> list[int]:
     """The masks of all choices of `chosen` among radius + chosen blocks."""
     n = radius + chosen
     cuts = [round(64 * k / n) for k in range(n + 1)]
@@ -26,12 +24,13 @@ def masks(chosen: int, radius: int = RADIUS) -> list[int]:
     return [sum(x) for x in combinations(blocks, chosen)]
 
 
-def masks_for(n_rows: int) -> list[int]:
-    """The masks of the least choice whose buckets hold FILL random fingerprints at most."""
+def masks_for(n_rows: int, radius: int, fill: int) -> list[int]:
+    """The masks of the least choice whose buckets hold `fill` random fingerprints at most."""
     for chosen in range(1, MOST_CHOSEN):
-        if n_rows <= FILL << min(m.bit_count() for m in masks(chosen)):
-            return masks(chosen)
-    return masks(MOST_CHOSEN)
+        found = masks(chosen, radius)
+        if n_rows <= fill << min(m.bit_count() for m in found):
+            return found
+    return masks(MOST_CHOSEN, radius)
 
 
 def signed(x: int) -> int:

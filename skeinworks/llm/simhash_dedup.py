@@ -1,8 +1,9 @@
 """SimHash near-dedup with a Gray-order hierarchical index.
 
-Fingerprints within 3 bits agree on at least one of 4 blocks of 16 bits. The top nodes of the index are therefore the
-(block, value) pairs: a shared masked bit pattern with no difference so far, and the shuffle key, so every fingerprint
-is looked up 4 times at any size and nothing is broadcast. Below a top node fingerprints are sorted by Gray rank and
+Fingerprints within 3 bits agree on at least one of 4 blocks of 16 bits, or on c of 3 + c blocks. The top nodes of the
+index are therefore (mask, value) pairs: a shared masked bit pattern with no difference so far, and the shuffle key, so
+nothing is broadcast. Longer patterns are taken as fingerprints grow in number (blocks.masks_for), so that top nodes stay
+small and the work follows the input. Below a top node fingerprints are sorted by Gray rank and
 indexed by gray_index.GrayIndex, which prunes groups by accumulated differences. A top node with more than TILE
 distinct fingerprints is dealt out as pairs of its chunks. A task hands on a spanning forest of the links that it
 finds, never all pairs, and components.connected_components joins the forests.
@@ -21,11 +22,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skeinworks.llm.blocks import masks_for, tiles
 from skeinworks.llm.common import shuffle_partitions, written
 from skeinworks.llm.components import connected_components
 from skeinworks.llm.gray_index import GrayIndex, forest, gray_rank
 
 RADIUS = 3
+#: Random fingerprints that a top node may hold before longer patterns are taken.
+FILL = 64
 #: Distinct fingerprints of one top node that a task takes as a whole; beyond, two chunks at a time.
 TILE = 1024
 
@@ -63,21 +67,6 @@ def fingerprints(df: DataFrame, id_col: str, text_col: str, shingle_words: int =
     return df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, fp long")
 
 
-def tiles(distinct: DataFrame, tile: int = TILE) -> DataFrame:
-    """(tile, fp) for each top node with two fingerprints or more; a large one gives a tile for each pair of chunks."""
-    blocks = F.array(*[F.struct(F.lit(k).alias("block"), F.shiftrightunsigned("fp", 16 * k).bitwiseAND(0xFFFF).alias("value")) for k in range(4)])
-    nodes = distinct.select("fp", F.inline(blocks))
-    sizes = nodes.groupBy("block", "value").count().filter("count > 1")
-    at = nodes.join(sizes, ["block", "value"])
-    half = tile // 2
-    n_chunks = F.when(F.col("count") <= tile, 1).otherwise(F.ceil(F.col("count") / half)).cast("int")
-    at = at.select("block", "value", "fp", n_chunks.alias("k"), F.pmod(F.xxhash64("fp", "block"), n_chunks).cast("int").alias("chunk"))
-    others = F.when(F.col("k") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("k") - 1))
-    at = at.select("block", "value", "fp", "chunk", F.explode(others).alias("other"))
-    key = F.xxhash64("block", "value", F.least("chunk", "other"), F.greatest("chunk", "other"))
-    return at.select(key.alias("tile"), "fp")
-
-
 def _links(values: np.ndarray, groups: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """(fingerprint, its forest's root) for the fingerprints that a link within these tiles joins to another."""
     order = np.lexsort((gray_rank(values), groups))
@@ -122,10 +111,8 @@ def _search(radius: int, held: int = 1 << 18):
 
 def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """(a, b): a spanning forest, per tile, of all links of at most `radius` bits between distinct fingerprints."""
-    if not 0 <= radius <= 3:
-        raise ValueError("four blocks find links of 3 bits at most")
     parts = shuffle_partitions(distinct.sparkSession)
-    dealt = tiles(distinct, tile).repartition(parts, "tile").sortWithinPartitions("tile")
+    dealt = tiles(distinct, masks_for(distinct.count(), radius, FILL), tile).select("tile", "fp").repartition(parts, "tile").sortWithinPartitions("tile")
     return dealt.mapInArrow(_search(radius), "a long, b long")
 
 
