@@ -1,4 +1,7 @@
 """The library's queries by name, and their SQL."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from skeinworks.plans import graph_queries
+
+MODULES = (graph_queries,)
+QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
+ORACLE_SQL = {k: s for m in MODULES for k, s in m.ORACLE_SQL.items()}
