@@ -34,7 +34,7 @@ MEDIUM = (
 )
 
 #: Roles by the names that occur for them.
-ROLES = {"user": ("user",), "assistant": ("assistant", "ghidrassist"), "tool_call": ("tool call", "tool_call", "tool"), "tool_response": ("tool response", "tool_response"), "error": ("error",), "edited": ("edited",)}
+ROLES = {"user": ("user",), "assistant": ("assistant",), "tool_call": ("tool call", "tool_call", "tool"), "tool_response": ("tool response", "tool_response"), "error": ("error",), "edited": ("edited",)}
 
 
 def summary_category(text: Column) -> Column:
@@ -57,7 +57,7 @@ def truncated(text: Column, most: int) -> Column:
 def truncated_at_line(text: Column, most: int) -> Column:
     """Cut at the last line end before `most`, if there is one, with a mark."""
     head = F.substring(text, 1, most)
-    cut = F.when(head.contains("\n"), F.regexp_replace(head, r"\n[^\n]*$", "")).otherwise(head)
+    cut = F.when(head.contains("\n"), F.regexp_replace(head, r"\n[^\n]*\z", "")).otherwise(head)
     return F.when(F.length(text) > most, F.concat(cut, F.lit("\n// ... [truncated]"))).otherwise(text)
 
 

@@ -45,6 +45,10 @@ def postings(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(id_col, F.explode(tokens(F.col(text_col))).alias("term")).groupBy("term", id_col).agg(F.count("*").alias("tf"))
 
 
+def _is(term: str):
+    return lambda word: word == term
+
+
 def bm25(df: DataFrame, id_col: str, text_col: str, query: str, file_col: str | None = None) -> DataFrame:
     """(id, score, saturated) of the rows that match any term of the query.
 
@@ -53,7 +57,7 @@ def bm25(df: DataFrame, id_col: str, text_col: str, query: str, file_col: str |
     """
     terms = sorted({t for t in query.lower().split() if t})
     words = tokens(F.col(text_col))
-    counted = df.select(id_col, *([file_col] if file_col else []), F.size(words).alias("n"), *[F.size(F.filter(words, lambda w, t=t: w == t)).alias(f"tf{k}") for k, t in enumerate(terms)])
+    counted = df.select(id_col, *([file_col] if file_col else []), F.size(words).alias("n"), *[F.size(F.filter(words, _is(t))).alias(f"tf{k}") for k, t in enumerate(terms)])
     total = counted.agg(F.count("*").alias("docs"), F.avg("n").alias("mean"), *[F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(terms))])  # one row
     joined = counted.join(F.broadcast(total))
     score = F.lit(0.0)
