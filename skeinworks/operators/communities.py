@@ -78,7 +78,7 @@ def records(members: DataFrame, nodes: DataFrame) -> DataFrame:
         F.count("*").alias("members"),
         F.sum((F.size("flags") > 0).cast("long")).alias("flagged"),
         F.sum(F.size("flags").cast("long")).alias("score"),
-        F.min_by(named, F.struct(F.length(named), named)).alias("shortest"),
+        F.min_by(named, F.when(named.isNotNull(), F.struct(F.length(named), named))).alias("shortest"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("flags")))).alias("flags"),
         F.bool_or(F.lower(named).rlike("|".join(PURPOSES[0][1]))).alias("network_names"),
     )
