@@ -13,6 +13,8 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skeinworks.llm.common import written
+
 MOST_CHOSEN = 4
 
 
@@ -37,19 +39,26 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def tiles(rows: DataFrame, bit_masks: list[int], tile: int) -> DataFrame:
-    """`rows` (fp and others) with mask (its number), chunk, mixed (whether two chunks meet) and tile.
+def nodes(rows: DataFrame, bit_masks: list[int]) -> DataFrame:
+    """`rows` (fp and others) once per mask, with mask (its number) and value (the masked bits)."""
+    choices = F.array(*[F.struct(F.lit(k).alias("mask"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("value")) for k, m in enumerate(bit_masks)])
+    return rows.select(*rows.columns, F.inline(choices))
+
 
-    A row comes once for each bucket of two rows or more that it is in, and once for each of a large bucket's chunks.
+def tiles(rows: DataFrame, bit_masks: list[int], tile: int, least: int = 1) -> DataFrame:
+    """`rows` (fp and others) with mask, chunk, mixed (whether two chunks meet) and tile.
+
+    A row comes once for each bucket that it is in, and once for each of a large bucket's chunks. Bucket sizes are counted
+    by a partial aggregate; sizes that matter (large ones, or all of `least` rows or more) are few and a table of their
+    own, so that the join takes the plan that their size allows and the rows need not be shuffled for it.
     """
     others = [c for c in rows.columns if c != "fp"]
-    choices = F.array(*[F.struct(F.lit(k).alias("mask"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("value")) for k, m in enumerate(bit_masks)])
-    nodes = rows.select("fp", *others, F.inline(choices))
-    sizes = rows.select("fp", F.inline(choices)).groupBy("mask", "value").count().filter("count > 1")
-    at = nodes.join(sizes, ["mask", "value"])
-    n_chunks = F.when(F.col("count") <= tile, 1).otherwise(F.ceil(F.col("count") / (tile // 2))).cast("int")
-    salt = F.xxhash64("fp", "mask", *others[:1])
-    at = at.withColumn("k", n_chunks).withColumn("chunk", F.pmod(salt, F.col("k")).cast("int"))
+    sizes = nodes(rows.select("fp"), bit_masks).groupBy("mask", "value").count()
+    sizes = written(sizes.filter(F.col("count") > (tile if least < 2 else least - 1)), "buckets")
+    at = nodes(rows, bit_masks).join(sizes, ["mask", "value"], "left" if least < 2 else "inner")
+    size = F.coalesce("count", F.lit(1))
+    n_chunks = F.when(size <= tile, 1).otherwise(F.ceil(size / (tile // 2))).cast("int")
+    at = at.withColumn("k", n_chunks).withColumn("chunk", F.pmod(F.xxhash64("fp", "mask", *others[:1]), F.col("k")).cast("int"))
     at = at.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     key = F.xxhash64("mask", "value", F.least("chunk", "other"), F.greatest("chunk", "other"))
     return at.select("fp", *others, "mask", "chunk", (F.col("chunk") != F.col("other")).alias("mixed"), key.alias("tile"))

@@ -189,11 +189,16 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
 def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """The rows that exact_dedup keeps, with all their columns."""
     rows, index = build_index(df, id_col, text_col, capacity)
-    sha = F.sha2(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SPACES, "").cast("binary"), 256)
-    order_id = F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID))
-    best = index.select(F.col("sha").alias("__sha"), F.col("best_id").alias("__id"), F.col("best_chars").alias("__chars"), F.col("ties").alias("__ties"))
-    chars = F.char_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long")
-    found = df.withColumns({"__sha": sha, "__id": order_id, "__chars": chars}).join(best, ["__id", "__sha", "__chars"])
-    tied = found.filter("__ties > 1").dropDuplicates(["__id", "__sha"]) if not best.filter("__ties > 1").isEmpty() else None
-    found = found.filter("__ties = 1")
-    return (found.unionByName(tied) if tied is not None else found).select(*df.columns)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    base = df.select(
+        F.struct(*df.columns).alias("row"),
+        F.sha2(F.regexp_replace(text, SPACES, "").cast("binary"), 256).alias("sha"),
+        F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("best_id"),
+        F.char_length(text).cast("long").alias("best_chars"),
+    )
+    best = index.select("sha", "best_id", "best_chars", "ties")
+    found = base.join(best, ["best_id", "sha", "best_chars"])
+    out = found.filter("ties = 1").select("row")
+    if not best.filter("ties > 1").isEmpty():
+        out = out.unionByName(found.filter("ties > 1").dropDuplicates(["best_id", "sha"]).select("row"))
+    return out.select("row.*")

@@ -36,7 +36,8 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     """(source, place, source_size, target) of each source of `sized` (source, size).
 
     Targets are proportional to the weights up to `most` times the source's size; the excess goes to the others by
-    weight. Sources in the order of caps by weight: as many are capped as leave the others' level below their caps.
+    weight. Sources in the order of caps by weight: the first of them are capped, as few as leave the others below their
+    caps at the level that remains. Capping more leaves a lower level, so the right level is the highest that fits.
     """
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     by_name = Window.partitionBy(F.lit(1)).orderBy(F.col("source").asc_nulls_last())
@@ -49,7 +50,7 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     left = total - F.coalesce(F.sum("cap").over(before), F.lit(0.0))
     weight_left = F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
     level = ranked.withColumn("level", left / weight_left)
-    level = level.withColumn("level", F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(every))
+    level = level.withColumn("level", F.max(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(every))
     return level.select("source", "place", "source_size", F.least("cap", F.coalesce(F.col("level") * F.col("weight"), F.col("cap"))).alias("target"))
 
 
@@ -95,14 +96,13 @@ def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Rows that share an id and a size share out what is taken of them, in turn.
     """
     copies = mix(df.select(id_col, text_col, source_col), id_col, text_col, source_col, **settings)
-    taken = copies.groupBy(F.col(id_col).alias("__id"), F.col("size").alias("__size"), F.col("source").alias("__source")).agg(F.count("*").alias("__rows"), F.sum("copies").alias("__copies"))
-    sized = df.withColumn("__words", n_words(F.col(text_col).cast("string")))
-    match = sized[id_col].eqNullSafe(taken["__id"]) & (sized["__words"] == taken["__size"]) & sized[source_col].eqNullSafe(taken["__source"])
-    found = sized.join(taken.filter("__copies > 0"), match)
-    alone = found.filter("__rows = 1").withColumn("__n", F.col("__copies"))
-    out = alone
-    if not taken.filter("__rows > 1").isEmpty():
-        turn = F.row_number().over(Window.partitionBy("__id", "__size", "__source").orderBy(F.xxhash64(text_col)))
-        share = F.floor(F.col("__copies") * turn / F.col("__rows")) - F.floor(F.col("__copies") * (turn - 1) / F.col("__rows"))
-        out = alone.unionByName(found.filter("__rows > 1").withColumn("__n", share))
-    return out.withColumn("__n", F.explode(F.array_repeat(F.lit(0), F.col("__n").cast("int")))).select(*df.columns)
+    taken = copies.groupBy(F.col(id_col).alias("t_id"), F.col("size").alias("t_size"), F.col("source").alias("t_source")).agg(F.count("*").alias("n_rows"), F.sum("copies").alias("n_copies"))
+    rows = df.select(F.struct(*df.columns).alias("row"), F.col(id_col).alias("id"), n_words(F.col(text_col).cast("string")).alias("size"), F.col(source_col).alias("source"), F.xxhash64(text_col).alias("hash"))
+    match = rows["id"].eqNullSafe(taken["t_id"]) & (rows["size"] == taken["t_size"]) & rows["source"].eqNullSafe(taken["t_source"])
+    found = rows.join(taken.filter("n_copies > 0"), match)
+    out = found.filter("n_rows = 1").select("row", F.col("n_copies").alias("n"))
+    if not taken.filter("n_rows > 1").isEmpty():
+        turn = F.row_number().over(Window.partitionBy("id", "size", "source").orderBy("hash"))
+        share = F.floor(F.col("n_copies") * turn / F.col("n_rows")) - F.floor(F.col("n_copies") * (turn - 1) / F.col("n_rows"))
+        out = out.unionByName(found.filter("n_rows > 1").select("row", share.alias("n")))
+    return out.select("row", F.explode(F.array_repeat(F.lit(0), F.col("n").cast("int")))).select("row.*")

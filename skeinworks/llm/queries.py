@@ -84,13 +84,14 @@ with sized as (
   select source, sum(size)::bigint as source_size, row_number() over (order by source nulls last) - 1 as place from sized group by source
 ), ranked as (
   select *, (case place % 3 when 0 then 5.0 when 1 then 2.0 else 1.0 end)::double as weight, 2.0::double * source_size as cap from totals
-), levels as (
-  select *, (1.5::double * sum(source_size) over ()
-       - coalesce(sum(cap) over (order by cap / weight, place rows between unbounded preceding and 1 preceding), 0))
-     / (sum(weight) over () - coalesce(sum(weight) over (order by cap / weight, place rows between unbounded preceding and 1 preceding), 0)) as level
-  from ranked
+), filled as (
+  -- what all sources take together when each takes `level` by weight up to its cap, at each level at which one is full
+  select l.cap / l.weight as level, sum(least(r.cap, l.cap / l.weight * r.weight)) as takes from ranked l, ranked r group by l.place, 1
+), below as (
+  select coalesce(max(level), 0) as level, coalesce(max_by(takes, level), 0) as takes from filled where takes <= 1.5::double * (select sum(source_size) from ranked)
 ), targets as (
-  select source, source_size, least(cap, coalesce(min(case when level * weight <= cap then level end) over () * weight, cap)) as target from levels
+  select source, source_size, least(cap, (b.level + (1.5::double * (select sum(source_size) from ranked) - b.takes)
+    / (select nullif(sum(weight), 0) from ranked where cap / weight > b.level)) * weight) as target from ranked, below b
 ), placed as (
   select s.doc_id, s.size, t.source_size, t.target,
     case when t.source_size > 0 then t.target / t.source_size else 0 end as rate,

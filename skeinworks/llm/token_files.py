@@ -34,6 +34,7 @@ BLOCK = 1 << 13
 TAIL = struct.Struct("<QQII8s")
 KEPT_PIECES = 500_000
 LONGEST_KEPT = 64
+JOINED = 2000
 
 
 def width_of(n_ids: int) -> int:
@@ -129,7 +130,7 @@ class TokenFile:
 
 
 class Encoder:
-    """The tokenizers library's ids, asked for once per piece."""
+    """The tokenizers library's ids, asked for once per piece; pieces met lately are kept, in two generations."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -138,12 +139,30 @@ class Encoder:
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.n_ids = self.library.get_vocab_size(with_added_tokens=True)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _ask(self, new: list[str]) -> dict[str, bytes]:
+        """The library's ids of pieces. Words with a blank before them go as one text, which falls into the same pieces."""
+        found, words = {}, [p for p in new if p[0] == " " and p[1:].isalpha()]
+        for at in range(0, len(words), JOINED):
+            part = words[at : at + JOINED]
+            e = self.library.encode("".join(part), add_special_tokens=False)
+            ids, owner = np.array(e.ids, "<u4"), np.array(e.word_ids, np.int64)
+            ends = np.searchsorted(owner, np.arange(len(part)), "right")
+            if len(owner) and owner[-1] == len(part) - 1:
+                data = ids.tobytes()
+                cuts = [0, *(4 * ends).tolist()]
+                found.update((p, data[x:y]) for p, x, y in zip(part, cuts, cuts[1:], strict=False))
+        rest = [p for p in new if p not in found]
+        found.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False), strict=True))
+        return found
 
     def _learn(self, new: list[str]) -> dict[str, bytes]:
-        """The ids of pieces that aren't known; short ones are kept."""
-        found = {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True)}
-        if len(self.known) > KEPT_PIECES:
-            self.known.clear()
+        """The ids of pieces that aren't among the latest; short ones are kept from now on."""
+        found = {p: i for p in new if (i := self.older.get(p)) is not None}
+        found |= self._ask([p for p in new if p not in found])
+        if len(self.known) + len(found) > KEPT_PIECES:
+            self.older, self.known = self.known, {}
         self.known.update((p, i) for p, i in found.items() if len(p) <= LONGEST_KEPT)
         return found
 
@@ -151,15 +170,16 @@ class Encoder:
         """As encode_batch(texts, add_special_tokens=False); a text with a special token goes to the library whole."""
         whole = {k for k, t in enumerate(texts) if any(s in t for s in self.special)}
         cut = [[] if k in whole else pieces(t) for k, t in enumerate(texts)]
-        known = dict(self.known) if len(self.known) > KEPT_PIECES else self.known
-        new = list({p for c in cut for p in c if p not in known})
-        found = self._learn(new) if new else {}
+        get = self.known.get
+        ids = [list(map(get, c)) for c in cut]
+        new = dict.fromkeys(p for c, v in zip(cut, ids, strict=True) if None in v for p, i in zip(c, v, strict=True) if i is None)
+        found = self._learn(list(new)) if new else {}
         out = []
-        for k, c in enumerate(cut):
+        for k, (c, v) in enumerate(zip(cut, ids, strict=True)):
             if k in whole:
                 out.append(np.array(self.library.encode(texts[k], add_special_tokens=False).ids, np.uint32))
             else:
-                out.append(np.frombuffer(b"".join([known.get(p) or found[p] for p in c]), "<u4"))
+                out.append(np.frombuffer(b"".join([found[p] if i is None else i for p, i in zip(c, v, strict=True)] if None in v else v), "<u4"))
         return out
 
 
