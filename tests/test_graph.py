@@ -89,3 +89,28 @@ def test_label_propagation(spark):
 def test_no_edges(spark):
     assert communities.label_propagation(graph.calls(edges(spark, []))).count() == 0
     assert graph.siblings(edges(spark, [])).count() == 0
+
+
+def test_building(spark):
+    from skeinworks.operators import build
+
+    functions = spark.createDataFrame(
+        [(0, 9, "main", False, False, None), (16, 31, "thunk_a", True, False, 32), (32, 47, "thunk_b", True, False, 48), (48, 60, "real", False, False, None), (64, 70, "__imp__recv@16", False, True, None), (80, 90, "__imp__lost@4", True, False, None)],
+        "address long, end_address long, name string, is_thunk boolean, is_external boolean, thunk_target long",
+    )
+    refs = spark.createDataFrame([(3, 17), (4, 50), (5, 64), (6, 81), (7, 999), (50, 48), (500, 0), (None, 16)], "from_addr long, to_addr long")
+    assert rows(build.call_edges(functions, refs), "source_id", "target_id") == [("0", "48"), ("0", "ext:lost"), ("0", "ext:recv"), ("48", "48")]
+    assert rows(build.reference_edges(functions, refs), "source_id", "target_id") == [(0, 16), (0, 48), (0, 64), (0, 80)]
+
+
+def test_records(spark):
+    from skeinworks.operators import build
+
+    pending = spark.createDataFrame([(5, None, 2, "late"), (5, None, 1, None), (None, "x", 3, None), (None, "x", 4, "y")], "address long, name string, seq int, content string")
+    assert sorted((r.seq, r.content) for r in build.first_wins(pending).collect()) == [(1, "late"), (3, "y")]
+    wanted = spark.createDataFrame([("a", "b", "RELATED_TO", 7.0), ("a", "b", "RELATED_TO", None), ("a", "c", "CALLS", 0.5), ("x", "y", "IMPLEMENTS", -1.0)], "source_id string, target_id string, type string, confidence double")
+    none = wanted.filter("false")
+    assert rows(build.user_edges(wanted, none), "source_id", "weight") == [("a", 1.0), ("x", 0.0)]
+    assert build.user_edges(wanted, wanted).count() == 0
+    items = build.todo_items(spark.createDataFrame([(1, "# plan\n- [x] one\n2. two\n* three\nfree text\n- ")], "o int, t string"), "o", "t")
+    assert rows(items, "seq", "task", "priority") == [(1, "one", 10), (2, "two", 9), (3, "three", 8)]
