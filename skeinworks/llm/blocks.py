@@ -8,12 +8,15 @@ fill a bucket with `fill` at most, so that buckets stay small as the input grows
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skeinworks.llm.common import written
+from skeinworks.llm.gray_index import GrayIndex, gray_rank
 
 MOST_CHOSEN = 4
 
@@ -45,20 +48,51 @@ def nodes(rows: DataFrame, bit_masks: list[int]) -> DataFrame:
     return rows.select(*rows.columns, F.inline(choices))
 
 
-def tiles(rows: DataFrame, bit_masks: list[int], tile: int, least: int = 1) -> DataFrame:
-    """`rows` (fp and others) with mask, chunk, mixed (whether two chunks meet) and tile.
+def tiles(at: DataFrame, tile: int) -> DataFrame:
+    """Rows of nodes() with chunk, mixed (whether two chunks meet) and tile, without value.
 
-    A row comes once for each bucket that it is in, and once for each of a large bucket's chunks. Bucket sizes are counted
-    by a partial aggregate; sizes that matter (large ones, or all of `least` rows or more) are few and a table of their
-    own, so that the join takes the plan that their size allows and the rows need not be shuffled for it.
+    A row comes once, or once for each of a large bucket's chunks. Bucket sizes are counted by a partial aggregate; the
+    large ones are few and a table of their own, so that the join takes the plan that their size allows and the rows need
+    not be shuffled for it.
     """
-    others = [c for c in rows.columns if c != "fp"]
-    sizes = nodes(rows.select("fp"), bit_masks).groupBy("mask", "value").count()
-    sizes = written(sizes.filter(F.col("count") > (tile if least < 2 else least - 1)), "buckets")
-    at = nodes(rows, bit_masks).join(sizes, ["mask", "value"], "left" if least < 2 else "inner")
-    size = F.coalesce("count", F.lit(1))
-    n_chunks = F.when(size <= tile, 1).otherwise(F.ceil(size / (tile // 2))).cast("int")
-    at = at.withColumn("k", n_chunks).withColumn("chunk", F.pmod(F.xxhash64("fp", "mask", *others[:1]), F.col("k")).cast("int"))
+    sizes = at.groupBy("mask", "value").count().filter(F.col("count") > tile)
+    at = at.join(written(sizes, "buckets"), ["mask", "value"], "left")
+    n_chunks = F.when(F.col("count").isNull(), 1).otherwise(F.ceil(F.col("count") / (tile // 2))).cast("int")
+    others = [c for c in at.columns if c not in ("value", "count")]
+    at = at.withColumn("k", n_chunks).withColumn("chunk", F.pmod(F.xxhash64("fp", "mask", *[c for c in others if c == "key"]), F.col("k")).cast("int"))
     at = at.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     key = F.xxhash64("mask", "value", F.least("chunk", "other"), F.greatest("chunk", "other"))
-    return at.select("fp", *others, "mask", "chunk", (F.col("chunk") != F.col("other")).alias("mixed"), key.alias("tile"))
+    return at.select(*others, "chunk", (F.col("chunk") != F.col("other")).alias("mixed"), key.alias("tile"))
+
+
+def near_pairs(fp: np.ndarray, tile: np.ndarray, radius: int, small: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(a, b), a before b, of all rows of one tile within `radius` bits; rows are sorted by tile.
+
+    In tiles of up to `small` rows each row is held against those that follow it; larger ones go through a Gray index.
+    """
+    first = np.flatnonzero(np.r_[True, tile[1:] != tile[:-1]])
+    sizes = np.diff(np.r_[first, len(tile)])
+    end, big = np.repeat(first + sizes, sizes), np.repeat(sizes > small, sizes)
+    a, shift = np.flatnonzero(~big), 1
+    while len(a):
+        a = a[a + shift < end[a]]
+        keep = np.bitwise_count(fp[a] ^ fp[a + shift]) <= radius
+        yield a[keep], a[keep] + shift
+        shift += 1
+    if big.any():
+        at = np.flatnonzero(big)
+        at = at[np.lexsort((gray_rank(fp[at]), tile[at]))]
+        _, group = np.unique(tile[at], return_inverse=True)
+        for x, y in GrayIndex(fp[at], group).pairs(fp[at], group, radius):
+            keep = x != y
+            x, y = at[x[keep]], at[y[keep]]
+            keep = x < y
+            yield x[keep], y[keep]
+
+
+def first_shared(fp: np.ndarray, mask: np.ndarray, a: np.ndarray, b: np.ndarray, bit_masks: np.ndarray) -> np.ndarray:
+    """Whether the mask under which two rows meet is the first that they share."""
+    apart, out = fp[a] ^ fp[b], np.ones(len(a), bool)
+    for k in range(len(bit_masks) - 1):
+        out &= (mask[a] <= k) | ((apart & bit_masks[k]) != 0)
+    return out

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skeinworks.llm.blocks import masks_for, tiles
+from skeinworks.llm.blocks import masks_for, nodes, tiles
 from skeinworks.llm.common import shuffle_partitions, written
 from skeinworks.llm.components import connected_components
 from skeinworks.llm.gray_index import GrayIndex, forest, gray_rank
@@ -112,7 +112,7 @@ def _search(radius: int, held: int = 1 << 18):
 def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """(a, b): a spanning forest, per tile, of all links of at most `radius` bits between distinct fingerprints."""
     parts = shuffle_partitions(distinct.sparkSession)
-    dealt = tiles(distinct, masks_for(distinct.count(), radius, FILL), tile).select("tile", "fp").repartition(parts, "tile").sortWithinPartitions("tile")
+    dealt = tiles(nodes(distinct, masks_for(distinct.count(), radius, FILL)), tile).select("tile", "fp").repartition(parts, "tile").sortWithinPartitions("tile")
     return dealt.mapInArrow(_search(radius), "a long, b long")
 
 

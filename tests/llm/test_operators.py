@@ -149,7 +149,7 @@ def test_blocks_lose_no_pair(spark, chosen):
     near = np.concatenate([base, base ^ np.uint64(1 << 5), base ^ np.uint64(1 << 63 | 1 << 20 | 1 << 41), base ^ np.uint64(0xF)])
     near = np.unique(near)
     df = spark.createDataFrame([(int(x),) for x in near.view(np.int64)], "fp long")
-    tiled = blocks.tiles(df, blocks.masks(chosen, 3), 4).collect()
+    tiled = blocks.tiles(blocks.nodes(df, blocks.masks(chosen, 3)), 4).collect()
     by_tile = defaultdict(set)
     for r in tiled:
         by_tile[r.tile].add(r.fp)
@@ -160,6 +160,15 @@ def test_blocks_lose_no_pair(spark, chosen):
     assert blocks.masks_for(10**12, 3, 64) == blocks.masks(4, 3)
 
 
+def test_near_pairs():
+    rng = np.random.default_rng(8)
+    fp = rng.integers(0, 1 << 12, 900, np.uint64)
+    tile = np.sort(rng.integers(0, 5, 900))
+    for small in (4, 1000):
+        found = sorted((int(x), int(y)) for a, b in blocks.near_pairs(fp, tile, 3, small) for x, y in zip(a, b, strict=True))
+        assert found == [(x, y) for x in range(900) for y in range(x + 1, 900) if tile[x] == tile[y] and int(fp[x] ^ fp[y]).bit_count() <= 3]
+
+
 def test_components(spark):
     chain = [(k, k + 1) for k in range(50)] + [(100, 101), (101, 100), (7, 7), (None, 3)]
     found = {r.node: r.root for r in connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}
