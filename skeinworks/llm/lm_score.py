@@ -11,7 +11,7 @@ each task trains from the same parameters on its own texts, and a shuffle averag
 model has a fixed number of parameters. Batched matrix products give the log normaliser of every pair of context
 classes once; scoring a token then takes three look-ups.
 
-A text's base score needs the count of every word. The HEAD most frequent ones are at hand in the tasks; all other words
+A text's base score needs the count of every word. The most frequent ones (HEAD at most) are at hand in the tasks; all other words
 of a text are joined with the counts by word and summed up by text.
 
 Nulls: a null text is empty and has the end token alone; a null id counts as the empty text for held_out. Repeated rows
@@ -35,7 +35,9 @@ from skeinworks.llm.common import id_bucket, written
 
 END = b"\n"  # no word has white space
 WORDS, RARE, DIM = 960, 64, 16
+#: At most so many words are at hand in the tasks: those of the upper steps of frequency, 32 to a factor of e.
 HEAD = 1 << 17
+STEPS = 32
 NOISE = 32
 BATCH = 1024
 RATE = 0.3
@@ -81,7 +83,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Vocabulary:
-    """head: place of the HEAD most frequent words, in that order. counts: theirs. class_mass: of each class, with add-one."""
+    """head: place of the most frequent words, in that order. counts: theirs. class_mass: of each class, with add-one."""
 
     head: dict[bytes, int]
     counts: np.ndarray
@@ -89,6 +91,7 @@ class Vocabulary:
     class_mass: np.ndarray
     tokens: int
     distinct: int
+    least: int  # the words of this step of frequency and above are in the head, all others are not
 
     def __post_init__(self) -> None:
         self.classes = np.arange(len(self.head), dtype=np.int16)
@@ -125,11 +128,24 @@ def count_words(training: DataFrame, text_col: str) -> DataFrame:
     return written(pairs.groupBy("word").agg(F.sum("n").alias("n")), "counts")
 
 
+def _step() -> Column:
+    """The step of a word's frequency on a logarithmic scale."""
+    return F.floor(F.log("n") * STEPS).cast("int")
+
+
 def vocabulary(counts: DataFrame, words: int = WORDS, head: int = HEAD) -> Vocabulary:
     totals = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
-    top = counts.orderBy(F.desc("n"), "word").limit(head).toPandas()  # at most `head` rows
-    place = {bytes(w): k for k, w in enumerate(top["word"])}
-    n = top["n"].to_numpy(np.int64)
+    sizes = {r.step: r["count"] for r in counts.groupBy(_step().alias("step")).count().collect()}  # a few hundred rows
+    least, held = max(sizes, default=0) + 1, 0
+    for step in sorted(sizes, reverse=True):
+        held += sizes[step]
+        if held > head:
+            break
+        least = step
+    found = counts.filter(_step() >= least).toPandas()  # at most `head` rows
+    top = sorted(zip(found["n"].tolist(), map(bytes, found["word"]), strict=True), key=lambda x: (-x[0], x[1]))
+    place = {w: k for k, (_, w) in enumerate(top)}
+    n = np.array([x for x, _ in top], np.int64)
     own = min(words, len(n))
     rare = F.pmod(F.crc32(F.substring("word", -2, 2)), F.lit(RARE))
     mass = np.ones(own + RARE)
@@ -139,7 +155,7 @@ def vocabulary(counts: DataFrame, words: int = WORDS, head: int = HEAD) -> Vocab
     for word, k in place.items():
         if k < own:
             mass[own + rare_class(word)] -= n[k] + 1
-    return Vocabulary(place, n, own, mass, int(totals.n or 0), int(totals.v))
+    return Vocabulary(place, n, own, mass, int(totals.n or 0), int(totals.v), least)
 
 
 class Model:
@@ -333,9 +349,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     rows = df.select(F.col(id_col).alias("id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
     scored = written(rows.mapInArrow(_scored(model, flat, z, vocab), f"id {kind}, held_out boolean, {_SCORED}"), "scored")
     rest = scored.select("uid", F.explode(F.arrays_zip("words", "counts")).alias("x")).select("uid", F.col("x.words").alias("word"), F.col("x.counts").alias("times"))
-    least = int(vocab.counts[-1]) if len(vocab.counts) else 0
-    # all words without a place in the head have a count of `least` at most; the head's own words of that count never meet a row of rest
-    found = rest.join(counts.filter(F.col("n") <= least), "word").groupBy("uid").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + F.lit(1.0))).alias("gain"))
+    found = rest.join(counts.filter(_step() < vocab.least), "word").groupBy("uid").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + F.lit(1.0))).alias("gain"))
     total = float(np.log10(vocab.tokens + vocab.distinct + 1))
     gain = F.coalesce("gain", F.lit(0.0))
     return scored.drop("words", "counts").join(found, "uid", "left").select(
