@@ -45,16 +45,6 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_written(*tables: DataFrame) -> None:
-    """Deletes written() tables that nothing will read again."""
-    for table in tables:
-        jvm = table.sparkSession._jvm
-        for file in table.inputFiles()[:1]:
-            path = jvm.org.apache.hadoop.fs.Path(file).getParent()
-            if path.getName().startswith("skein-"):
-                path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

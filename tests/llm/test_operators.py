@@ -203,7 +203,7 @@ def dropped_lines(rows):
             if form:
                 places[form].append((d, k))
     forms = list(places)
-    parts = [(k, h) for k, f in enumerate(forms) for h in line_dedup.halves(f)]
+    parts = [(k, h) for k, f in enumerate(forms) for h in line_dedup.halves(f.split(), f)]
     fps = np.array([line_dedup.simhashes([h])[0] for _, h in parts], np.uint64)
     groups = Groups(len(forms))
     for a in range(len(parts)):
