@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from skeinworks.llm.pretokens import pieces
 
 #: Pieces and pairs of tokens that a worker remembers; beyond, it starts anew.
-KEPT_PIECES = 500_000
+KEPT_PIECES = 300_000
 KEPT_PAIRS = 600_000
 LONGEST_KEPT = 64
 
