@@ -7,7 +7,7 @@ by size class, then by stratum, then by size, so that words come close to the ta
 
 The prefix sum of a source with a third of all rows runs in many tasks: rows are counted per (source, size class,
 stratum), the counts are summed up over these few groups, and only ranks within a group need a window. Strata are as
-many as keep a group at about STRATUM rows.
+many as the square root of an eighth of the rows, so that both the groups and their number stay far below the rows.
 
 Nulls: a null text has size 0; the null source is a source of its own, the last one. A source of size 0 has target 0.
 A null id is like any other value. Ties and repeated rows: each row counts for itself. Empty input, empty result.
@@ -15,6 +15,8 @@ A null id is like any other value. Ties and repeated rows: each row counts for i
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,7 +25,6 @@ from skeinworks.llm.common import n_words, written
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MAX_COPIES = 2
-STRATUM = 20_000
 SEED = 42
 
 
@@ -59,7 +60,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     text = F.col(text_col).cast("string")
     sized = written(df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(text).alias("size")), "sizes")
     n_rows = sized.count()
-    strata = n_rows // STRATUM + 1
+    strata = max(1, math.ceil(math.sqrt(n_rows / 8)))
     targets = source_targets(sized, weights, share, most)
     named = sized.withColumns({
         "known": F.col("source").isNotNull(),

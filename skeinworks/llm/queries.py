@@ -97,7 +97,7 @@ with sized as (
     case when t.source_size > 0 then t.target / t.source_size else 0 end as rate,
     ('0x' || substr(md5('42:' || (s.source is not null)::varchar || ':' || coalesce(s.source, '')), 1, 8))::bigint / 4294967296.0::double as off,
     row_number() over (partition by s.source order by length(bin(s.size)),
-      ('0x' || substr(md5(coalesce(s.doc_id::varchar, '')), 1, 8))::bigint % ((select count(*) from sized) // 20000 + 1), s.size, s.doc_id nulls first) as k
+      ('0x' || substr(md5(coalesce(s.doc_id::varchar, '')), 1, 8))::bigint % ceil(sqrt((select count(*) from sized) / 8.0))::bigint, s.size, s.doc_id nulls first) as k
   from sized s join targets t on s.source is not distinct from t.source
 )
 select doc_id, size, source_size, target,
