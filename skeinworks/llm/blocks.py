@@ -68,26 +68,51 @@ def tiles(at: DataFrame, tile: int) -> DataFrame:
 def near_pairs(fp: np.ndarray, tile: np.ndarray, radius: int, small: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(a, b), a before b, of all rows of one tile within `radius` bits; rows are sorted by tile.
 
-    In tiles of up to `small` rows each row is held against those that follow it; larger ones go through a Gray index.
+    The pigeonhole again, within tiles: bits on which a tile's rows differ are cut into radius + 1 parts, of which two near
+    rows share one. Sorted by tile and part, rows with the same part are held against those that follow them; parts that
+    more than `small` rows share go through a Gray index. A pair counts under the first part that it shares.
     """
+    if not len(fp):
+        return
     first = np.flatnonzero(np.r_[True, tile[1:] != tile[:-1]])
-    sizes = np.diff(np.r_[first, len(tile)])
-    end, big = np.repeat(first + sizes, sizes), np.repeat(sizes > small, sizes)
-    a, shift = np.flatnonzero(~big), 1
-    while len(a):
-        a = a[a + shift < end[a]]
-        keep = np.bitwise_count(fp[a] ^ fp[a + shift]) <= radius
-        yield a[keep], a[keep] + shift
-        shift += 1
-    if big.any():
-        at = np.flatnonzero(big)
-        at = at[np.lexsort((gray_rank(fp[at]), tile[at]))]
-        _, group = np.unique(tile[at], return_inverse=True)
-        for x, y in GrayIndex(fp[at], group).pairs(fp[at], group, radius):
-            keep = x != y
-            x, y = at[x[keep]], at[y[keep]]
-            keep = x < y
-            yield x[keep], y[keep]
+    group = np.repeat(np.arange(len(first), dtype=np.uint64), np.diff(np.r_[first, len(tile)]))
+    cuts = [round(64 * k / (2 * radius + 2)) for k in range(2 * radius + 3)]
+    # parts of two distant stretches each, as a tile's own mask is mostly one stretch, on which its rows don't differ
+    stretch = [(1 << b) - (1 << a) for a, b in zip(cuts, cuts[1:], strict=False)]
+    parts = np.array([stretch[k] | stretch[k + radius + 1] for k in range(radius + 1)], np.uint64)
+    for k, part in enumerate(parts):
+        key = _mixed(fp & part) ^ _mixed(group + np.uint64(1) << np.uint64(20))
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        sizes = np.diff(np.r_[start, len(key)])
+        end, big = np.repeat(start + sizes, sizes), np.repeat(sizes > small, sizes)
+
+        def kept(x: np.ndarray, y: np.ndarray, k: int = k, part: np.uint64 = part) -> tuple[np.ndarray, np.ndarray]:
+            apart = fp[x] ^ fp[y]
+            keep = (np.bitwise_count(apart) <= radius) & (group[x] == group[y]) & (apart & part == 0)
+            for earlier in parts[:k]:
+                keep &= (apart & earlier) != 0
+            return np.minimum(x[keep], y[keep]), np.maximum(x[keep], y[keep])
+
+        at, shift = np.flatnonzero(~big & (np.arange(len(key)) + 1 < end)), 1
+        while len(at):
+            yield kept(order[at], order[at + shift])
+            shift += 1
+            at = at[at + shift < end[at]]
+        if big.any():
+            some = order[big]
+            some = some[np.lexsort((gray_rank(fp[some]), group[some]))]
+            _, own = np.unique(group[some], return_inverse=True)
+            for x, y in GrayIndex(fp[some], own).pairs(fp[some], own, radius):
+                keep = x < y
+                yield kept(some[x[keep]], some[y[keep]])
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Numbers scattered over 64 bits."""
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xFF51AFD7ED558CCD)
+    return x ^ (x >> np.uint64(29))
 
 
 def first_shared(fp: np.ndarray, mask: np.ndarray, a: np.ndarray, b: np.ndarray, bit_masks: np.ndarray) -> np.ndarray:
