@@ -445,3 +445,34 @@ def test_repeated_pages(spark):
     df = spark.createDataFrame([(5, "http://a/", "same")] * 3 + [(4, "http://a/", "same")], "page_id long, url string, html string")
     found = sorted((r.page_id, r.record_type, r.refers_to or 0) for r in warc.archive(df).collect())
     assert found == [(4, "revisit", 5), (5, "response", 0), (5, "revisit", 5), (5, "revisit", 5)]
+
+
+def test_line_parts_meet_across_lengths(spark):
+    words = "keeper harbour seven lantern quiet meadow copper thistle window gravel orchard".split()
+    eleven = " ".join(words)
+    longer = " ".join([*words[:5], "sun", *words[5:]])
+    sign = " ".join([*words[:3], "lanteen", *words[4:]])
+    other = "nothing of this kind was ever said about any lantern or meadow here"
+    assert all(line_dedup.similar(eleven, x) for x in (longer, sign))
+    rows = [(1, f"{eleven}\n{other}"), (2, longer), (3, sign)]
+    found = {r.doc_id: r.dropped for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {1: [], 2: [0], 3: [0]}
+
+
+def test_counts_keep_similar_lines():
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abcé ") for _ in range(rng.randint(1, 24))) for _ in range(300)]
+    texts += ["".join(rng.choice([c, c, c, c, "b", "", "cc"]) for c in t) or "a" for t in texts]
+    a, b = (x.ravel() for x in np.triu_indices(len(texts), 1))
+    may = line_dedup._may_be_similar(a, b, np.array([len(t) for t in texts]), line_dedup._counts(texts), 0.8)
+    assert not may.all()
+    assert all(m or not line_dedup.similar(texts[x], texts[y]) for x, y, m in zip(a.tolist(), b.tolist(), may.tolist(), strict=True))
+
+
+def test_edit_distance_stops_early():
+    rng = random.Random(4)
+    for _ in range(300):
+        a, b = ("".join(rng.choice("abc") for _ in range(rng.randint(0, 12))) for _ in range(2))
+        true = slow_distance(a, b)
+        for most in range(8):
+            assert (line_dedup.edit_distance(a, b, most) <= most) == (true <= most)
