@@ -36,8 +36,6 @@ VULNERABILITIES = (
 )
 SEVERITIES = ("LOW", "MEDIUM", "HIGH", "CRITICAL")
 
-#: Chains of thunks are followed over 2**THUNK_ROUNDS of them.
-THUNK_ROUNDS = 5
 WIDTH = 64
 
 
@@ -46,12 +44,17 @@ def edge_types(spark: SparkSession) -> DataFrame:
 
 
 def resolved_thunks(functions: DataFrame) -> DataFrame:
-    """(address, real): where each function's chain of thunks ends; by pointer doubling, so long chains take few joins."""
-    at = functions.select("address", F.when(F.col("is_thunk"), F.coalesce("thunk_target", "address")).otherwise(F.col("address")).alias("real"))
-    for _ in range(THUNK_ROUNDS):
+    """(address, real): where each function's chain of thunks ends; by pointer doubling, so long chains take few joins.
+
+    The rounds grow with the number of thunks, so no chain is too long. What leads into a cycle has no end but itself.
+    """
+    step = functions.select("address", F.when(F.col("is_thunk"), F.coalesce("thunk_target", "address")).otherwise(F.col("address")).alias("real"))
+    at = step
+    for _ in range(functions.filter("is_thunk").count().bit_length()):
         on = at.select(F.col("address").alias("real"), F.col("real").alias("on"))
         at = cut(at.join(on, "real", "left").select("address", F.coalesce("on", "real").alias("real")))
-    return at
+    goes_on = step.filter("real != address").select(F.col("address").alias("real")).distinct().withColumn("goes_on", F.lit(True))
+    return at.join(goes_on, "real", "left").select("address", F.when(F.col("goes_on"), F.col("address")).otherwise(F.col("real")).alias("real"))
 
 
 def call_edges(functions: DataFrame, refs: DataFrame) -> DataFrame:

@@ -103,6 +103,20 @@ def test_building(spark):
     assert rows(build.reference_edges(functions, refs), "source_id", "target_id") == [(0, 16), (0, 48), (0, 64), (0, 80)]
 
 
+def test_long_and_endless_thunks(spark):
+    from skeinworks.operators import build
+
+    n = 100
+    chain = [(16 * k, 16 * k + 15, f"t{k}", k < n, False, 16 * (k + 1) if k < n else None) for k in range(n + 1)]
+    cycle = [(10_000 + 16 * k, 10_015 + 16 * k, f"c{k}", True, False, 10_000 + 16 * (1 + k % 3)) for k in range(4)]
+    kind = "address long, end_address long, name string, is_thunk boolean, is_external boolean, thunk_target long"
+    functions = spark.createDataFrame(chain + cycle, kind)
+    ends = dict(rows(build.resolved_thunks(functions), "address", "real"))
+    assert ends == {16 * k: 16 * n for k in range(n + 1)} | {10_000 + 16 * k: 10_000 + 16 * k for k in range(4)}
+    refs = spark.createDataFrame([(16 * n + 3, 0), (16 * n + 4, 10_000)], "from_addr long, to_addr long")
+    assert rows(build.call_edges(functions, refs), "source_id", "target_id") == [(str(16 * n), str(16 * n)), (str(16 * n), "ext:c0")]
+
+
 def test_records(spark):
     from skeinworks.operators import build
 
