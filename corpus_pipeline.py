@@ -36,7 +36,7 @@ STAGES = [
     ("bpe", encode),
 ]
 
-#: Language ID has no SQL; tests/llm holds the pipeline against a brute-force version.
+#: Language ID has no SQL; tests/llm checks properties of the stages, no brute-force version of the pipeline.
 ORACLE_SQL = None
 
 
