@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 sys.path[:0] = [str(Path(__file__).parent.parent.parent), str(Path(__file__).parent.parent)]
 
+from oracle import DATA  # noqa: E402
+
 from skeinworks.llm import blocks, bpe, exact_dedup, language_id, line_dedup, lm_score, media, mixing, queries, simhash_dedup, token_files, warc  # noqa: E402
 from skeinworks.llm.components import connected_components  # noqa: E402
 
@@ -196,47 +198,94 @@ def test_edit_distance():
         assert line_dedup.edit_distance(a, b) == slow_distance(a, b)
 
 
-def dropped_lines(rows):
-    places = defaultdict(list)
-    for d, text in sorted(rows):
-        for k, form in enumerate(line_dedup.normal_lines(text or "")):
-            if form:
-                places[form].append((d, k))
-    forms = list(places)
-    parts = [(k, h) for k, f in enumerate(forms) for h in line_dedup.halves(f.split(), f)]
-    fps = np.array([line_dedup.simhashes([h])[0] for _, h in parts], np.uint64)
-    groups = Groups(len(forms))
-    for a in range(len(parts)):
-        for b in np.flatnonzero(np.bitwise_count(fps[a + 1 :] ^ fps[a]) <= line_dedup.RADIUS) + a + 1:
-            p, q = parts[a][0], parts[int(b)][0]
-            if p != q and line_dedup.similar(forms[p].decode(), forms[q].decode()):
-                groups.join(p, q)
-    together = defaultdict(list)
-    for k, f in enumerate(forms):
-        together[groups.top(k)] += places[f]
-    gone = defaultdict(list)
-    for v in together.values():
-        for d, k in sorted(v)[1:]:
-            gone[d].append(k)
-    return gone
+def line_groups(texts):
+    """The groups of all pairs of distinct normal forms with similar edit distance, and the pairs."""
+    forms = sorted({f for t in texts for f in line_dedup.normal_lines(t or "") if f}, key=lambda f: (len(f.decode()), f))
+    strings = [f.decode() for f in forms]
+    sizes, counts = np.array([len(x) for x in strings]), line_dedup._counts(strings)
+    groups, pairs = Groups(len(forms)), []
+    for a in range(len(forms)):
+        b = np.arange(a + 1, np.searchsorted(sizes, sizes[a] / line_dedup.SIMILAR + 1e-9, "right"))
+        b = b[line_dedup._may_be_similar(np.full(len(b), a), b, sizes, counts, line_dedup.SIMILAR)]
+        for k in b.tolist():
+            if line_dedup.similar(strings[a], strings[k]):
+                groups.join(a, k)
+                pairs.append((forms[a], forms[k]))
+    return {f: groups.top(k) for k, f in enumerate(forms)}, pairs
+
+
+def check_lines(df, rows, least):
+    """Every group that is dropped lies within a group of all pairs, keeps one occurrence, and at least `least` of the pairs meet."""
+    text = {d: t for d, t in rows}
+    true, pairs = line_groups(text.values())
+    root, places = {}, defaultdict(list)
+    for r in line_dedup.groups(df.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"), "text")).collect():
+        form = line_dedup.normal_lines(text[r.id])[r.line]
+        assert root.setdefault(form, r.root) == r.root
+        places[r.root].append((r.id, r.line))
+    assert all(len({true[f] for f, x in root.items() if x == g}) == 1 for g in places)
+    assert sum(root.get(a, a) == root.get(b, b) for a, b in pairs) >= least * len(pairs) and pairs
+    n = Counter(f for t in text.values() for f in line_dedup.normal_lines(t or "") if f)
+    assert all(f in root for f, k in n.items() if k > 1)
+    gone = {(d, k) for d, k in (x for v in places.values() for x in sorted(v)[1:])}
+    for r in line_dedup.dedup_lines(df).collect():
+        lines = (text[r.doc_id] or "").split("\n")
+        assert list(r.dropped) == [k for k in range(len(lines)) if (r.doc_id, k) in gone]
+        assert r.text == "\n".join(x for k, x in enumerate(lines) if (r.doc_id, k) not in gone) and r.n_lines == len(lines)
+    return len(gone)
 
 
-def test_line_dedup(spark, docs, none):
+def test_line_dedup_against_all_pairs(spark):
     df, rows = corpus(spark)
-    gone = dropped_lines([(d, t) for d, t, *_ in rows])
-    assert sum(map(len, gone.values())) > 100
-    for r in line_dedup.dedup_lines(df).collect():
-        lines = rows[r.doc_id][1].split("\n")
-        assert list(r.dropped) == sorted(gone[r.doc_id])
-        assert r.text == "\n".join(x for k, x in enumerate(lines) if k not in gone[r.doc_id]) and r.n_lines == len(lines)
+    assert check_lines(df, [(d, t) for d, t, *_ in rows], 0.9) > 100
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    assert check_lines(docs, [tuple(r) for r in docs.collect()], 0.9) > 0
+
+
+def test_line_dedup(spark, docs, none):
     found = line_dedup.dedup_lines(docs).collect()
     assert len(found) == len(TEXTS)
-    by_id = {r.doc_id: r for r in found}
-    assert by_id[4].text is None and by_id[4].n_lines == 0 and by_id[5].text == "" and by_id[6].text == " \n\t "
-    assert list(by_id[1].dropped) == [] and list(by_id[2].dropped) == [0, 1] and list(by_id[3].dropped) == [0]  # in so short a line one sign is too much
+    by_id = defaultdict(list)
+    for r in found:
+        by_id[r.doc_id].append(r)
+    assert by_id[4][0].text is None and by_id[4][0].n_lines == 0 and by_id[5][0].text == "" and by_id[6][0].text == " \n\t "
+    groups, _ = line_groups([t for _, t, *_ in TEXTS])
+    form = lambda d, k: line_dedup.normal_lines(TEXTS[d - 1][1])[k]
+    assert groups[form(1, 1)] == groups[form(3, 1)]  # one sign of 38, found among all pairs
+    assert [list(by_id[k][0].dropped) for k in (1, 2, 3)] == [[], [0, 1], [0, 1]]
     assert line_dedup.dedup_lines(none).count() == 0
 
 
+def test_repeated_rows_keep_one_occurrence(spark):
+    lines = "a line of some words that is long enough\n\nand another line which nothing else has"
+    rows = [(1, lines), (1, lines), (1, lines), (None, lines), (None, "of nobody and of nothing else"), (None, "of nobody and of nothing else")]
+    found = sorted(tuple(r.dropped) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert found == [(), (), (0,), (0, 2), (0, 2), (0, 2)]
+
+
+@pytest.mark.parametrize("kind,ids", [("long", [(1 << 63) - 1, -(1 << 63), None]), ("string", ["b", "a", None]), ("int", [2, -1, None])])
+def test_lines_by_any_id(spark, kind, ids):
+    """The least id is the first, a null id the last, whatever the type."""
+    df = spark.createDataFrame([(i, "the same line of some words here") for i in ids], f"doc_id {kind}, text string")
+    found = {r.doc_id: list(r.dropped) for r in line_dedup.dedup_lines(df).collect()}
+    assert found == {ids[0]: [0], ids[1]: [], None: [0]}
+
+
+def test_windows_are_simhashes_of_words():
+    rng = random.Random(6)
+    forms = [" ".join(rng.choice(["one", "two", "three", "four", "five", "a" * 40]) for _ in range(n)).encode() for n in (1, 3, 4, 8, 9, 14, 15, 26, 60)]
+    owner, fps = line_dedup.windows(forms)
+    for k, form in enumerate(forms):
+        words, possible = form.split(), set()
+        for size in line_dedup.LADDER:
+            for at in range(len(words) - size + 1):
+                hashes = [line_dedup.xxhash.xxh3_64_intdigest(w) for w in words[at : at + size]]
+                possible.add(sum((2 * sum(h >> b & 1 for h in hashes) > size) << b for b in range(64)))
+        mine = set(fps[owner == k].tolist())
+        assert mine <= possible and bool(mine) == (len(words) > line_dedup.LADDER[0])
+    assert line_dedup.windows(forms[3:4])[1].tolist() == fps[owner == 3].tolist()  # whatever other lines there are
+
+
 # op4
 
 
