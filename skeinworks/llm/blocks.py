@@ -8,17 +8,20 @@ fill a bucket with `fill` at most, so that buckets stay small as the input grows
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skeinworks.llm.common import written
+from skeinworks.llm.common import shuffle_partitions, written
 from skeinworks.llm.gray_index import GrayIndex, gray_rank
 
 MOST_CHOSEN = 4
+#: Bytes that a task looks at together, if tiles are no larger.
+HELD_BYTES = 32 << 20
 
 
 def masks(chosen: int, radius: int) -> list[int]:
@@ -81,7 +84,7 @@ def near_pairs(fp: np.ndarray, tile: np.ndarray, radius: int, small: int = 256)
     stretch = [(1 << b) - (1 << a) for a, b in zip(cuts, cuts[1:], strict=False)]
     parts = np.array([stretch[k] | stretch[k + radius + 1] for k in range(radius + 1)], np.uint64)
     for k, part in enumerate(parts):
-        key = _mixed(fp & part) ^ _mixed(group + np.uint64(1) << np.uint64(20))
+        key = scattered(fp & part) ^ scattered(group + np.uint64(1) << np.uint64(20))
         order = np.argsort(key, kind="stable")
         key = key[order]
         start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
@@ -109,8 +112,8 @@ def near_pairs(fp: np.ndarray, tile: np.ndarray, radius: int, small: int = 256)
                 yield kept(some[x[keep]], some[y[keep]])
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    """Numbers scattered over 64 bits."""
+def scattered(x: np.ndarray) -> np.ndarray:
+    """Numbers of 64 bits, scattered over these."""
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xFF51AFD7ED558CCD)
     return x ^ (x >> np.uint64(29))
 
@@ -121,3 +124,104 @@ def first_shared(fp: np.ndarray, mask: np.ndarray, a: np.ndarray, b: np.ndarray,
     for k in range(len(bit_masks) - 1):
         out &= (mask[a] <= k) | ((apart & bit_masks[k]) != 0)
     return out
+
+
+def whole_tiles(batches: Iterator[pa.RecordBatch], held: int = 1 << 17) -> Iterator[pa.Table]:
+    """Tables of whole tiles from batches sorted by their column tile."""
+    kept, n, size = [], 0, 0
+    for batch in batches:
+        kept.append(batch)
+        n += batch.num_rows
+        size += batch.nbytes
+        if n >= held or size >= HELD_BYTES:
+            table = pa.Table.from_batches(kept)
+            t = table.column("tile").to_numpy()
+            other = np.flatnonzero(t != t[-1])
+            if len(other):
+                cut = int(other[-1]) + 1
+                yield table.slice(0, cut)
+                kept, n = table.slice(cut).to_batches(), len(t) - cut
+                size = sum(x.nbytes for x in kept)
+    if n:
+        yield pa.Table.from_batches(kept)
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    return rows.repartition(shuffle_partitions(rows.sparkSession), "tile").sortWithinPartitions("tile")
+
+
+def _partnered(bit_masks: list[int], radius: int):
+    """Of the rows (fp, mask, tile), each fingerprint and mask under which it first meets another within `radius` bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_tiles(batches):
+            fp, mask, tile = table.column("fp").to_numpy().view(np.uint64), table.column("mask").to_numpy(), table.column("tile").to_numpy()
+            has = np.zeros(len(fp), bool)
+            for a, b in near_pairs(fp, tile, radius):
+                keep = first_shared(fp, mask, a, b, np.array(bit_masks, np.uint64))
+                has[a[keep]] = has[b[keep]] = True
+            yield pa.RecordBatch.from_arrays([pa.array(fp[has].view(np.int64)), pa.array(mask[has])], ["fp", "mask"])
+
+    return run
+
+
+def meetings(wholes: DataFrame, parts: DataFrame, radius: int, fill: int, tile: int, least: float) -> tuple[DataFrame, list[int]]:
+    """(fp, key, mask, up, value) of the fingerprints that have a partner, to be dealt out by (mask, value); the masks.
+
+    wholes: (fp, key), partners within `radius` bits. parts: (fp, key, size), partners where all blocks agree; with the same
+    `fp` keys are dealt out by size, as one that is more than 1 / least times as large can't be similar.
+    """
+    distinct = written(wholes.groupBy("fp").agg((F.count("*") > 1).alias("shared")), "fingerprints")
+    bit_masks = masks_for(distinct.count(), radius, fill)
+    found = dealt(tiles(nodes(distinct.select("fp"), bit_masks), tile).select("fp", "mask", "tile")).mapInArrow(_partnered(bit_masks, radius), "fp long, mask int")
+    # keys with the same fingerprint meet under the first mask
+    near = found.union(distinct.filter("shared").select("fp", F.lit(0).alias("mask"))).distinct()
+    value = F.col("fp").bitwiseAND(F.element_at(F.array(*[F.lit(signed(m)) for m in bit_masks]), F.col("mask") + 1))
+    by_whole = wholes.join(near, "fp").select("fp", "key", "mask", F.lit(False).alias("up"), value.alias("value"))
+    each = parts.join(parts.groupBy("fp").count().filter("count > 1").select("fp"), "fp")
+    # similar ones are in the same class of size or in neighbouring ones: a key goes to its own and to the next
+    class_ = F.floor(F.log(F.greatest("size", F.lit(1))) / F.lit(-float(np.log(least)))).cast("int")
+    cells = each.select("fp", "key", class_.alias("class"), F.explode(F.array(F.lit(0), F.lit(1))).alias("next"))
+    cells = cells.select("fp", "key", (F.col("next") == 1).alias("up"), F.xxhash64("fp", F.col("class") + F.col("next")).alias("value"))
+    some = cells.groupBy("value").agg(F.count("*").alias("n"), F.bool_and("up").alias("only_up")).filter("n > 1 and not only_up").select("value")
+    by_part = cells.join(some, "value").select("fp", "key", F.lit(0).alias("mask"), "up", "value")
+    return written(by_whole.union(by_part), "meets"), bit_masks
+
+
+def linked(meets: DataFrame, payload: str, bit_masks: list[int], radius: int, tile: int, prepare: Callable) -> DataFrame:
+    """(a, b): the links between keys that join what is similar within a tile, a forest for each tile.
+
+    meets: rows of meetings() with a column `payload`. prepare: takes a tile's distinct payloads and gives two functions of
+    their places, one of arrays (which pairs may be similar) and one of two numbers (whether these are).
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_tiles(batches):
+            fp, key, mask, up, chunk, mixed, at = (table.column(k).to_numpy() for k in ("fp", "key", "mask", "up", "chunk", "mixed", "tile"))
+            fp, mixed, up = fp.view(np.uint64), mixed.astype(bool), up.astype(bool)
+            keys, own, entry = np.unique(key, return_index=True, return_inverse=True)  # a key comes with many rows
+            may_be, is_similar = prepare(table.column(payload).take(pa.array(own)))
+            root = list(range(len(keys)))
+
+            def top(k: int, root: list[int] = root) -> int:
+                while root[k] != k:
+                    root[k] = root[root[k]]
+                    k = root[k]
+                return k
+
+            out = []
+            for a, b in near_pairs(fp, at, radius):
+                keep = first_shared(fp, mask, a, b, np.array(bit_masks, np.uint64)) & (~mixed[a] | (chunk[a] != chunk[b])) & (key[a] != key[b]) & ~(up[a] & up[b])
+                x, y = entry[a[keep]], entry[b[keep]]
+                x, y = np.divmod(np.unique(np.minimum(x, y) * len(keys) + np.maximum(x, y)), len(keys))
+                keep = may_be(x, y)
+                for x, y in zip(x[keep].tolist(), y[keep].tolist(), strict=True):
+                    p, q = top(x), top(y)
+                    if p != q and is_similar(x, y):
+                        root[max(p, q)] = min(p, q)
+                        out.append((x, y))
+            pair = keys[np.array(out, np.int64).reshape(-1, 2)]
+            yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
+
+    full = tiles(meets, tile).select("fp", "key", "mask", "up", "chunk", "mixed", "tile", payload)
+    return dealt(full).mapInArrow(run, "a long, b long")

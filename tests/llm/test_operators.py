@@ -525,3 +525,54 @@ def test_edit_distance_stops_early():
         true = slow_distance(a, b)
         for most in range(8):
             assert (line_dedup.edit_distance(a, b, most) <= most) == (true <= most)
+
+
+# near copies of the pipeline
+
+
+def jaccard_groups(texts):
+    """The groups of texts whose sets of five-word shingles have a Jaccard similarity of 0.8, over all pairs, and the pairs."""
+    split = [(t or "").encode().lower().split() for t in texts]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(len(w) - 4, min(len(w), 1)))} for w in split]
+    groups, pairs = Groups(len(sets)), []
+    for a in range(len(sets)):
+        for b in range(a + 1, len(sets)):
+            small, large = sorted((len(sets[a]), len(sets[b])))
+            if small >= 0.8 * large and (both := len(sets[a] & sets[b])) >= 0.8 * (small + large - both):
+                groups.join(a, b)
+                pairs.append((a, b))
+    return groups, pairs
+
+
+def test_drop_similar(spark, docs, none):
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(900)]
+    rows = []
+    for k in range(60):  # groups of texts with some words changed, some far, some near
+        base = [rng.choice(words) for _ in range(rng.choice([3, 5, 20, 120, 400]))]
+        for _ in range(rng.choice([1, 2, 5])):
+            text = [rng.choice(words) if rng.random() < rng.choice([0, 0.01, 0.02, 0.1]) else w for w in base]
+            rows.append((len(rows), " ".join(text)))
+    rng.shuffle(rows)
+    groups, pairs = jaccard_groups([t for _, t in rows])
+    best = {}
+    for k, (i, _) in enumerate(rows):
+        best[groups.top(k)] = min(best.get(groups.top(k), i), i)
+    assert len(pairs) > 30 and len(best) > 60
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash_dedup.drop_similar(df).collect()) == sorted(best.values())
+    kept = simhash_dedup.drop_similar(docs)
+    assert kept.columns == docs.columns and {r["__id"] for r in kept.collect()} == {9}
+    assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 3, 4, 7, 8, 9, 10, 12]
+    assert simhash_dedup.drop_similar(none).count() == 0
+
+
+@pytest.mark.parametrize("drop", [simhash_dedup.drop_similar, simhash_dedup.drop_near_copies])
+def test_near_copies_by_any_id(spark, drop):
+    """Rows without an id are compared, repeated ids with different texts are rows of their own, full ties leave one row."""
+    text, other = "some words that are here more than once in this table", "nothing at all of that kind is said in this other one"
+    rows = [(None, text, 1), (None, text, 2), (5, text, 3), (5, other, 4), (5, other, 4), (None, other, 5), (6, "a third text that is like no other one in here", 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, more int")
+    assert sorted(tuple(r) for r in drop(df).collect()) == sorted([rows[2], rows[3], rows[6]])
+    strings = df.withColumn("doc_id", F.col("doc_id").cast("string"))
+    assert sorted(r.more for r in drop(strings).collect()) == [3, 4, 6]
