@@ -9,22 +9,27 @@ from skeinworks.llm.common import written
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language the model tells. Null texts and texts without a letter go, as it tells none."""
     return language_id.keep_identified(docs)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts that are equal without white space the longest, then that of the smallest id, null ids last."""
     return exact_dedup.drop_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash_dedup.drop_near_copies(docs)
+    """One document of each group linked by a similarity of 0.8 on five-word shingles, that of the smallest id, null ids last."""
+    return simhash_dedup.drop_similar(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them, up to twice; the null source is one of its own."""
     return mixing.mixed_documents(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Per document its id, number of tokens and the hashes of ids and of the decoded text; a null text is empty."""
     return bpe.encode_documents(docs, queries.vocabulary_path())
 
 
@@ -36,7 +41,7 @@ STAGES = [
     ("bpe", encode),
 ]
 
-#: Language ID has no SQL; tests/llm checks properties of the stages, no brute-force version of the pipeline.
+#: Language ID has no SQL; tests/llm/test_pipeline.py holds every stage and run() against plain versions.
 ORACLE_SQL = None
 
 
