@@ -178,7 +178,9 @@ def meetings(wholes: DataFrame, parts: DataFrame, radius: int, fill: int, tile:
     near = found.union(distinct.filter("shared").select("fp", F.lit(0).alias("mask"))).distinct()
     value = F.col("fp").bitwiseAND(F.element_at(F.array(*[F.lit(signed(m)) for m in bit_masks]), F.col("mask") + 1))
     by_whole = wholes.join(near, "fp").select("fp", "key", "mask", F.lit(False).alias("up"), value.alias("value"))
-    each = parts.join(parts.groupBy("fp").count().filter("count > 1").select("fp"), "fp")
+    # a written table, as its size decides whether the fingerprints must be shuffled again
+    shared = written(parts.groupBy("fp").count().filter("count > 1").select("fp"), "shared")
+    each = parts.join(shared, "fp")
     # similar ones are in the same class of size or in neighbouring ones: a key goes to its own and to the next
     class_ = F.floor(F.log(F.greatest("size", F.lit(1))) / F.lit(-float(np.log(least)))).cast("int")
     cells = each.select("fp", "key", class_.alias("class"), F.explode(F.array(F.lit(0), F.lit(1))).alias("next"))
@@ -191,8 +193,8 @@ def meetings(wholes: DataFrame, parts: DataFrame, radius: int, fill: int, tile:
 def linked(meets: DataFrame, payload: str, bit_masks: list[int], radius: int, tile: int, prepare: Callable) -> DataFrame:
     """(a, b): the links between keys that join what is similar within a tile, a forest for each tile.
 
-    meets: rows of meetings() with a column `payload`. prepare: takes a tile's distinct payloads and gives two functions of
-    their places, one of arrays (which pairs may be similar) and one of two numbers (whether these are).
+    meets: rows of meetings() with a column `payload`. prepare: takes the distinct payloads of some tiles and gives two functions
+    of their places, one of two arrays (which pairs may be similar) and one of two numbers (whether these are).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,17 +211,24 @@ def linked(meets: DataFrame, payload: str, bit_masks: list[int], radius: int, ti
                     k = root[k]
                 return k
 
-            out = []
+            out, apart = [], set()
             for a, b in near_pairs(fp, at, radius):
                 keep = first_shared(fp, mask, a, b, np.array(bit_masks, np.uint64)) & (~mixed[a] | (chunk[a] != chunk[b])) & (key[a] != key[b]) & ~(up[a] & up[b])
                 x, y = entry[a[keep]], entry[b[keep]]
                 x, y = np.divmod(np.unique(np.minimum(x, y) * len(keys) + np.maximum(x, y)), len(keys))
+                # what is connected already need not be looked at
+                tops = np.fromiter(map(top, range(len(keys))), np.int64, len(keys)) if len(x) > len(keys) else None
+                if tops is not None:
+                    x, y = x[tops[x] != tops[y]], y[tops[x] != tops[y]]
                 keep = may_be(x, y)
                 for x, y in zip(x[keep].tolist(), y[keep].tolist(), strict=True):
                     p, q = top(x), top(y)
-                    if p != q and is_similar(x, y):
-                        root[max(p, q)] = min(p, q)
-                        out.append((x, y))
+                    if p != q and (x, y) not in apart:
+                        if is_similar(x, y):
+                            root[max(p, q)] = min(p, q)
+                            out.append((x, y))
+                        else:
+                            apart.add((x, y))
             pair = keys[np.array(out, np.int64).reshape(-1, 2)]
             yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
 

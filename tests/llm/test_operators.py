@@ -271,7 +271,7 @@ def test_lines_by_any_id(spark, kind, ids):
     assert found == {ids[0]: [0], ids[1]: [], None: [0]}
 
 
-def test_windows_are_simhashes_of_words():
+def test_windows_are_simhashes_of_pairs_of_words():
     rng = random.Random(6)
     forms = [" ".join(rng.choice(["one", "two", "three", "four", "five", "a" * 40]) for _ in range(n)).encode() for n in (1, 3, 4, 8, 9, 14, 15, 26, 60)]
     owner, fps = line_dedup.windows(forms)
@@ -279,8 +279,9 @@ def test_windows_are_simhashes_of_words():
         words, possible = form.split(), set()
         for size in line_dedup.LADDER:
             for at in range(len(words) - size + 1):
-                hashes = [line_dedup.xxhash.xxh3_64_intdigest(w) for w in words[at : at + size]]
-                possible.add(sum((2 * sum(h >> b & 1 for h in hashes) > size) << b for b in range(64)))
+                one = line_dedup.word_hashes(words[at : at + size])[1].tolist()
+                hashes = line_dedup.scattered(np.array([(a * line_dedup._FACTOR + b) % (1 << 64) for a, b in zip(one, one[1:])], np.uint64)).tolist()
+                possible.add(sum((2 * sum(h >> b & 1 for h in hashes) > size - 1) << b for b in range(64)))
         mine = set(fps[owner == k].tolist())
         assert mine <= possible and bool(mine) == (len(words) > line_dedup.LADDER[0])
     assert line_dedup.windows(forms[3:4])[1].tolist() == fps[owner == 3].tolist()  # whatever other lines there are
@@ -576,3 +577,29 @@ def test_near_copies_by_any_id(spark, drop):
     assert sorted(tuple(r) for r in drop(df).collect()) == sorted([rows[2], rows[3], rows[6]])
     strings = df.withColumn("doc_id", F.col("doc_id").cast("string"))
     assert sorted(r.more for r in drop(strings).collect()) == [3, 4, 6]
+
+
+def test_long_edit_distances_stop_early():
+    rng = random.Random(5)
+    for k in range(6):
+        a = "".join(rng.choice("abcdefgh ") for _ in range(rng.randint(600, 900)))
+        b = "".join(rng.choice([c, c, c, c, "x", "", "yz"][: 4 + k // 2]) for c in a) if k < 4 else a[:300] + a[::-1]
+        true = slow_distance(a, b)
+        for most in (true - 30, true - 1, true, true + 1, true + 30):
+            assert (line_dedup.edit_distance(a, b, most) <= most) == (true <= most)
+
+
+def test_few_words_apart_bounds_the_distance():
+    rng = random.Random(6)
+    words = ["a", "bb", "ccc", "dddd", "eeeee", "of"]
+    seen = Counter()
+    for _ in range(400):
+        a = [rng.choice(words) for _ in range(rng.randint(1, 25))]
+        b = [w for w in a for w in ([rng.choice(words)] if rng.random() < 0.1 else [w, rng.choice(words)] if rng.random() < 0.05 else [] if rng.random() < 0.05 else [w])] or ["a"]
+        a, b = " ".join(a), " ".join(b)
+        true = slow_distance(a, b)
+        for most in (0, 3, 8, 15):
+            found = line_dedup.few_words_apart(a, b, most)
+            assert not found or true <= most
+            seen[found] += 1
+    assert seen[True] > 300
