@@ -27,21 +27,21 @@ STRING_KINDS = (
 NO_DOMAIN = r"\.(dll|exe|sys|lib|obj|pdb|h|c|cpp)$|^version\.rc$"
 SYSTEM_PATH = r"^(/etc|/root|/var)|(?i:\\windows|\\system32|\\programdata)"
 
-#: What the names of calls, in lower case and each between two blanks, must contain for a trait.
+#: By trait, the names of calls in lower case: whole names, parts of names, beginnings of names.
 TRAITS = {
-    "server": r" (listen|accept|wsaaccept|acceptsecuritycontext) |_accept",
-    "connects": r" (connect|winhttpconnect|internetconnect|ssl_connect) | wsaconnect|internetconnecta|internetconnectw",
-    "sends": r"send| (winhttpwritedata|internetwritefile|ssl_write) ",
-    "receives": r"recv| (winhttpreaddata|internetreadfile|ssl_read) ",
-    "http": r"httpopen|httpsend|winhttp|internet|curl_",
-    "resolves": r"getaddrinfo|gethostbyname|gethostbyaddr|getnameinfo|gethostname",
-    "reads": r" (read|pread|fread|fgets|fgetc|getc|fscanf|mapviewoffile) |readfile",
-    "writes": r" (write|pwrite|fwrite|fputs|fputc|putc|fprintf) |writefile|copyfile|movefile",
-    "deletes": r"delete| (remove|unlink) |removedirectory",
-    "encrypts": r"encrypt",
-    "decrypts": r"decrypt",
-    "hashes": r"hash|md5|sha1|sha256|digest",
-    "injects": r"writeprocessmemory|createremotethread|virtualalloc",
+    "server": (("listen", "accept", "wsaaccept", "acceptsecuritycontext"), ("_accept",), ()),
+    "connects": (("connect", "winhttpconnect", "internetconnect", "ssl_connect"), ("internetconnecta", "internetconnectw"), ("wsaconnect",)),
+    "sends": (("winhttpwritedata", "internetwritefile", "ssl_write"), ("send",), ()),
+    "receives": (("winhttpreaddata", "internetreadfile", "ssl_read"), ("recv",), ()),
+    "http": ((), ("httpopen", "httpsend", "winhttp", "internet", "curl_"), ()),
+    "resolves": ((), ("getaddrinfo", "gethostbyname", "gethostbyaddr", "getnameinfo", "gethostname"), ()),
+    "reads": (("read", "pread", "fread", "fgets", "fgetc", "getc", "fscanf", "mapviewoffile"), ("readfile",), ()),
+    "writes": (("write", "pwrite", "fwrite", "fputs", "fputc", "putc", "fprintf"), ("writefile", "copyfile", "movefile"), ()),
+    "deletes": (("remove", "unlink"), ("delete", "removedirectory"), ()),
+    "encrypts": ((), ("encrypt",), ()),
+    "decrypts": ((), ("decrypt",), ()),
+    "hashes": ((), ("hash", "md5", "sha1", "sha256", "digest"), ()),
+    "injects": ((), ("writeprocessmemory", "createremotethread", "virtualalloc"), ()),
 }
 
 
@@ -57,6 +57,12 @@ def in_category(names: Column, wanted: frozenset[str]) -> Column:
     return F.array_sort(F.array_distinct(F.transform(hit, api_name)))
 
 
+def known_calls(names: Column) -> Column:
+    """The names that any set of the catalogue has, themselves or in normal form: the few that need be looked at again."""
+    every = sorted({n for wanted in [*CATEGORIES.values(), *DANGEROUS.values()] for n in wanted})
+    return F.filter(names, lambda n: n.isin(*every) | api_name(n).isin(*every))
+
+
 def api_columns(names: Column) -> dict[str, Column]:
     """network, file, crypto, process: calls by category; risks: kinds of dangerous calls, sorted."""
     out = {kind: in_category(names, wanted) for kind, wanted in CATEGORIES.items()}
@@ -83,12 +89,29 @@ def string_kind(value: Column) -> Column:
     return F.when(F.length(value) >= 3, out)
 
 
+def kinds_of(words: Column) -> Column:
+    """(word, kind) of the words that are of any kind; most words have no sign that a pattern needs and are not tried."""
+    may_be = F.filter(words, lambda w: w.contains(".") | w.contains("/") | w.contains("\\") | F.trim(w).startswith("HK"))
+    return F.filter(F.transform(may_be, lambda w: F.struct(w.alias("word"), string_kind(w).alias("kind"))), lambda x: x["kind"].isNotNull())
+
+
 def has_system_path(paths: Column) -> Column:
     return F.exists(paths, lambda p: p.rlike(SYSTEM_PATH))
 
 
 def _trait(names: Column, trait: str) -> Column:
-    return F.lower(F.concat(F.lit(" "), F.array_join(names, "  "), F.lit(" "))).rlike(TRAITS[trait])
+    whole, parts, starts = TRAITS[trait]
+
+    def fits(name: Column) -> Column:
+        low = F.lower(name)
+        test = low.isin(*whole) if whole else F.lit(False)
+        for part in parts:
+            test = test | low.contains(part)
+        for start in starts:
+            test = test | low.startswith(start)
+        return test
+
+    return F.exists(names, fits)
 
 
 def _has(c: Column) -> Column:

@@ -140,3 +140,50 @@ def search_words(query: str) -> list[str]:
     """The words of a full-text query: AND, OR, NOT and asterisks go."""
     words = [w.replace("*", "") for w in query.split() if w.upper() not in ("AND", "OR", "NOT")]
     return [w for w in words if w]
+
+
+def edited_messages(markdown: Column) -> Column:
+    """(chunk_id, role, content) of each message in an edited chat, an array in order.
+
+    A message follows its mark `<!-- CHUNK:id -->`; its first line that begins with a heading or word gives the role and is
+    no part of the content. Rules at the end go, messages without a content are left out. No marks, no messages.
+    """
+    mark = "<!-- CHUNK:([^>]+) -->"
+    parts = F.slice(F.split(markdown, mark, -1), 2, 1 << 30)
+    pairs = F.arrays_zip(F.regexp_extract_all(markdown, F.lit(mark), F.lit(1)).alias("id"), parts.alias("part"))
+    head = r"(?:\A|\n)[ \t]*#{0,3}[ \t]*(\w+)[^\n]*"
+
+    def message(x: Column) -> Column:
+        body = F.regexp_extract(x["part"], "(?s)" + head + r"\n(.*)\z", 2)
+        body = F.regexp_replace(F.regexp_replace(body, r"\A\s+|\s+\z", ""), r"(?:\s*---)+\z", "")
+        return F.struct(x["id"].alias("chunk_id"), role(F.regexp_extract(x["part"], head, 1)).alias("role"), F.regexp_replace(body, r"\s+\z", "").alias("content"))
+
+    return F.filter(F.transform(pairs, message), lambda m: (m["content"] != "") & (m["role"] != "unknown"))
+
+
+def result_block(file: Column, chunk: Column, score: Column, snippet_: Column) -> Column:
+    """A search result as it goes into a prompt."""
+    return F.concat(
+        F.lit("<result>\n</br><file>"), file, F.lit("</file>\n</br><chunkid>"), chunk.cast("string"), F.lit("</chunkid>\n</br><score>"), score.cast("string"),
+        F.lit("</score>\n</br><content>\n"), snippet_, F.lit("\n</content>\n\n</result>\n\n"),
+    )
+
+
+def context_block(results: Column, query: Column) -> Column:
+    """A prompt with its results (an array of result_block, in order) before the query; the query alone without any."""
+    return F.when(F.size(results) > 0, F.concat(F.lit("<context>\n"), F.array_join(results, ""), F.lit("\n</context>\n"), query)).otherwise(query)
+
+
+def global_context(summary: Column, content: Column, flags: Column, n_functions: Column, n_nodes: Column, n_edges: Column) -> Column:
+    """A binary in words: summary, content, flags and the size of its graph; parts that are missing are left out."""
+    part = lambda title, c: F.coalesce(F.when(F.length(c) > 0, F.concat(F.lit(title), c, F.lit("\n\n"))), F.lit(""))
+    number = lambda title, c: F.concat(F.lit(title), c.cast("string"), F.lit("\n"))
+    return F.concat(
+        F.lit("## Binary Context\n\n"), part("**Summary:** ", summary), part("", content), part("**Security Flags:** ", F.array_join(flags, ", ")),
+        F.lit("**Graph Statistics:**\n"), number("- Functions: ", n_functions), number("- Total nodes: ", n_nodes), number("- Total edges: ", n_edges),
+    )
+
+
+def accumulated(chunks: Column) -> Column:
+    """A text from its chunks in order, each of which holds all so far or only what is new."""
+    return F.aggregate(chunks, F.lit(""), lambda so_far, c: F.when((so_far != "") & c.startswith(so_far), c).otherwise(F.concat(so_far, c)))

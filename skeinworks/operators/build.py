@@ -36,7 +36,8 @@ VULNERABILITIES = (
 )
 SEVERITIES = ("LOW", "MEDIUM", "HIGH", "CRITICAL")
 
-WIDTH = 64
+#: Width of the narrowest blocks of addresses.
+NARROWEST = 64
 
 
 def edge_types(spark: SparkSession) -> DataFrame:
@@ -64,8 +65,8 @@ def call_edges(functions: DataFrame, refs: DataFrame) -> DataFrame:
     the function whose body holds it and goes to the function that holds its target, past thunks. What is external, or a
     thunk without an end, is a node by its name (`ext:` and the plain name); calls into nowhere are left out.
     """
-    caller = intervals_containing(refs, "from_addr", functions.select(F.col("address").alias("source"), F.col("address").alias("a"), F.col("end_address").alias("b")), "a", "b", WIDTH).select("source", "to_addr").distinct()
-    callee = intervals_containing(caller, "to_addr", functions.select(F.col("address").alias("hit"), F.col("address").alias("a"), F.col("end_address").alias("b")), "a", "b", WIDTH).select("source", F.col("hit").alias("address")).distinct()
+    caller = intervals_containing(refs, "from_addr", functions.select(F.col("address").alias("source"), F.col("address").alias("a"), F.col("end_address").alias("b")), "a", "b", NARROWEST).select("source", "to_addr").distinct()
+    callee = intervals_containing(caller, "to_addr", functions.select(F.col("address").alias("hit"), F.col("address").alias("a"), F.col("end_address").alias("b")), "a", "b", NARROWEST).select("source", F.col("hit").alias("address")).distinct()
     ends = functions.select(F.col("address").alias("real"), "name", "is_thunk", "is_external")
     full = callee.join(resolved_thunks(functions), "address").join(ends, "real")
     target = F.when(F.col("is_external"), F.concat(F.lit("ext:"), external_name(F.col("name")))).when(F.col("is_thunk"), F.concat(F.lit("ext:"), thunk_name(F.col("name")))).otherwise(F.col("real").cast("string"))
@@ -75,8 +76,8 @@ def call_edges(functions: DataFrame, refs: DataFrame) -> DataFrame:
 def reference_edges(functions: DataFrame, refs: DataFrame) -> DataFrame:
     """Distinct REFERENCES edges between different functions, for references that are neither calls nor data."""
     span = lambda name: functions.select(F.col("address").alias(name), F.col("address").alias("a"), F.col("end_address").alias("b"))
-    near = intervals_containing(refs, "from_addr", span("source_id"), "a", "b", WIDTH).select("source_id", "to_addr").distinct()
-    both = intervals_containing(near, "to_addr", span("target_id"), "a", "b", WIDTH).filter("source_id <> target_id")
+    near = intervals_containing(refs, "from_addr", span("source_id"), "a", "b", NARROWEST).select("source_id", "to_addr").distinct()
+    both = intervals_containing(near, "to_addr", span("target_id"), "a", "b", NARROWEST).filter("source_id <> target_id")
     return both.select("source_id", "target_id", F.lit("REFERENCES").alias("type")).distinct()
 
 
@@ -94,8 +95,11 @@ def user_edges(wanted: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def first_wins(pending: DataFrame, by: str = "seq") -> DataFrame:
-    """A batch of nodes without repeats: of each address (else name) the first by `seq`, with the first content there is."""
-    key = F.coalesce(F.concat(F.lit("a"), F.col("address").cast("string")), F.concat(F.lit("n"), F.col("name")))
+    """A batch of nodes without repeats: of each address (else name) the first by `seq`, with the first content there is.
+
+    Nodes with neither stay each for itself; `seq` is different in every row.
+    """
+    key = F.coalesce(F.concat(F.lit("a"), F.col("address").cast("string")), F.concat(F.lit("n"), F.col("name")), F.concat(F.lit("s"), F.col(by).cast("string")))
     w = Window.partitionBy("__key").orderBy(by)
     all_ = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     rows = pending.withColumn("__key", key).withColumn("content", F.first("content", ignorenulls=True).over(all_)).withColumn("__rank", F.row_number().over(w))

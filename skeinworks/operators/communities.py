@@ -6,9 +6,10 @@ most frequent label wins, of equals the least. A round is a join, a partial aggr
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skeinworks.operators.graph import display_name
 from skeinworks.operators.paths import has_any
 from skeinworks.sources.tables import cut
 
@@ -58,19 +59,10 @@ def is_generic(name: Column) -> Column:
     return name.startswith("FUN_") | name.startswith("sub_")
 
 
-def purpose(names: Column, flags: Column) -> Column:
-    """What a group is for, by its names (joined, lower case) and flags; null where nothing tells."""
-    out = F.lit(None).cast("string")
-    for label, parts, marks in reversed(PURPOSES):
-        hit = names.rlike("|".join(parts))
-        out = F.when((hit | has_any(flags, marks)) if marks else hit, label).otherwise(out)
-    return out
-
-
 def records(members: DataFrame, nodes: DataFrame) -> DataFrame:
-    """A row per community: size, name, flagged members, score (all their flags), flags, key functions, purpose.
+    """A row per community: size, title by the shortest name, flagged members, score (all their flags), flags.
 
-    Lists are in the order of ids; of a long one the first five count, which a bounded aggregate keeps.
+    Key functions are those of key_functions, the purpose is that of summaries.
     """
     full = members.join(nodes.select("id", "name", "flags"), "id")
     named = F.when(F.col("name").isNotNull() & ~is_generic(F.col("name")), F.col("name"))
@@ -80,32 +72,76 @@ def records(members: DataFrame, nodes: DataFrame) -> DataFrame:
         F.sum(F.size("flags").cast("long")).alias("score"),
         F.min_by(named, F.when(named.isNotNull(), F.struct(F.length(named), named))).alias("shortest"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("flags")))).alias("flags"),
-        F.bool_or(F.lower(named).rlike("|".join(PURPOSES[0][1]))).alias("network_names"),
     )
     title = F.when(F.col("shortest").isNotNull(), F.concat("shortest", F.lit("_group ("), F.col("members").cast("string"), F.lit(")"))).otherwise(F.concat(F.lit("community_"), F.col("community").cast("string"), F.lit(" ("), F.col("members").cast("string"), F.lit(" functions)")))
     return basic.withColumn("title", title)
 
 
+def _first(rows: DataFrame, key: str, value: str, shown: int, name: str) -> DataFrame:
+    """(key, name: the first values by `value`, distinct, at most `shown`): ranks are cut before anything is gathered."""
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(value))
+    some = rows.select(key, value).distinct().withColumn("__rank", rank).filter(F.col("__rank") <= shown)
+    return some.groupBy(key).agg(F.array_sort(F.collect_list(value)).alias(name))
+
+
+def purpose_tests(names: Column, flags: Column) -> list[tuple[str, Column]]:
+    """For each purpose an aggregate of all names and flags of a group that tells whether it is hinted at."""
+    out = []
+    for label, parts, marks in PURPOSES:
+        hit = F.coalesce(F.bool_or(F.lower(names).rlike("|".join(parts))), F.lit(False))
+        out.append((label, hit | F.coalesce(F.bool_or(has_any(flags, marks)), F.lit(False)) if marks else hit))
+    return out
+
+
 def summaries(members: DataFrame, nodes: DataFrame, shown: int = 5) -> DataFrame:
-    """(community, summary): size, the first named functions, flags and likely purpose in words."""
+    """(community, members, summary): size, the first named functions, flags and likely purpose in words.
+
+    Of names only the first ones are gathered, all others counted; flags are a small set.
+    """
     full = members.join(nodes.select("id", "name", "flags"), "id")
-    named = F.when(F.col("name").isNotNull() & ~is_generic(F.col("name")), F.col("name"))
+    full = full.withColumn("named", F.when(F.col("name").isNotNull() & ~is_generic(F.col("name")), F.col("name")))
+    tests = purpose_tests(F.col("named"), F.col("flags"))
     parts = full.groupBy("community").agg(
         F.count("*").alias("members"),
-        F.count(named).alias("n_named"),
-        F.array_sort(F.collect_set(named)).alias("names"),  # distinct names: a dictionary, not the members
+        F.count_distinct("named").alias("n_names"),
         F.sum((F.size("flags") > 0).cast("long")).alias("flagged"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("flags")))).alias("flags"),
+        *[hit.alias(f"purpose{k}") for k, (_, hit) in enumerate(tests)],
     )
+    parts = parts.join(_first(full.filter("named is not null"), "community", "named", shown, "names"), "community", "left")
     number = lambda c: F.col(c).cast("string")
-    n_flags, n_names = F.size("flags"), F.size("names")
-    names = F.concat(F.lit("Key functions: "), F.array_join(F.slice("names", 1, shown), ", "), F.when(n_names > shown, F.concat(F.lit(" (+"), (n_names - shown).cast("string"), F.lit(" more)"))).otherwise(""), F.lit(". "))
+    n_flags, n_names = F.size("flags"), F.col("n_names")
+    names = F.concat(F.lit("Key functions: "), F.array_join("names", ", "), F.when(n_names > shown, F.concat(F.lit(" (+"), (n_names - shown).cast("string"), F.lit(" more)"))).otherwise(""), F.lit(". "))
     flags = F.concat(F.lit("Security-relevant: "), number("flagged"), F.lit(" functions with flags ["), F.array_join(F.slice("flags", 1, shown), ", "), F.when(n_flags > shown, F.concat(F.lit(", +"), (n_flags - shown).cast("string"), F.lit(" more"))).otherwise(""), F.lit("]. "))
-    likely = purpose(F.lower(F.array_join("names", " ")), F.col("flags"))
+    likely = F.coalesce(*[F.when(F.col(f"purpose{k}"), label) for k, (label, _) in enumerate(tests)])
     text = F.concat(F.lit("Community of "), number("members"), F.lit(" functions. "), F.when(n_names > 0, names).otherwise(""), F.when(n_flags > 0, flags).otherwise(""), F.coalesce(F.concat(F.lit("Likely purpose: "), likely, F.lit(".")), F.lit("")))
     return parts.select("community", "members", text.alias("summary"))
 
 
+def key_functions(members: DataFrame, nodes: DataFrame, shown: int = 5) -> DataFrame:
+    """(community, id, name, place): the first flagged members of each community by id."""
+    rank = F.row_number().over(Window.partitionBy("community").orderBy("id"))
+    full = members.join(nodes.filter(F.size("flags") > 0).select("id", display_name(F.col("name"), F.col("address")).alias("name")), "id")
+    return full.withColumn("place", rank).filter(F.col("place") <= shown).select("community", "id", "name", "place")
+
+
+def belonging(members: DataFrame) -> DataFrame:
+    """(source_id, target_id, type, score): an edge from each node to its community, with its membership score."""
+    return members.select(F.col("id").alias("source_id"), F.col("community").alias("target_id"), F.lit("BELONGS_TO_COMMUNITY").alias("type"), F.lit(1.0).alias("score"))
+
+
+def titles_of(nodes: DataFrame, members: DataFrame, found: DataFrame) -> DataFrame:
+    """(id, community, title) of every node; null where it is in no community."""
+    return nodes.select("id").join(members, "id", "left").join(found.select("community", "title"), "community", "left").select("id", "community", "title")
+
+
+def by_security(found: DataFrame, limit: int = 20) -> DataFrame:
+    """The communities of `records` with the highest scores, of equals the largest, with `rank`."""
+    order = (F.desc("score"), F.desc("members"), F.col("community"))
+    top = found.orderBy(*order).limit(limit)
+    return top.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order)))  # over `limit` rows
+
+
 def stats(members: DataFrame) -> DataFrame:
     """Communities, members, whole mean size, largest and smallest."""
     sizes = members.groupBy("community").agg(F.count("*").alias("n"))

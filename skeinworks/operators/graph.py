@@ -98,10 +98,17 @@ def siblings(edges: DataFrame, by: str = "callers") -> DataFrame:
 def similar(edges: DataFrame, named: DataFrame | None = None, limit: int = 10) -> DataFrame:
     """(id, other, score, reason): siblings by caller 0.7, by callee 0.6, by name 0.5; a pair counts for its first reason.
 
-    named: (id, other) pairs of the name search. Ranked by score, then id.
+    named: (id, other) pairs of the name search. Ranked by score, then id. All siblings by one hub have the same score, so the
+    `limit` + 1 least ids of a hub are all that can be among the best of any of its nodes: no pairs beyond these are made.
     """
-    found = siblings(edges, "callers").select("id", "other", F.lit(0.7).alias("score"), F.lit("shared callers").alias("reason"))
-    found = found.unionByName(siblings(edges, "callees").select("id", "other", F.lit(0.6).alias("score"), F.lit("shared callees").alias("reason")))
+
+    def by(hub: str, end: str, score: float, reason: str) -> DataFrame:
+        pairs = calls(edges).select(F.col(hub).alias("hub"), F.col(end).alias("id"))
+        rank = F.row_number().over(Window.partitionBy("hub").orderBy("id"))
+        least = pairs.withColumn("__rank", rank).filter(F.col("__rank") <= limit + 1).select("hub", F.col("id").alias("other"))
+        return pairs.join(least, "hub").filter("id != other").select("id", "other", F.lit(score).alias("score"), F.lit(reason).alias("reason"))
+
+    found = by("source_id", "target_id", 0.7, "shared callers").unionByName(by("target_id", "source_id", 0.6, "shared callees"))
     if named is not None:
         found = found.unionByName(named.select("id", "other", F.lit(0.5).alias("score"), F.lit("name").alias("reason")))
     best = found.groupBy("id", "other").agg(F.max(F.struct("score", "reason")).alias("best")).select("id", "other", "best.*")

@@ -64,11 +64,6 @@ def stale_after(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return out.select(key, F.col("reason").isin("new", "renamed", "changed").alias("is_stale"), "reason")
 
 
-def refreshed_flags(flags: Column, fresh: Column) -> Column:
-    """New flags only where there are none."""
-    return F.when(F.size(flags) == 0, fresh).otherwise(flags)
-
-
 def with_vulnerability(nodes: DataFrame, found: DataFrame) -> DataFrame:
     """Nodes with what `found` (id, kind, severity, description, evidence) adds: three flags and a note in the summary."""
     new = F.array(F.concat(F.lit("VULN_"), F.col("kind")), F.concat(F.lit("SEVERITY_"), F.col("severity")), F.lit("LLM_DISCOVERED_VULN"))
@@ -83,7 +78,17 @@ def with_vulnerability(nodes: DataFrame, found: DataFrame) -> DataFrame:
     )
 
 
-def intervals_containing(refs: DataFrame, at: str, spans: DataFrame, first: str, last: str, width: int) -> DataFrame:
-    """Each ref with each span that contains it: spans are dealt to blocks of `width`, so that it is an equi-join."""
-    dealt = spans.withColumn("__block", F.explode(F.sequence(F.floor(F.col(first) / width), F.floor(F.col(last) / width))))
-    return refs.withColumn("__block", F.floor(F.col(at) / width)).join(dealt, "__block").filter(F.col(at).between(F.col(first), F.col(last))).drop("__block")
+def intervals_containing(refs: DataFrame, at: str, spans: DataFrame, first: str, last: str, narrowest: int = 1) -> DataFrame:
+    """Each ref with each span that contains it, as an equi-join.
+
+    A span is dealt to blocks as wide as the power of two that its length fits in, hence to two at most, however long it
+    is; a ref goes to its block of each width that occurs. Blocks are no narrower than `narrowest`, so that short spans
+    have one width.
+    """
+    width = F.ceil(F.log2(F.greatest(F.col(last).cast("double") - F.col(first) + 1, F.lit(float(narrowest))))).cast("int")
+    spans = spans.filter(F.col(first) <= F.col(last)).withColumn("__width", width)
+    widths = [r[0] for r in spans.select("__width").distinct().collect()]  # 64 rows at most
+    block = lambda c: F.call_function("shiftright", F.col(c).cast("long"), F.col("__width"))
+    dealt = spans.withColumn("__block", F.explode(F.array_distinct(F.array(block(first), block(last)))))
+    near = refs.withColumn("__width", F.explode(F.lit(widths).cast("array<int>"))).withColumn("__block", block(at))
+    return near.join(dealt, ["__width", "__block"]).filter(F.col(at).between(F.col(first), F.col(last))).drop("__width", "__block")

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skeinworks.operators.graph import calls, reach
+from skeinworks.functions.catalog import ENTRY_NAMES, RECEIVERS, SENDERS, TAINT_SINKS, TAINT_SOURCES
+from skeinworks.functions.names import library_name
+from skeinworks.operators.graph import calls, display_name, reach
 from skeinworks.sources.tables import cut
 
 MAX_HOPS = 10
@@ -19,6 +21,52 @@ def has_any(flags: Column, wanted: tuple[str, ...]) -> Column:
     return F.arrays_overlap(flags, F.array(*map(F.lit, wanted)))
 
 
+def taint_set(nodes: DataFrame, edges: DataFrame, flags: tuple[str, ...], names: frozenset[str], plain=lambda name: name) -> DataFrame:
+    """(id) of the functions that have one of the flags, or one of the names, or call a function of such a name.
+
+    nodes: id, name, flags. plain: the form in which names are looked up.
+    """
+    known = F.coalesce(plain(F.col("name")).isin(*sorted(names)), F.lit(False))
+    own = nodes.filter((has_any(F.col("flags"), flags) | known) if flags else known).select("id")
+    called = nodes.filter(known).select(F.col("id").alias("target_id"))
+    return own.union(calls(edges).join(called, "target_id", "left_semi").select("source_id")).distinct().join(nodes.select("id"), "id", "left_semi")
+
+
+def sources(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Where untrusted data comes in: (id)."""
+    return taint_set(nodes, edges, SOURCE_FLAGS, TAINT_SOURCES)
+
+
+def sinks(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Where it does harm: (id)."""
+    return taint_set(nodes, edges, SINK_FLAGS, TAINT_SINKS)
+
+
+def senders(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Functions that send over a network, by the plain names of calls: (id)."""
+    return taint_set(nodes, edges, (), SENDERS, library_name)
+
+
+def receivers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    return taint_set(nodes, edges, (), RECEIVERS, library_name)
+
+
+def entries(nodes: DataFrame) -> DataFrame:
+    """Entry points by flag or by name: (id)."""
+    return nodes.filter(has_any(F.col("flags"), ENTRY_FLAGS) | F.coalesce(F.col("name").isin(*sorted(ENTRY_NAMES)), F.lit(False))).select("id")
+
+
+def taint_stats(nodes: DataFrame, edges: DataFrame, samples: int = 10) -> DataFrame:
+    """(kind, n, sample): how many sources and sinks there are, with the names of the first ones by id."""
+    named = nodes.select("id", display_name(F.col("name"), F.col("address")).alias("name"))
+
+    def one(kind: str, ids: DataFrame) -> DataFrame:
+        first = ids.join(named, "id").orderBy("id").limit(samples).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "name"))), lambda x: x["name"]), ",").alias("sample"))
+        return ids.agg(F.count("*").alias("n")).crossJoin(first).select(F.lit(kind).alias("kind"), "n", "sample")  # a row each
+
+    return one("source", sources(nodes, edges)).unionByName(one("sink", sinks(nodes, edges)))
+
+
 def is_vulnerable(flags: Column, strict: bool = False) -> Column:
     """Whether a flag starts with VULN_ or ends with _RISK; the level flags count too, unless strict."""
     level = ("HIGH_RISK", "MEDIUM_RISK", "NETWORK_WITH_VULN_RISK")

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skeinworks.sources.tables import cut
+
 #: BM25's usual parameters, the boost of contents, and limits of a vector search.
 K1, B, BOOST = 1.2, 0.75, 2.0
 FLOOR, RELATIVE, MOST = 0.50, 0.95, 5
@@ -56,8 +58,9 @@ def bm25(df: DataFrame, id_col: str, text_col: str, query: str, file_col: str |
     if it equals a term as a whole. saturated = score / (score + 1).
     """
     terms = sorted({t for t in query.lower().split() if t})
-    words = tokens(F.col(text_col))
-    counted = df.select(id_col, *([file_col] if file_col else []), F.size(words).alias("n"), *[F.size(F.filter(words, _is(t))).alias(f"tf{k}") for k, t in enumerate(terms)])
+    split = df.select(id_col, *([file_col] if file_col else []), tokens(F.col(text_col)).alias("__words"))
+    # a few numbers a row, which both the totals and the scores are made of: each text is split once
+    counted = cut(split.select(*[c for c in split.columns if c != "__words"], F.size("__words").alias("n"), *[F.size(F.filter("__words", _is(t))).alias(f"tf{k}") for k, t in enumerate(terms)]))
     total = counted.agg(F.count("*").alias("docs"), F.avg("n").alias("mean"), *[F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(terms))])  # one row
     joined = counted.join(F.broadcast(total))
     score = F.lit(0.0)
@@ -89,8 +92,11 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def vector_search(df: DataFrame, vector_col: str, query: DataFrame, k: int = MOST, *then: str) -> DataFrame:
-    """The rows most similar to `query` (one row, column `query`): FLOOR and RELATIVE times the best at least, min(k, MOST) rows."""
-    scored = df.join(F.broadcast(query)).withColumn("score", cosine(F.col(vector_col), F.col("query"))).drop("query").filter(F.col("score") >= FLOOR)
+    """The rows most similar to `query` (one row, column `query`, else it fails): FLOOR and RELATIVE times the best at least, min(k, MOST) rows."""
+    vector = [r["query"] for r in query.select("query").limit(2).collect()]
+    if len(vector) != 1:
+        raise ValueError("a vector search takes one query vector")
+    scored = df.withColumn("score", cosine(F.col(vector_col), F.lit(vector[0]))).filter(F.col("score") >= FLOOR)
     found = top(scored, "score", min(k, MOST), *then)
     best = F.max("score").over(Window.partitionBy(F.lit(1)))  # over min(k, MOST) rows
     return found.withColumn("__best", best).filter(F.col("score") >= RELATIVE * F.col("__best")).drop("__best")

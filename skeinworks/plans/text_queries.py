@@ -56,9 +56,10 @@ def activity_profile_risk(spark, sf_dir):
     pages = table(spark, sf_dir, "pages", "page_id", "url", "html").select(F.concat(F.lit("p"), "page_id").alias("id"), F.concat("url", F.lit("\n"), "html").alias("code"))
     f = docs.union(pages).select("id", features.called_names(F.col("code")).alias("calls"), F.split("code", r"[\x20\x09-\x0D]+").alias("words"))
     kinds = {"ips": "ip", "urls": "url", "domains": "domain", "paths": "path", "registry": "registry"}
+    f = f.select("id", features.known_calls(F.col("calls")).alias("calls"), features.kinds_of(F.col("words")).alias("strings"))
     f = f.withColumns(features.api_columns(F.col("calls")))
-    of_kind = lambda kind: lambda w: F.coalesce(features.string_kind(w) == kind, F.lit(False))
-    f = f.withColumns({k: F.filter("words", of_kind(kind)) for k, kind in kinds.items()})
+    of_kind = lambda kind: F.transform(F.filter("strings", lambda x: x["kind"] == kind), lambda x: x["word"])
+    f = f.withColumns({k: of_kind(kind) for k, kind in kinds.items()})
     c = {k: F.col(k) for k in [*CATEGORIES, "risks", *kinds]}
     f = f.withColumn("profile", features.profile(*(c[k] for k in CATEGORIES))).withColumn("score", features.risk_score(c))
     f = f.withColumn("level", features.risk_level(F.col("score")))
@@ -191,10 +192,16 @@ def _category(calls: str, wanted) -> str:
     return f"list_distinct(list_transform(list_filter({calls}, lambda n: n in {_in(wanted)} or {_api('n')} in {_in(wanted)}), lambda n: {_api('n')}))"
 
 
+def _trait_pattern(trait: str) -> str:
+    """A trait's names as one pattern for names in a row, each between two blanks."""
+    whole, parts, starts = features.TRAITS[trait]
+    return "|".join([*(f" {n} " for n in whole), *parts, *(f" {n}" for n in starts)])
+
+
 def _profiled(rows: str, kept: str) -> str:
     """Profile, score, level and flags over rows with calls and lists of strings by kind."""
     has = lambda c: f"len({c}) > 0"
-    t = lambda c, k: f"regexp_matches(lower(' ' || array_to_string({c}, '  ') || ' '), '{features.TRAITS[k]}')"
+    t = lambda c, k: f"regexp_matches(lower(' ' || array_to_string({c}, '  ') || ' '), '{_trait_pattern(k)}')"
     risks = "list_filter([" + ", ".join(f"case when len({_category('calls', w)}) > 0 then '{r}' end" for r, w in sorted(DANGEROUS.items())) + "], lambda x: x is not null)"
     sets = ", ".join(f"{_category('calls', w)} as {k}_" for k, w in CATEGORIES.items())
     labels = [

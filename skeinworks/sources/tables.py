@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import time
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,9 +17,15 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The rows as a checkpoint in the folder that driver and executors share; that folder is set only where it is unset."""
+    """The rows as a checkpoint in the folder that driver and executors share.
+
+    Where none is named, a local master takes a temporary one; on a cluster that fails, as executors couldn't read it.
+    Spark deletes checkpoints that are no longer used if spark.cleaner.referenceTracking.cleanCheckpoints is true.
+    """
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='skein-')}")
     return df.checkpoint()
 
@@ -47,7 +55,36 @@ def write_graph_export(nodes: DataFrame, edges: DataFrame, path: str, records: i
     write_json_chunks(edges, f"{path}/edges", records)
 
 
-def read_text_files(spark: SparkSession, path: str) -> DataFrame:
-    """(filename, file_size, content) of whole text files."""
+def push_chunks(df: DataFrame, send, records: int = 500, retries: int = 5) -> None:
+    """Hands the rows to `send` (a function of a list of dicts), `records` at a time within each task, again after an error.
+
+    A chunk that fails `retries` times more fails its task. A repeated task sends anew, so `send` must bear repeats.
+    """
+
+    def one(rows) -> None:
+        rows = iter(rows)
+        while part := [r.asDict(recursive=True) for r in islice(rows, records)]:
+            for attempt in range(retries + 1):
+                try:
+                    send(part)
+                    break
+                except Exception:
+                    if attempt == retries:
+                        raise
+                    time.sleep(min(0.01 * 2**attempt, 30))
+
+    df.foreachPartition(one)
+
+
+def write_table(df: DataFrame, path: str, partition: str | None = None) -> DataFrame:
+    """The rows as Parquet in one job, and the table read back."""
+    writer = df.write.mode("overwrite")
+    (writer.partitionBy(partition) if partition else writer).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
+def read_text_files(spark: SparkSession, path: str, partitions: tuple[str, ...] = ()) -> DataFrame:
+    """(filename, file_size, content) of whole text files, and the values of `partitions` that their folders name."""
     raw = spark.read.format("binaryFile").load(path)
-    return raw.select(F.element_at(F.split("path", "/"), -1).alias("filename"), F.col("length").alias("file_size"), F.decode("content", "utf-8").alias("content"))
+    named = [F.regexp_extract("path", f"/{name}=([^/]*)/", 1).alias(name) for name in partitions]
+    return raw.select(F.element_at(F.split("path", "/"), -1).alias("filename"), F.col("length").alias("file_size"), F.decode("content", "utf-8").alias("content"), *named)

@@ -1,3 +1,6 @@
+import os
+
+import pytest
 from pyspark.sql import functions as F
 
 from skeinworks.functions import features, names, texts
@@ -92,3 +95,51 @@ def test_stable_blocks():
     assert stable_end("| a |\n| b |\n") == 0
     assert stable_end("# head\ntext") == 7
     assert joined("ab", "abc") == "abc" and joined("ab", "c") == "abc" and joined("", "x") == "x"
+
+
+def test_fixed_values():
+    """The catalogue by value: numbers of names, and the ones that are easily lost."""
+    from skeinworks.functions import catalog
+
+    assert {k: len(v) for k, v in catalog.CATEGORIES.items()} == {"network": 175, "file": 205, "crypto": 46, "process": 40}
+    assert {"CancelIo", "CancelIoEx", "CancelSynchronousIo"} <= catalog.FILE
+    assert (len(catalog.TAINT_SOURCES), len(catalog.TAINT_SINKS), len(catalog.SENDERS), len(catalog.RECEIVERS), len(catalog.ENTRY_NAMES)) == (31, 52, 19, 17, 19)
+    assert sum(len(v) for v in catalog.DANGEROUS.values()) == sum(len(set(v)) for v in catalog.DANGEROUS.values())
+
+
+def test_long_spans_and_hubs(spark):
+    """A span of 2 ** 40 goes to two blocks; a hub with 3000 callees makes 11 pairs for each of them."""
+    from skeinworks.operators import build, communities, graph, merge
+
+    spans = spark.createDataFrame([("f", -5, 1 << 40), ("g", 7, 7)], "f string, a long, b long")
+    refs = spark.createDataFrame([(7,), (-6,), (1 << 39,), ((1 << 40) + 1,)], "at long")
+    assert sorted((r["at"], r.f) for r in merge.intervals_containing(refs, "at", spans, "a", "b").collect()) == [(7, "f"), (7, "g"), (1 << 39, "f")]
+    hub = spark.range(1, 3001).selectExpr("0L as source_id", "id as target_id", "'CALLS' as type")
+    found = graph.similar(hub).groupBy("id").agg(F.count("*").alias("n"), F.min("other").alias("least"), F.max("other").alias("most")).collect()
+    assert len(found) == 3000 and all((r.n, r.least, r.most) == ((10, 2, 11) if r.id == 1 else (10, 1, 10 if r.id > 10 else 11)) for r in found)
+    pending = spark.createDataFrame([(1, None, None, "a"), (2, None, None, "b"), (3, 5, "n", None), (4, 5, "n", "c")], "seq int, address long, name string, content string")
+    assert sorted((r.seq, r.content) for r in build.first_wins(pending).collect()) == [(1, "a"), (2, "b"), (3, "c")]
+    members = spark.range(2000).selectExpr("id", "1L as community")
+    nodes = spark.range(2000).selectExpr("id", "concat('name', lpad(id, 4, '0')) as name", "array('X') as flags")
+    text = communities.summaries(members, nodes).first().summary
+    assert text.startswith("Community of 2000 functions. Key functions: name0000, name0001, name0002, name0003, name0004 (+1995 more). ")
+
+
+def test_chunks_are_pushed_again_after_an_error(spark, tmp_path):
+    from skeinworks.sources import tables
+
+    folder = str(tmp_path)
+
+    def send(part):
+        mark = f"{folder}/failed-{part[0]['id']}"
+        if not os.path.exists(mark):
+            open(mark, "w").close()
+            raise OSError("try again")
+        with open(f"{folder}/sent-{part[0]['id']}", "w") as f:
+            f.write(str(len(part)))
+
+    tables.push_chunks(spark.range(0, 25, 1, 2), send, 5)
+    sent = [int(open(f"{folder}/{f}").read()) for f in os.listdir(folder) if f.startswith("sent-")]
+    assert sum(sent) == 25 and max(sent) == 5
+    with pytest.raises(Exception):
+        tables.push_chunks(spark.range(1), lambda part: 1 / 0, 5, 0)
