@@ -6,8 +6,10 @@ frequent training tokens are classes of their own; each other word belongs to on
 within which words have their add-one unigram probability, unknown words together that of one word. All add up to 1.
 
 Counts cover every training text: they are combined in the map tasks and summed in a shuffle, at no point as a whole on
-the driver or in one task. Training passes over every training text once, in ROUNDS rounds of a growing share. In a round
-each task trains from the same parameters on its own texts, and a shuffle averages the results, weighted by tokens. The
+the driver or in one task. Training passes over every training text once, in ROUNDS rounds of a growing share. A round's
+texts are dealt out to shards of about SHARD_TOKENS tokens by the hash of id and text, which also orders them, so that the
+model is the same however the input is partitioned. Each shard is trained from the same parameters, and a shuffle averages
+the results, weighted by tokens, in whole numbers, so that their order makes no difference. The
 model has a fixed number of parameters. Batched matrix products give the log normaliser of every pair of context
 classes once; scoring a token then takes three look-ups.
 
@@ -24,6 +26,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby, islice
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +46,10 @@ BATCH = 1024
 RATE = 0.3
 #: Shares of the training texts, in 64ths, that the rounds pass over.
 ROUNDS = (4, 20, 40)
+#: Tokens of a shard, unless there would be more than SHARDS of them.
+SHARD_TOKENS, SHARDS = 1 << 20, 4096
+#: Averages are sums of whole numbers, in units of 1 / FIXED for each SHARD_TOKENS tokens.
+FIXED = 1 << 30
 #: Distinct words that a map task counts before it hands them on.
 COUNTED = 400_000
 ROWS = 256
@@ -226,21 +233,25 @@ def contexts(classes: np.ndarray, first: np.ndarray, before: int) -> tuple[np.nd
 
 
 def _trained(model: Model, flat: np.ndarray, words: Vocabulary, round_: int):
-    """One task's share of a round: (place, its parameter times its tokens, its tokens)."""
+    """Each shard's share of a round, from rows (shard, text) sorted by shard: (place, its parameter by its tokens, its tokens)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nce, n = None, 0
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, str | None]]:
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
-                _, classes, first, _ = words.encode(batch.column(0).slice(at, ROWS).to_pylist())
-                nce = nce or Nce(model, flat, words.class_mass, [SEED, round_, TaskContext.get().partitionId()])
+                part = batch.slice(at, ROWS)
+                yield from zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, rows in groupby(texts(batches), key=lambda row: row[0]):
+            nce, n = Nce(model, flat, words.class_mass, [SEED, round_, shard]), 0
+            while some := [text for _, text in islice(rows, ROWS)]:
+                _, classes, first, _ = words.encode(some)
                 a, b = contexts(classes, first, model.n)
                 for k in range(0, len(classes), BATCH):
                     nce.learn(a[k : k + BATCH], b[k : k + BATCH], classes[k : k + BATCH])
                 n += len(classes)
-        if nce:
-            places = np.arange(len(flat), dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(places), pa.array(nce.flat.astype(np.float64) * n), pa.array(np.full(len(flat), n, np.int64))], ["place", "value", "tokens"])
+            value = np.rint(nce.flat.astype(np.float64) * (n / SHARD_TOKENS * FIXED)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(value), pa.array(np.full(len(flat), n, np.int64))], ["place", "value", "tokens"])
 
     return run
 
@@ -249,15 +260,20 @@ def train(training: DataFrame, id_col: str, text_col: str, words: Vocabulary, di
     """The model's parameters after a pass over all training texts."""
     model = Model(words.n_classes, dim)
     flat = model.first(words.class_mass)
-    turn = F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(sum(ROUNDS)))
+    text = F.col(text_col).cast("string")
+    id_ = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    turn = F.pmod(F.xxhash64(id_), F.lit(sum(ROUNDS)))
+    order = F.xxhash64(F.lit(SEED), id_, text)
     done = 0
     for k, share in enumerate(ROUNDS):
-        texts = training.filter((turn >= done) & (turn < done + share)).select(F.col(text_col).cast("string"))
-        sums = texts.mapInArrow(_trained(model, flat, words, k), "place int, value double, tokens long").groupBy("place").agg((F.sum("value") / F.sum("tokens")).alias("value"))
+        n_shards = min(SHARDS, max(1, -(-words.tokens * share // (sum(ROUNDS) * SHARD_TOKENS))))
+        some = training.filter((turn >= done) & (turn < done + share)).select(F.pmod(order, F.lit(n_shards)).alias("shard"), text.alias("text"), order.alias("order"))
+        dealt = some.repartition(n_shards, "shard").sortWithinPartitions("shard", "order").select("shard", "text")
+        sums = dealt.mapInArrow(_trained(model, flat, words, k), "place int, value long, tokens long").groupBy("place").agg(F.sum("value").alias("value"), F.sum("tokens").alias("tokens"))
         mean = sums.toPandas()  # a row per parameter
         if len(mean):
             flat = flat.copy()
-            flat[mean["place"].to_numpy()] = mean["value"].to_numpy(np.float32)
+            flat[mean["place"].to_numpy()] = (mean["value"].to_numpy() / mean["tokens"].to_numpy() * (SHARD_TOKENS / FIXED)).astype(np.float32)
         done += share
     return model, flat
 

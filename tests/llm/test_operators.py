@@ -603,3 +603,45 @@ def test_few_words_apart_bounds_the_distance():
             assert not found or true <= most
             seen[found] += 1
     assert seen[True] > 300
+
+
+def plain_lm(df, words):
+    """The model's score of each text, without Spark: the same parameters, then a plain sum over tokens and classes."""
+    training = df.filter(~lm_score.held_out(F.col("doc_id")))
+    vocab = lm_score.vocabulary(lm_score.count_words(training, "text"), words)
+    model, flat = lm_score.train(training, "doc_id", "text", vocab)
+    r, q, c1, c2, bias = (x.astype(np.float64) for x in model.parts(flat))
+    counts = Counter(w for row in training.collect() for w in (row.text or "").encode().lower().split() + [b"\n"])
+    top = [w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:words]]
+    class_of = lambda w: top.index(w) if w in top else len(top) + zlib.crc32(w[-2:]) % lm_score.RARE
+    inside = Counter()
+    for w, n in counts.items():
+        inside[class_of(w)] += n + 1
+    out = {}
+    for row in df.collect():
+        tokens, total, before = (row.text or "").encode().lower().split() + [b"\n"], 0.0, [model.n, model.n]
+        for w in tokens:
+            k = class_of(w)
+            logits = (r[before[1]] @ c1 + r[before[0]] @ c2) @ q.T + bias
+            total += (logits[k] - np.log(np.exp(logits).sum())) / np.log(10)
+            if k >= len(top):  # unknown words of a class are one more
+                total += np.log10((counts[w] + 1) / (inside[k] + 1))
+            before = [before[1], k]
+        out[row.doc_id] = total
+    return out
+
+
+def test_lm_score_against_a_plain_version(spark):
+    df, rows = corpus(spark, 120)
+    found = {r.doc_id: r.score for r in lm_score.score(df, words=30).collect()}
+    want = plain_lm(df, 30)
+    assert all(abs(found[k] - want[k]) < 1e-3 * (1 + abs(want[k])) for k in want)
+
+
+def test_lm_score_is_the_same_however_rows_are_dealt(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    one, other = ({r.doc_id: r for r in lm_score.score(x).collect()} for x in (docs.repartition(1), docs.repartition(7, F.length("text"))))
+    assert all(abs(one[k].score - other[k].score) <= 1e-9 * abs(one[k].score) for k in one)
+    # held-out texts are the more probable for the model; a model of single words comes to base_score
+    out = [r for r in one.values() if r.held_out]
+    assert sum(r.score - r.base_score for r in out) > 0.01 * sum(r.n_tokens for r in out)  # 0.019 as measured
