@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,12 +18,18 @@ SPACES = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, which is set here only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, a local master takes a temporary one; on a cluster that fails, as executors couldn't read it. Tables
+    there are called skein-*; whoever has consumed a result may delete them.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         if jvm_dir.isDefined():
             return str(jvm_dir.get())
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='skein-')}"
         spark.sparkContext.setCheckpointDir(found)
         return shared_dir(spark)
@@ -45,6 +55,30 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def whole_number_id(df: DataFrame, id_col: str) -> Column:
+    """The id as a long; an operator whose format has whole numbers for ids refuses others."""
+    kind = df.schema[id_col].dataType.simpleString()
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{id_col} must be a whole number, not {kind}")
+    return F.col(id_col).cast("long")
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns of a row."""
+    return F.xxhash64(*[F.to_json(F.struct(f"`{f.name}`")) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in df.schema])
+
+
+def slices(batch: pa.RecordBatch, column: int, rows: int = 256, size: int = 32 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of `rows` rows at most and about `size` bytes of a column, a single longer value apart."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = int(ends[at - 1]) if at else 0
+        n = max(1, min(rows, int(np.searchsorted(ends, before + size, "right")) - at))
+        yield batch.slice(at, n)
+        at += n
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

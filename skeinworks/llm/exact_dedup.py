@@ -7,7 +7,7 @@ and writes the bucket's entries to files in the shared folder. Only the histogra
 2**MAX_DEPTH rows) reaches the driver. Equal texts are combined in the map tasks first, so that a text with a third of
 all rows reaches its owner once per input partition.
 
-Nulls: a null text counts as empty; a null id sorts after every other id. Repeated rows (same id and text) are copies
+Nulls: a null text counts as empty; a null id sorts after every other id, which may be of any type that sorts. Repeated rows (same id and text) are copies
 like any other and exactly one of them stays. Empty input gives an empty result. Other columns are left alone.
 """
 
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skeinworks.llm.common import SPACES, shuffle_partitions, written
+from skeinworks.llm.common import SPACES, row_hash, shuffle_partitions, written
 
 #: The directory never has more than 2**MAX_DEPTH slots, which bounds what is collected and broadcast.
 MAX_DEPTH = 20
@@ -29,9 +29,8 @@ CAPACITY = 64 << 20
 #: Bytes of text that a map task combines before it hands them on.
 PAGE_BYTES = 32 << 20
 
-_NO_ID = (1 << 63) - 1
-_ENTRY = "key long, norm string, n_rows long, best_chars long, best_id long, ties long"
-_INDEX = f"bucket int, chain int, sha string, {_ENTRY}"
+_ENTRY = "key long, norm string, n_rows long, best_chars long, best_id {}, ties long"
+_INDEX = "bucket int, chain int, sha string, " + _ENTRY
 
 
 def grow_directory(histogram: dict[int, int], depth: int, capacity: int) -> list[tuple[int, int, int]]:
@@ -62,16 +61,16 @@ def grow_directory(histogram: dict[int, int], depth: int, capacity: int) -> list
 
 def _better(a: list, b: list) -> list:
     """Of two [n_rows, best_chars, best_id, ties], their union."""
-    best = max(a, b, key=lambda x: (x[1], -x[2]))
+    best = min(a, b, key=lambda x: (-x[1], x[2] is None, 0 if x[2] is None else x[2]))
     ties = a[3] + b[3] if a[1:3] == b[1:3] else best[3]
     return [a[0] + b[0], best[1], best[2], ties]
 
 
-def _table(rows: list[tuple], names: str) -> pa.RecordBatch:
+def _table(rows: list[tuple], names: str, id_type: pa.DataType) -> pa.RecordBatch:
     kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
     fields = [x.split() for x in names.split(", ")]
     columns = list(zip(*rows, strict=True)) or [[] for _ in fields]
-    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], [n for n, _ in fields])
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds.get(k, id_type)) for c, (_, k) in zip(columns, fields, strict=True)], [n for n, _ in fields])
 
 
 def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,9 +80,10 @@ def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held = 0
 
     def page() -> pa.RecordBatch:
-        return _table([(keys[norm], norm, *x) for norm, x in seen.items()], _ENTRY)
+        return _table([(keys[norm], norm, *x) for norm, x in seen.items()], _ENTRY, kind)
 
     for batch in batches:
+        kind = batch.column(3).type
         for key, norm, chars, id_ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             one = [1, chars, id_, 1]
             if norm in seen:
@@ -110,6 +110,7 @@ def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held += len(norm)
 
     for batch in batches:
+        kind = batch.schema.field("best_id").type
         for b, k, norm, *x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if k != key and chain:
                 close()
@@ -117,12 +118,12 @@ def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key, bucket = k, b
             chain[norm] = _better(chain[norm], x) if norm in chain else x
         if held > PAGE_BYTES:
-            yield _table(out, _INDEX)
+            yield _table(out, _INDEX, kind)
             out, held = [], 0
     if chain:
         close()
     if out:
-        yield _table(out, _INDEX)
+        yield _table(out, _INDEX, kind)
 
 
 def build_index(df: DataFrame, id_col: str, text_col: str, capacity: int = CAPACITY) -> tuple[DataFrame, DataFrame]:
@@ -131,12 +132,11 @@ def build_index(df: DataFrame, id_col: str, text_col: str, capacity: int = CAPAC
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = df.select(
         F.col(id_col).alias("id"),
-        F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("order_id"),
         F.char_length(text).cast("long").alias("chars"),
         F.regexp_replace(text, SPACES, "").alias("norm"),
     ).withColumn("key", F.xxhash64("norm"))
     rows = written(
-        base.select("id", "order_id", "chars", "key", F.sha2(F.col("norm").cast("binary"), 256).alias("sha"), F.octet_length("norm").cast("long").alias("bytes")),
+        base.select("id", "chars", "key", F.sha2(F.col("norm").cast("binary"), 256).alias("sha"), F.octet_length("norm").cast("long").alias("bytes")),
         "rows",
     )
     total = rows.agg(F.sum(F.col("bytes") + 64)).first()[0] or 0
@@ -149,7 +149,8 @@ def build_index(df: DataFrame, id_col: str, text_col: str, capacity: int = CAPAC
     directory = grow_directory({p: n for p, n in sizes.collect()}, depth, capacity)
     whole = max(d for *_, d in directory)
     slots = spark.createDataFrame([(s, b) for s, b, _ in directory], "slot long, bucket int")
-    entries = base.select("key", "norm", "chars", "order_id").mapInArrow(_combine, _ENTRY)
+    kind = df.schema[id_col].dataType.simpleString()
+    entries = base.select("key", "norm", "chars", "id").mapInArrow(_combine, _ENTRY.format(kind))
     slot = F.shiftrightunsigned("key", 64 - whole) if whole else F.lit(0).cast("long")
     owned = (
         entries.withColumn("slot", slot)
@@ -158,7 +159,7 @@ def build_index(df: DataFrame, id_col: str, text_col: str, capacity: int = CAPAC
         .repartition(max(1, min(parts, len({b for _, b, _ in directory}))), "bucket")
         .sortWithinPartitions("bucket", "key")
     )
-    return rows, written(owned.mapInArrow(_own, _INDEX), "index")
+    return rows, written(owned.mapInArrow(_own, _INDEX.format(kind)), "index")
 
 
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
@@ -170,16 +171,15 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
     rows, index = build_index(df, id_col, text_col, capacity)
     groups = index.select("key", "sha", "n_rows", "best_chars", "best_id", "ties")
     found = rows.join(groups, ["key", "sha"])
-    best = (F.col("chars") == F.col("best_chars")) & (F.col("order_id") == F.col("best_id"))
+    best = (F.col("chars") == F.col("best_chars")) & F.col("id").eqNullSafe(F.col("best_id"))
     if not groups.filter("ties > 1").isEmpty():  # the same id and text more than once: the first of these rows stays
         found = written(found.withColumn("uid", F.monotonically_increasing_id()), "tied")
         first = found.filter(best & (F.col("ties") > 1)).groupBy("key", "sha").agg(F.min("uid").alias("first_uid"))
         found = found.join(first, ["key", "sha"], "left")
         best = best & ((F.col("ties") == 1) | (F.col("uid") == F.col("first_uid")))
-    keep_id = F.when(F.col("best_id") != _NO_ID, F.col("best_id"))
     return found.select(
         F.col("id").alias(id_col),
-        keep_id.cast(df.schema[id_col].dataType).alias("keep_id"),
+        F.col("best_id").alias("keep_id"),
         F.col("n_rows").alias("group_size"),
         best.alias("kept"),
         F.col("sha").alias("text_sha256"),
@@ -192,13 +192,14 @@ def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = df.select(
         F.struct(*df.columns).alias("row"),
+        row_hash(df).alias("hash"),
         F.sha2(F.regexp_replace(text, SPACES, "").cast("binary"), 256).alias("sha"),
-        F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("best_id"),
-        F.char_length(text).cast("long").alias("best_chars"),
+        F.col(id_col).alias("id"),
+        F.char_length(text).cast("long").alias("chars"),
     )
-    best = index.select("sha", "best_id", "best_chars", "ties")
-    found = base.join(best, ["best_id", "sha", "best_chars"])
+    best = index.select(F.col("sha").alias("best_sha"), "best_id", "best_chars", "ties")
+    found = base.join(best, (F.col("sha") == F.col("best_sha")) & F.col("id").eqNullSafe(F.col("best_id")) & (F.col("chars") == F.col("best_chars")))
     out = found.filter("ties = 1").select("row")
-    if not best.filter("ties > 1").isEmpty():
-        out = out.unionByName(found.filter("ties > 1").dropDuplicates(["best_id", "sha"]).select("row"))
+    if not best.filter("ties > 1").isEmpty():  # of rows that tie the one with the least hash of all columns
+        out = out.unionByName(found.filter("ties > 1").groupBy("best_id", "sha").agg(F.min_by("row", "hash").alias("row")).select("row"))
     return out.select("row.*")

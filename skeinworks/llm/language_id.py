@@ -164,10 +164,15 @@ def _sampled(n_features: int):
 
 
 def train(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, n_features: int = FEATURES, sample_rows: int = SAMPLE_ROWS, epochs: int = 3) -> Model:
-    """Document frequencies over all of `labelled`, weights from at most `sample_rows` of its rows."""
+    """Document frequencies over all of `labelled`, weights from at most `sample_rows` of its rows.
+
+    Every language has its share of the sample; more languages than `sample_rows` are refused.
+    """
     rows = labelled.filter(F.col(lang_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     stats = rows.select("text").mapInArrow(_counted(n_features), "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n"))
-    per_lang = {r.lang: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(sample_rows).collect()}
+    per_lang = {r.lang: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(sample_rows + 1).collect()}
+    if len(per_lang) > sample_rows:
+        raise ValueError(f"there are more than {sample_rows} languages; sample_rows must be larger")
     languages = sorted(per_lang)
     idf = np.zeros(n_features)
     if not languages:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skeinworks.llm.common import written
+from skeinworks.llm.common import slices, written
 
 SIDE = 24
 FRAME = SIDE * SIDE
@@ -32,7 +32,7 @@ RATE = 25
 CHUNK = 16
 #: One frame in so many is marked as a keyframe.
 KEY_EVERY = 12
-#: Rows of a batch that are turned at once.
+#: Rows of a batch that are turned at once, if they are no larger than common.slices takes.
 ROWS = 256
 
 #: Boxes that hold boxes, and how many bytes of their own come first.
@@ -254,8 +254,7 @@ def mux(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
+            for part in slices(batch, 1, ROWS):
                 texts = [(t.as_py() or "").encode() for t in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, texts), pa.int64()), pa.array(map(mux_bytes, texts), pa.binary())], ["id", "n_bytes", "media"])
 
@@ -291,8 +290,7 @@ def round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
+            for part in slices(batch, 2, ROWS):
                 rows = []
                 for n_bytes, media in zip(part.column(1).to_pylist(), part.column(2), strict=True):
                     data = memoryview(media.as_buffer())

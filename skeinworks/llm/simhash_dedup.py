@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skeinworks.llm.blocks import linked, masks_for, meetings, nodes, scattered, tiles
-from skeinworks.llm.common import shuffle_partitions, written
+from skeinworks.llm.common import row_hash, shuffle_partitions, written
 from skeinworks.llm.components import connected_components
 from skeinworks.llm.gray_index import GrayIndex, forest, gray_rank
 
@@ -245,7 +245,7 @@ def first_of_each(df: DataFrame, id_col: str, text_col: str, roots_of: Callable[
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     # a row is known by its id and by 128 bits of its text, of its columns by 64 more
-    known = {"__h1": F.xxhash64(text), "__h2": F.xxhash64(F.lit(1), text), "__row": F.xxhash64(*df.columns), "__key_id": F.col(id_col)}
+    known = {"__h1": F.xxhash64(text), "__h2": F.xxhash64(F.lit(1), text), "__row": row_hash(df), "__key_id": F.col(id_col)}
     base = df.select(F.struct(*df.columns).alias("__all"), text.alias("text"), *[v.alias(k) for k, v in known.items()])
     rows = written(base.select(F.col("__key_id").alias("id"), "__h1", "__h2", "__row"), "rows")
     distinct = written(rows.groupBy("__h1", "__h2").agg(F.count("*").alias("n")).withColumn("key", F.monotonically_increasing_id()), "texts")

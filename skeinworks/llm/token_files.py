@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -25,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skeinworks.llm.common import make_dir, new_path, shuffle_partitions, written
+from skeinworks.llm.common import make_dir, new_path, shuffle_partitions, slices, whole_number_id, written
 from skeinworks.llm.files import Reader, filesystem, new_name
 from skeinworks.llm.pretokens import pieces
 
@@ -64,7 +65,7 @@ class Writer:
         self.out = self.fs.open_output_stream(self.path)
         self.out.write(MAGIC)
         self.at, self.n = len(MAGIC), 0
-        self.docs, self.nulls, self.firsts, self.blocks = [], [], [], []
+        self.docs, self.nulls, self.firsts, self.blocks = array("q"), bytearray(), array("Q"), array("Q")
         self.rest = np.empty(0, np.uint32)
 
     def add(self, docs: list[int | None], ids: list[np.ndarray]) -> None:
@@ -89,8 +90,9 @@ class Writer:
         if len(self.rest):
             self._block(self.rest)
         self.blocks.append(self.at)
-        self.out.write(np.array(self.docs, "<i8").tobytes() + np.array(self.nulls, np.uint8).tobytes())
-        self.out.write(np.array([*self.firsts, self.n], "<u8").tobytes() + np.array(self.blocks, "<u8").tobytes())
+        self.out.write(np.array(self.docs, "<i8").tobytes() + bytes(self.nulls))
+        self.firsts.append(self.n)
+        self.out.write(np.array(self.firsts, "<u8").tobytes() + np.array(self.blocks, "<u8").tobytes())
         self.out.write(TAIL.pack(len(self.docs), self.n, BLOCK, self.width, MAGIC))
         self.out.close()
         return self.path, len(self.docs), self.n
@@ -198,8 +200,8 @@ def write_tokens(df: DataFrame, vocabulary: str, folder: str | None = None, end_
         part, enc, out = TaskContext.get().partitionId(), encoder(vocabulary), None
         width = width_of(max(enc.n_ids, (end_id or 0) + 1))
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                docs, texts = (c.to_pylist() for c in batch.slice(at, 256).columns)
+            for rows in slices(batch, 1):
+                docs, texts = (c.to_pylist() for c in rows.columns)
                 out = out or Writer(folder, part, width)
                 out.add(docs, [np.concatenate([ids, end]) for ids in enc.encode([t or "" for t in texts])])
         if out:
@@ -207,7 +209,7 @@ def write_tokens(df: DataFrame, vocabulary: str, folder: str | None = None, end_
             uri = f"{folder.rstrip('/')}/{path.rpartition('/')[2]}"
             yield pa.RecordBatch.from_pydict({"shard": pa.array([part], pa.int32()), "path": [uri], "n_docs": [n_docs], "n_ids": [n_ids]})
 
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = df.select(whole_number_id(df, id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     n = files or shuffle_partitions(spark)
     dealt = rows.repartitionByRange(n, F.col("id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("id").asc_nulls_first(), F.xxhash64("text"), "text")
     shards = written(dealt.mapInArrow(run, "shard int, path string, n_docs long, n_ids long"), "shards")

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skeinworks.llm.common import make_dir, new_path, shuffle_partitions, written
+from skeinworks.llm.common import make_dir, new_path, shuffle_partitions, whole_number_id, written
 from skeinworks.llm.files import Reader, filesystem, new_name
 
 BLOCK = 512
@@ -67,22 +67,23 @@ def url_key(url: str | None) -> str:
     return quote(key, safe="/?&=:;,.~!*'()@+$#[]%")
 
 
-def record_id(page_id: int | None) -> str:
-    return f"<urn:x-page:{'' if page_id is None else page_id}>"
+def record_id(page_id: int | None, digest: str, place: str = "") -> str:
+    """A response that others refer to is named by page and digest; where it stands tells all other records apart."""
+    return f"<urn:x-page:{'' if page_id is None else page_id}:{digest}{place and ':' + place}>"
 
 
 def page_of(urn: str) -> int | None:
-    number = urn.removeprefix("<urn:x-page:").removesuffix(">")
+    number = urn.removeprefix("<urn:x-page:").partition(":")[0]
     return int(number) if number else None
 
 
-def record(kind: str, page_id: int | None, url: str, payload: bytes, n_bytes: int, digest: str, refers_to: int | None) -> bytes:
+def record(kind: str, page_id: int | None, url: str, payload: bytes, n_bytes: int, digest: str, refers_to: int | None, place: str) -> bytes:
     """One record; a revisit has the HTTP head alone, whose Content-Length tells the full payload's size."""
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {n_bytes}\r\n\r\n".encode()
     block = head + payload if kind == "response" else head
-    fields = [("WARC-Type", kind), ("WARC-Record-ID", record_id(page_id)), ("WARC-Date", DATE), ("WARC-Target-URI", quote(url, safe=":/?#[]@!$&'()*+,;=%")), ("WARC-Payload-Digest", f"sha1:{digest}")]
+    fields = [("WARC-Type", kind), ("WARC-Record-ID", record_id(page_id, digest, place)), ("WARC-Date", DATE), ("WARC-Target-URI", quote(url, safe=":/?#[]@!$&'()*+,;=%")), ("WARC-Payload-Digest", f"sha1:{digest}")]
     if kind == "revisit":
-        fields += [("WARC-Refers-To", record_id(refers_to)), ("WARC-Profile", PROFILE)]
+        fields += [("WARC-Refers-To", record_id(refers_to, digest)), ("WARC-Profile", PROFILE)]
     fields += [("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))]
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields).encode() + b"\r\n" + block + b"\r\n\r\n"
 
@@ -112,24 +113,26 @@ def decisions(df: DataFrame, id_col: str, url_col: str, payload_col: str, least:
     """(id, url, payload, sha, bytes, best, first): best is the id that the payload's group keeps, first whether this row is it."""
     payload = F.coalesce(F.col(payload_col).cast("string"), F.lit("")).cast("binary")
     base = df.select(
-        F.col(id_col).cast("long").alias("id"),
+        whole_number_id(df, id_col).alias("id"),
         F.col(url_col).cast("string").alias("url"),
         payload.alias("payload"),
         F.sha1(payload).alias("sha"),
         F.octet_length(payload).cast("long").alias("bytes"),
-    ).withColumn("order_id", F.coalesce("id", F.lit(_NO_ID)))
-    seen = base.select("sha", "bytes", "order_id").filter(F.col("bytes") >= least)
-    groups = seen.groupBy("sha", "bytes").agg(F.count("*").alias("n"), F.max("order_id").alias("best"))
-    groups = written(groups.filter("n > 1").select("sha", "bytes", "best"), "payload-groups")
+    )
+    seen = base.select("sha", "bytes", "id").filter(F.col("bytes") >= least)
+    groups = seen.groupBy("sha", "bytes").agg(F.count("*").alias("n"), F.max("id").alias("best"))  # null where no id is known
+    groups = written(groups.filter("n > 1"), "payload-groups")
     found = base.join(groups, ["sha", "bytes"], "left")
-    first = F.col("best").isNull() | (F.col("best") == F.col("order_id"))
+    first = F.col("n").isNull() | F.col("id").eqNullSafe(F.col("best"))
     # the same id with the same payload more than once: one of these rows stays
-    tied = written(seen.groupBy("sha", "bytes", "order_id").count().filter("count > 1").select("sha", "bytes", "order_id"), "payload-ties")
+    tied = seen.groupBy("sha", "bytes", "id").count().filter("count > 1")
+    tied = written(tied.select(F.col("sha").alias("t_sha"), F.col("bytes").alias("t_bytes"), F.col("id").alias("t_id")), "payload-ties")
     if tied.isEmpty():
         return found.withColumn("first", first)
-    plain = found.join(tied, ["sha", "bytes", "order_id"], "left_anti").withColumn("first", first)
-    turn = F.row_number().over(Window.partitionBy("sha", "bytes", "order_id").orderBy("url"))
-    more = found.join(tied, ["sha", "bytes", "order_id"], "left_semi").withColumn("first", first & (turn == 1))
+    same = (F.col("sha") == F.col("t_sha")) & (F.col("bytes") == F.col("t_bytes")) & F.col("id").eqNullSafe(F.col("t_id"))
+    plain = found.join(tied, same, "left_anti").withColumn("first", first)
+    turn = F.row_number().over(Window.partitionBy("sha", "bytes", "id").orderBy("url"))
+    more = found.join(tied, same, "left_semi").withColumn("first", first & (turn == 1))
     return plain.unionByName(more)
 
 
@@ -157,16 +160,16 @@ def write_archives(df: DataFrame, folder: str | None = None, id_col: str = "page
                 text = b"format: WARC File Format 1.1\r\n"
                 put(f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Date: {DATE}\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(text)}\r\n\r\n".encode() + text + b"\r\n\r\n")
             rows = []
-            for id_, url, payload, sha, n_bytes, best, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for id_, url, payload, sha, n_bytes, best, first, shared in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 kind = "response" if first else "revisit"
-                refers_to = None if first or best == _NO_ID else best
-                place = put(record(kind, id_, url or "", payload if first else b"", n_bytes, _base32(sha), refers_to))
+                own = "" if first and shared else f"{path.rpartition('/')[2]}:{offset}"
+                place = put(record(kind, id_, url or "", payload if first else b"", n_bytes, _base32(sha), None if first else best, own))
                 rows.append((url_key(url), _NO_ID if id_ is None else id_, path.rpartition("/")[2], *place))
             yield _batch(rows, _CAPTURE)
         if out is not None:
             out.close()
 
-    rows = decisions(df, id_col, url_col, payload_col, least).select("id", "url", F.when(F.col("first"), F.col("payload")).alias("payload"), "sha", "bytes", "best", "first")
+    rows = decisions(df, id_col, url_col, payload_col, least).select("id", "url", F.when(F.col("first"), F.col("payload")).alias("payload"), "sha", "bytes", "best", "first", F.col("n").isNotNull().alias("shared"))
     return folder, written(rows.mapInArrow(run, _CAPTURE), "captures")
 
 

@@ -645,3 +645,123 @@ def test_lm_score_is_the_same_however_rows_are_dealt(spark):
     # held-out texts are the more probable for the model; a model of single words comes to base_score
     out = [r for r in one.values() if r.held_out]
     assert sum(r.score - r.base_score for r in out) > 0.01 * sum(r.n_tokens for r in out)  # 0.019 as measured
+
+
+# op4 against a plain version
+
+
+def plain_grams(text):
+    """Counts of the character n-grams, as strings: letters in lower case, a blank for each run of other signs and at both ends."""
+    words = "".join(c if c.isalpha() else " " for c in (text or "").lower())
+    kept = "".join(c for k, c in enumerate(words) if c != " " or (k and words[k - 1] != " "))
+    padded = f" {kept} "
+    return Counter(padded[k : k + n] for n in (1, 2, 3) for k in range(len(padded) - n + 1)) if any(map(str.isalpha, kept)) else Counter()
+
+
+def plain_ftrl(rows, classes, epochs):
+    """FTRL-proximal with a dictionary a class, a feature at a time. rows: (label, {feature: value})."""
+    alpha, beta, l1, l2 = 0.5, 1.0, 0.002, 0.01
+    z, n = ([defaultdict(float) for _ in range(classes)] for _ in range(2))
+
+    def weight(c, f):
+        if abs(z[c][f]) <= l1:
+            return 0.0
+        return (np.sign(z[c][f]) * l1 - z[c][f]) / ((beta + np.sqrt(n[c][f])) / alpha + l2)
+
+    for epoch in range(epochs):
+        for k in np.random.default_rng(epoch).permutation(len(rows)):
+            label, x = rows[k]
+            w = [{f: weight(c, f) for f in x} for c in range(classes)]
+            logits = np.array([sum(w[c][f] * v for f, v in x.items()) for c in range(classes)])
+            p = np.exp(logits - logits.max())
+            p /= p.sum()
+            for c in range(classes):
+                for f, v in x.items():
+                    g = v * (p[c] - (c == label))
+                    z[c][f] += g - (np.sqrt(n[c][f] + g * g) - np.sqrt(n[c][f])) / alpha * w[c][f]
+                    n[c][f] += g * g
+    return weight
+
+
+def test_language_id_against_a_plain_version(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "lang")
+    rows = docs.collect()
+    train = [r for r in rows if zlib.crc32(str(r.doc_id).encode()) % 5]
+    languages, grams = sorted({r.lang for r in train}), {r.doc_id: plain_grams(r.text) for r in rows}
+    df = Counter(g for r in train for g in grams[r.doc_id])
+    idf = {g: np.log((1 + len(train)) / (1 + k)) + 1 for g, k in df.items()}
+
+    def vector(i):
+        x = {g: (1 + np.log(k)) * idf.get(g, 0.0) for g, k in grams[i].items()}
+        norm = np.sqrt(sum(v * v for v in x.values()))
+        return {g: v / norm for g, v in x.items()}
+
+    order = docs.select("doc_id", (F.abs(F.xxhash64(F.col("doc_id").cast("string"))) % F.lit(1 << 32)).alias("at")).collect()
+    place = {r.doc_id: r["at"] for r in order}
+    drawn = sorted((r for r in train if grams[r.doc_id]), key=lambda r: (place[r.doc_id], r.lang))
+    fit = [(languages.index(r.lang), vector(r.doc_id)) for k, r in enumerate(drawn) if k % 5]
+    weight = plain_ftrl(fit, len(languages), 3)
+    found = {r.doc_id: r for r in language_id.identify(docs).collect()}
+    same = right = held = 0
+    for r in rows:
+        x = vector(r.doc_id)
+        logits = [sum(weight(c, g) * v for g, v in x.items()) for c in range(len(languages))]
+        same += found[r.doc_id].lang_pred == languages[int(np.argmax(logits))]
+        if found[r.doc_id].held_out:
+            held += 1
+            right += found[r.doc_id].lang_pred == r.lang
+    # n-grams share hashed features in the operator alone
+    assert same >= 0.99 * len(rows) and right >= 0.95 * held > 0
+
+
+def test_too_many_languages_are_refused(spark):
+    df = spark.createDataFrame([(k, "some words", f"l{k}") for k in range(20)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError):
+        language_id.identify(df, sample_rows=5).collect()
+
+
+# ids of other types, ties, sizes
+
+
+@pytest.mark.parametrize("kind,ids", [("long", [(1 << 63) - 1, -(1 << 63), None]), ("string", ["b", "a", None])])
+def test_exact_dedup_by_any_id(spark, kind, ids):
+    df = spark.createDataFrame([(i, f"same{' ' * k}text", k) for k, i in enumerate([*ids, *ids])], f"doc_id {kind}, text string, more int")
+    found = exact_dedup.exact_dedup(df).collect()
+    assert {r.keep_id for r in found} == {None} and sorted(r.kept for r in found) == [False] * 5 + [True]  # the longest text has no id
+    alike = df.withColumn("text", F.lit("same"))
+    found = exact_dedup.exact_dedup(alike).collect()
+    assert {r.keep_id for r in found} == {ids[1]} and sum(r.kept for r in found) == 1
+    once = [tuple(r) for r in exact_dedup.drop_copies(alike).collect()]
+    assert len(once) == 1 and once[0][0] == ids[1]
+    assert all([tuple(r) for r in exact_dedup.drop_copies(alike.repartition(n, "more")).collect()] == once for n in (1, 3))
+
+
+def test_ids_that_a_format_cannot_hold_are_refused(spark):
+    df = spark.createDataFrame([("a", "http://a.org/", "x")], "page_id string, url string, html string")
+    with pytest.raises(TypeError):
+        warc.archive(df)
+    with pytest.raises(TypeError):
+        token_files.write_tokens(df, VOCABULARY, id_col="page_id", text_col="html")
+
+
+def test_record_ids_differ(spark):
+    rows = [(5, "http://a.org/", "same")] * 3 + [(5, "http://a.org/", "other")] * 2 + [(-(1 << 63), "http://a.org/", "same"), (None, "http://a.org/", "same"), (7, "http://a.org/", "own")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    folder, captures = warc.write_archives(df)
+    reader = warc.IndexReader(warc.build_index(captures, folder))
+    fields = [reader.read(f, o, n)[0] for _, _, f, o, n in reader.captures(warc.url_key("http://a.org/"))]
+    ids = [x["WARC-Record-ID"] for x in fields]
+    assert len(ids) == len(set(ids)) == len(rows)
+    assert all(x["WARC-Refers-To"] in ids for x in fields if x["WARC-Type"] == "revisit")
+    found = Counter((r.page_id, r.record_type, r.refers_to) for r in warc.archive(df).collect())
+    assert found == Counter({(5, "response", None): 2, (5, "revisit", 5): 3, (-(1 << 63), "revisit", 5): 1, (None, "revisit", 5): 1, (7, "response", None): 1})
+
+
+def test_slices_by_size():
+    import pyarrow as pa
+
+    from skeinworks.llm import common
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(["a" * 10, None, "b" * 100, "c", "", "d" * 30])], ["k", "t"])
+    assert [x.column(0).to_pylist() for x in common.slices(batch, 1, 4, 32)] == [[0, 1], [2], [3, 4, 5]]
+    assert [x.num_rows for x in common.slices(batch, 1, 2, 1 << 20)] == [2, 2, 2]
