@@ -166,7 +166,7 @@ def _partnered(bit_masks: list[int], radius: int):
 
 
 def meetings(wholes: DataFrame, parts: DataFrame, radius: int, fill: int, tile: int, least: float) -> tuple[DataFrame, list[int]]:
-    """(fp, key, mask, up, value) of the fingerprints that have a partner, to be dealt out by (mask, value); the masks.
+    """(fp, key, mask, up, by_part, value) of the fingerprints that have a partner, to be dealt out by (mask, value); the masks.
 
     wholes: (fp, key), partners within `radius` bits. parts: (fp, key, size), partners where all blocks agree; with the same
     `fp` keys are dealt out by size, as one that is more than 1 / least times as large can't be similar.
@@ -177,7 +177,7 @@ def meetings(wholes: DataFrame, parts: DataFrame, radius: int, fill: int, tile:
     # keys with the same fingerprint meet under the first mask
     near = found.union(distinct.filter("shared").select("fp", F.lit(0).alias("mask"))).distinct()
     value = F.col("fp").bitwiseAND(F.element_at(F.array(*[F.lit(signed(m)) for m in bit_masks]), F.col("mask") + 1))
-    by_whole = wholes.join(near, "fp").select("fp", "key", "mask", F.lit(False).alias("up"), value.alias("value"))
+    by_whole = wholes.join(near, "fp").select("fp", "key", "mask", F.lit(False).alias("up"), F.lit(False).alias("by_part"), value.alias("value"))
     # a written table, as its size decides whether the fingerprints must be shuffled again
     shared = written(parts.groupBy("fp").count().filter("count > 1").select("fp"), "shared")
     each = parts.join(shared, "fp")
@@ -186,14 +186,34 @@ def meetings(wholes: DataFrame, parts: DataFrame, radius: int, fill: int, tile:
     cells = each.select("fp", "key", class_.alias("class"), F.explode(F.array(F.lit(0), F.lit(1))).alias("next"))
     cells = cells.select("fp", "key", (F.col("next") == 1).alias("up"), F.xxhash64("fp", F.col("class") + F.col("next")).alias("value"))
     some = cells.groupBy("value").agg(F.count("*").alias("n"), F.bool_and("up").alias("only_up")).filter("n > 1 and not only_up").select("value")
-    by_part = cells.join(some, "value").select("fp", "key", F.lit(0).alias("mask"), "up", "value")
+    by_part = cells.join(some, "value").select("fp", "key", F.lit(0).alias("mask"), "up", F.lit(True).alias("by_part"), "value")
     return written(by_whole.union(by_part), "meets"), bit_masks
 
 
+def _matrix(lists: pa.ChunkedArray) -> np.ndarray:
+    """Lists of longs as rows of equal length, filled up with their own last value; a list without any is a row of zeros."""
+    rows = [x.values.to_numpy().view(np.uint64) for x in lists]
+    width = max(map(len, rows), default=1) or 1
+    return np.array([np.pad(r, (0, width - len(r)), "edge") if len(r) else np.zeros(width, np.uint64) for r in rows], np.uint64).reshape(len(rows), width)
+
+
+def _least_shared(parts: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The least value that rows x and y share, or the greatest there is."""
+    out = np.full(len(x), ~np.uint64(0))
+    for at in range(0, len(x), 1 << 16):
+        a, b = parts[x[at : at + (1 << 16)]], parts[y[at : at + (1 << 16)]]
+        least = out[at : at + (1 << 16)]
+        for k in range(parts.shape[1]):
+            hit = (a == b[:, k : k + 1]).any(axis=1)
+            np.minimum(least, b[:, k], out=least, where=hit)
+    return out
+
+
 def linked(meets: DataFrame, payload: str, bit_masks: list[int], radius: int, tile: int, prepare: Callable) -> DataFrame:
     """(a, b): the links between keys that join what is similar within a tile, a forest for each tile.
 
-    meets: rows of meetings() with a column `payload`. prepare: takes the distinct payloads of some tiles and gives two functions
+    meets: rows of meetings() with a column `payload` and `parts`, all fingerprints of the key's parts: two keys are looked at
+    under the least part that they share, and under no other. prepare: takes the distinct payloads of some tiles and gives two functions
     of their places, one of two arrays (which pairs may be similar) and one of two numbers (whether these are).
     """
 
@@ -203,6 +223,8 @@ def linked(meets: DataFrame, payload: str, bit_masks: list[int], radius: int, ti
             fp, mixed, up = fp.view(np.uint64), mixed.astype(bool), up.astype(bool)
             keys, own, entry = np.unique(key, return_index=True, return_inverse=True)  # a key comes with many rows
             may_be, is_similar = prepare(table.column(payload).take(pa.array(own)))
+            parts = _matrix(table.column("parts").take(pa.array(own)))
+            by_part = table.column("by_part").to_numpy().astype(bool)
             root = list(range(len(keys)))
 
             def top(k: int, root: list[int] = root) -> int:
@@ -214,7 +236,11 @@ def linked(meets: DataFrame, payload: str, bit_masks: list[int], radius: int, ti
             out, apart = [], set()
             for a, b in near_pairs(fp, at, radius):
                 keep = first_shared(fp, mask, a, b, np.array(bit_masks, np.uint64)) & (~mixed[a] | (chunk[a] != chunk[b])) & (key[a] != key[b]) & ~(up[a] & up[b])
-                x, y = entry[a[keep]], entry[b[keep]]
+                a, b = a[keep], b[keep]
+                x, y = entry[a], entry[b]
+                told = ~(by_part[a] & by_part[b])
+                told[~told] = _least_shared(parts, x[~told], y[~told]) == fp[a[~told]]
+                x, y = x[told], y[told]
                 x, y = np.divmod(np.unique(np.minimum(x, y) * len(keys) + np.maximum(x, y)), len(keys))
                 # what is connected already need not be looked at
                 tops = np.fromiter(map(top, range(len(keys))), np.int64, len(keys)) if len(x) > len(keys) else None
@@ -232,5 +258,5 @@ def linked(meets: DataFrame, payload: str, bit_masks: list[int], radius: int, ti
             pair = keys[np.array(out, np.int64).reshape(-1, 2)]
             yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
 
-    full = tiles(meets, tile).select("fp", "key", "mask", "up", "chunk", "mixed", "tile", payload)
+    full = tiles(meets, tile).select("fp", "key", "mask", "up", "by_part", "chunk", "mixed", "tile", "parts", payload)
     return dealt(full).mapInArrow(run, "a long, b long")

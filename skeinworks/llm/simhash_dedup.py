@@ -233,6 +233,7 @@ def similar_texts(texts: DataFrame, words: int = WORDS, least: float = SIMILAR)
     meets, bit_masks = meetings(wholes, parts, RADIUS, FILL, TILE, least)
     some = texts.join(meets.select("key").distinct(), "key", "left_semi").select("key", "text")
     sets = written(some.mapInArrow(_sets(words), "key long, found array<long>"), "sets")
+    sets = sets.join(prints.select("key", "parts"), "key")
     return connected_components(linked(meets.join(sets, "key"), "found", bit_masks, RADIUS, TILE, _compare(least)))
 
 
