@@ -47,5 +47,6 @@ s as (select user_id, ts, sum(new) over (partition by user_id order by ts, new d
 select user_id, min(ts)::timestamp as start, count(*) as n from s group by user_id, k""",
     # no text has a fence, so each turn is stable as soon as it has ended
     "stream_block_boundary": "select conv_id, turn, length(text) + 2 as committed, (sum(length(text) + 2) over (partition by conv_id order by turn))::bigint as total from conversations",
+    "events_watermark": "select date_trunc('hour', ts)::timestamp as start, count(*) as n from events group by 1 having date_trunc('hour', min(ts)) + interval 1 hour <= (select max(ts) - interval 2 hours from events)",
     "stream_dedup_queue": "select distinct user_id, event_type from events",
 }

@@ -28,6 +28,7 @@ def stream(spark: SparkSession, sf_dir: str, name: str, schema: str) -> DataFram
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
+    """A path in spark.checkpoint.dir that nothing else uses; where that is unset, in the warehouse, which is shared as well."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/skein-stream-{name}-{uuid.uuid4().hex}"
 
