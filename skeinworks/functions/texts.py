@@ -187,3 +187,28 @@ def global_context(summary: Column, content: Column, flags: Column, n_functions:
 def accumulated(chunks: Column) -> Column:
     """A text from its chunks in order, each of which holds all so far or only what is new."""
     return F.aggregate(chunks, F.lit(""), lambda so_far, c: F.when((so_far != "") & c.startswith(so_far), c).otherwise(F.concat(so_far, c)))
+
+
+def reflection(answer: Column) -> Column:
+    """(assessment, decision, reason, to_add, to_remove) of an agent's reflection in markdown lines.
+
+    The last line of each kind counts. The decision is READY or CONTINUE; without one it is told by the beginning of the
+    answer or by `READY:`. Tasks stand between plan updates and decision; `None` is no task. A null answer gives null.
+    """
+    lines = F.transform(F.split(answer, "\n"), lambda x: F.trim(x))
+    last = lambda title: F.trim(F.substring(F.try_element_at(F.filter(lines, lambda x: x.startswith(title)), F.lit(-1)), len(title) + 1, 1 << 30))
+    updates = F.array_position(F.transform(lines, lambda x: F.when(x.startswith("**Plan Updates:**"), "u").otherwise("")), "u")
+    decided = F.array_position(F.transform(lines, lambda x: F.when(x.startswith("**Decision:**"), "d").otherwise("")), "d")
+    end = F.when(decided > updates, decided).otherwise(F.size(lines) + 1)
+    plan = F.when(updates > 0, F.slice(lines, F.greatest(updates, F.lit(1)).cast("int"), (end - updates).cast("int"))).otherwise(F.array().cast("array<string>"))
+
+    def tasks(word: str) -> Column:
+        found = F.filter(plan, lambda x: x.rlike(f"^- ?{word}:"))
+        return F.filter(F.transform(found, lambda x: F.trim(F.regexp_replace(x, rf"^-\s*{word}:\s*", ""))), lambda t: (t != "") & (F.lower(t) != "none"))
+
+    decision, whole = F.upper(last("**Decision:**")), F.upper(answer)
+    ready = F.when(decision.isNotNull(), decision.contains("READY") & ~decision.contains("NOT READY")).otherwise(whole.contains("READY:") | whole.startswith("READY"))
+    legacy = F.when(ready, "Ready to synthesize (legacy format)").otherwise("Continue investigation (legacy format)")
+    assessment = F.when(decision.isNull(), legacy).otherwise(last("**Assessment:**"))
+    found = F.struct(assessment.alias("assessment"), F.when(ready, "READY").otherwise("CONTINUE").alias("decision"), last("**Reason:**").alias("reason"), tasks("ADD").alias("to_add"), tasks("REMOVE").alias("to_remove"))
+    return F.when(answer.isNotNull(), found)

@@ -125,6 +125,34 @@ def key_functions(members: DataFrame, nodes: DataFrame, shown: int = 5) -> DataF
     return full.withColumn("place", rank).filter(F.col("place") <= shown).select("community", "id", "name", "place")
 
 
+def insights(members: DataFrame, nodes: DataFrame, named: int = 10) -> DataFrame:
+    """(community, id, key_function): all flagged members with their addresses, and named ones among the first `named` of both.
+
+    Members go by id. What is named and not flagged counts while there are fewer than `named`; only so many are ranked.
+    """
+    full = members.join(nodes.select("id", "name", "address", "flags"), "id").withColumn("shown", display_name(F.col("name"), F.col("address")))
+    flagged = F.size("flags") > 0
+    some = full.filter(flagged | ~is_generic(F.col("shown")))
+    rank = F.row_number().over(Window.partitionBy("community").orderBy("id"))
+    first = some.withColumn("__rank", rank).filter(F.col("__rank") <= named).filter(~flagged)
+    at = F.concat("shown", F.lit(" @ 0x"), F.lower(F.hex("address")))
+    return full.filter(flagged).select("community", "id", at.alias("key_function")).unionByName(first.select("community", "id", F.col("shown").alias("key_function")))
+
+
+def findings(found: DataFrame, spread: DataFrame) -> DataFrame:
+    """(place, finding): the communities of `records` in words, with the flags of flag_spread, the most frequent first."""
+    total = found.agg(F.count("*").alias("n"), F.sum("members").alias("members"), F.max_by(F.struct("title", "score"), F.struct("score", "members", -F.col("community"))).alias("top"))  # one row
+    number = lambda c: F.col(c).cast("string")
+    some = F.array_compact(F.array(
+        F.struct(F.lit(0).alias("place"), F.concat(number("n"), F.lit(" communities detected with "), number("members"), F.lit(" total functions")).alias("finding")),
+        F.when(F.col("n") > 0, F.struct(F.lit(1).alias("place"), F.concat(F.lit("Average community size: "), F.floor(F.col("members") / F.col("n")).cast("string"), F.lit(" functions")).alias("finding"))),
+        F.when(F.col("top.score") > 0, F.struct(F.lit(1 << 30).alias("place"), F.concat(F.lit("Most security-relevant: "), F.col("top.title"), F.lit(" ("), F.col("top.score").cast("string"), F.lit(" flags)")).alias("finding"))),
+    ))
+    place = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("n_functions"), "flag")) + 1  # a row for each flag there is
+    text = F.concat(number("n_functions"), F.lit(" functions with "), F.col("flag"), F.lit(" across "), number("n_communities"), F.lit(" communities"))
+    return total.select(F.inline(some)).unionByName(spread.select(place.alias("place"), text.alias("finding")))
+
+
 def belonging(members: DataFrame) -> DataFrame:
     """(source_id, target_id, type, score): an edge from each node to its community, with its membership score."""
     return members.select(F.col("id").alias("source_id"), F.col("community").alias("target_id"), F.lit("BELONGS_TO_COMMUNITY").alias("type"), F.lit(1.0).alias("score"))

@@ -121,6 +121,28 @@ def community_key_functions(spark, sf_dir):
     return communities.key_functions(_members(spark, sf_dir), _parts(spark, sf_dir))
 
 
+def community_insights(spark, sf_dir):
+    return communities.insights(_members(spark, sf_dir), _parts(spark, sf_dir))
+
+
+def global_findings(spark, sf_dir):
+    members, nodes = _members(spark, sf_dir), _parts(spark, sf_dir)
+    return communities.findings(communities.records(members, nodes), communities.flag_spread(members, nodes))
+
+
+def reflections_parsed(spark, sf_dir):
+    """Agents' reflections made of parts: some in the usual form, some without a decision."""
+    p = table(spark, sf_dir, "part", "p_partkey", "p_name", "p_size")
+    size = F.col("p_size")
+    usual = F.concat(
+        F.lit("**Assessment:** "), "p_name", F.lit("\n**Plan Updates:**\n- ADD: look at "), "p_name", F.lit("\n- ADD: None\n-REMOVE: "), F.when(size % 2 == 0, "old task").otherwise("none"),
+        F.lit("\n**Decision:** "), F.when(size % 4 == 0, "ready now").when(size % 4 == 1, "Not ready").otherwise("continue"), F.lit("\n- ADD: too late\n**Reason:** size "), size.cast("string"),
+    )
+    answer = F.when(size % 5 == 0, F.concat(F.lit("Ready with "), "p_name")).when(size % 5 == 1, F.col("p_name")).otherwise(usual)
+    r = p.select(F.col("p_partkey").alias("id"), texts.reflection(answer).alias("r"))
+    return r.select("id", "r.assessment", "r.decision", "r.reason", F.array_join("r.to_add", ",").alias("to_add"), F.array_join("r.to_remove", ",").alias("to_remove"))
+
+
 def community_of_nodes(spark, sf_dir):
     members, nodes = _members(spark, sf_dir), _parts(spark, sf_dir)
     return communities.titles_of(nodes, members, communities.records(members, nodes))
@@ -393,7 +415,7 @@ def has_graph(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    named_taint_sets, named_network_edges, taint_stats, paths_to_sink, address_lookup, node_edges, edge_tests, edges_between, node_tests, community_ranking, community_key_functions, community_of_nodes,
+    named_taint_sets, named_network_edges, taint_stats, paths_to_sink, address_lookup, node_edges, edge_tests, edges_between, node_tests, community_ranking, community_key_functions, community_of_nodes, community_insights, global_findings, reflections_parsed,
     community_edges, semantic_analysis, function_security, index_run, flags_added, flags_refreshed, names_refreshed, stale_marked, analysis_saved, messages_saved, records_deleted, call_ids_complete,
     callers_updated, sessions_ordered, message_slices, chunk_hits, rag_context, edited_chats, answers_parsed, qualified_names, epoch_times, global_context, text_accumulated, symbols_round_trip,
     export_round_trip, text_files, tables_written, tool_json, local_symbols, explanations_cleared, has_graph,
@@ -445,6 +467,16 @@ select id, other, direction, count(*) as n from (select source_id as id, target_
   p_size % 4 in (0, 1) as vulnerability, p_size % 3 = 0 as severity, p_size % 4 = 2 as semantic from part""",
     "community_ranking": f"with {PARTS}, {labels_sql(10, G.SPARSE)}, {RECORDS} select (row_number() over (order by score desc, members desc, community))::int as rank, community, score, members, title from records_ qualify rank <= 15",
     "community_key_functions": f"""with {PARTS}, {labels_sql(10, G.SPARSE)} select community, id, name, (row_number() over (partition by community order by id))::int as place from members join parts using (id) where len(flags) > 0 qualify place <= 5""",
+    "community_insights": f"""with {PARTS}, {labels_sql(10, G.SPARSE)}, k as (select community, id, name, flags, row_number() over (partition by community order by id) as r from members join parts using (id))
+select community, id, name || case when len(flags) > 0 then ' @ 0x' || lower(to_hex(id)) else '' end as key_function from k where len(flags) > 0 or r <= 10""",
+    "global_findings": f"""with {PARTS}, {labels_sql(10, G.SPARSE)}, {RECORDS}, f as (select community, unnest(flags) as flag from members join parts using (id)), g as (select flag, count(distinct community) as c, count(*) as n from f group by 1),
+t as (select count(*) as n, sum(members)::bigint as m from records_)
+select 0 as place, n || ' communities detected with ' || m || ' total functions' as finding from t union all select 1, 'Average community size: ' || (m // n) || ' functions' from t
+union all select 1 + row_number() over (order by n desc, flag), n || ' functions with ' || flag || ' across ' || c || ' communities' from g
+union all select 1073741824, 'Most security-relevant: ' || title || ' (' || score || ' flags)' from (select * from records_ where score > 0 order by score desc, members desc, community limit 1)""",
+    "reflections_parsed": """select p_partkey as id, case when p_size % 5 = 0 then 'Ready to synthesize (legacy format)' when p_size % 5 = 1 then 'Continue investigation (legacy format)' else p_name end as assessment,
+  case when p_size % 5 = 0 then 'READY' when p_size % 5 = 1 then 'CONTINUE' when p_size % 4 = 0 then 'READY' else 'CONTINUE' end as decision, case when p_size % 5 > 1 then 'size ' || p_size end as reason,
+  case when p_size % 5 > 1 then 'look at ' || p_name else '' end as to_add, case when p_size % 5 > 1 and p_size % 2 = 0 then 'old task' else '' end as to_remove from part""",
     "community_of_nodes": f"with {PARTS}, {labels_sql(10, G.SPARSE)}, {RECORDS} select id, community, title from parts left join members using (id) left join records_ using (community)",
     "community_edges": f"with {labels_sql(10, G.SPARSE)} select id as source_id, community as target_id, 'BELONGS_TO_COMMUNITY' as type, 1.0::double as score from members",
     "semantic_analysis": f"""with {PARTS}, {labels_sql(10, G.SPARSE)}, {RECORDS}, calls_ as (select * from ({DENSE.removeprefix("chain as (").removesuffix(")")})), o as (select source_id as id, count(*) as n from calls_ group by 1), i as (select target_id as id, count(*) as n from calls_ group by 1)
