@@ -1,4 +1,8 @@
-"""Builds graphs from records of code: calls, references, containment; merges graphs and pending records into stored ones."""
+"""Builds graphs from records of code: calls, references, containment; merges graphs and pending records into stored ones.
+
+Null addresses and ids meet nothing, so what hangs on them makes no edge. Repeated records make an edge once. Spans that
+overlap each take what lies in both. Empty tables give empty results.
+"""
 
 from __future__ import annotations
 

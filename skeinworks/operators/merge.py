@@ -1,4 +1,8 @@
-"""Snapshots in, snapshots out: upserts, policies, conflicts, staleness and flags."""
+"""Snapshots in, snapshots out: upserts, policies, conflicts, staleness and flags.
+
+A snapshot has a row for each key; a null key is no other's equal and stays as a row of its own. Null values count as
+missing. Of rows that tie in `latest` the order given decides, else any. An empty snapshot leaves the other one.
+"""
 
 from __future__ import annotations
 

@@ -1,6 +1,8 @@
 """Retrieval over documents: chunks, BM25, vectors, hybrid lists, full-text matching.
 
 Queries are a few terms or one vector; documents are scanned once, JVM-side, and only what matches moves on.
+A null or empty text has no tokens and no chunks and matches nothing; a null vector scores null and is left out. Repeated rows
+count each. Ties in ranked lists go by the further columns given, else any comes first. Empty tables give empty results.
 """
 
 from __future__ import annotations

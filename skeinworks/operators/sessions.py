@@ -1,4 +1,9 @@
-"""Conversations and agents: windows over messages (conv_id, turn, role, text), token budgets, diffs of edits."""
+"""Conversations and agents: windows over messages (conv_id, turn, role, text), token budgets, diffs of edits.
+
+A null text has no tokens and no lines; a null role is no system, user or assistant; messages without a conv_id are one
+conversation. (conv_id, turn) tells messages apart: of equal ones any comes first, and each counts. Empty tables give
+empty results.
+"""
 
 from __future__ import annotations
 
