@@ -8,6 +8,8 @@ is linear in the text, whatever the piece. Ids decode by their bytes.
 
 The vocabulary file's path is a parameter. Each Python worker loads it once and keeps the ids of the pieces it has met,
 within a bound. Nulls count as empty texts, whose ids are none; special tokens that occur in a text become their ids.
+Ids of documents are handed on as they are, null ones too; repeated rows give a row each; an empty table an empty result.
+Very long texts are cut into pieces as any others, and a piece of any length takes time in proportion.
 """
 
 from __future__ import annotations
