@@ -22,6 +22,8 @@ from skeinworks.llm.gray_index import GrayIndex, gray_rank
 MOST_CHOSEN = 4
 #: Bytes that a task looks at together, if tiles are no larger.
 HELD_BYTES = 32 << 20
+#: Pairs that are looked at before those that have become connected are left out.
+PIECE = 1 << 14
 
 
 def masks(chosen: int, radius: int) -> list[int]:
@@ -190,6 +192,13 @@ def meetings(wholes: DataFrame, parts: DataFrame, radius: int, fill: int, tile:
     return written(by_whole.union(by_part), "meets"), bit_masks
 
 
+def pieces_of(pairs: Iterator[tuple[np.ndarray, np.ndarray]], size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs, no more than `size` at a time."""
+    for a, b in pairs:
+        for at in range(0, len(a), size):
+            yield a[at : at + size], b[at : at + size]
+
+
 def _matrix(lists: pa.ChunkedArray) -> np.ndarray:
     """Lists of longs as rows of equal length, filled up with their own last value; a list without any is a row of zeros."""
     rows = [x.values.to_numpy().view(np.uint64) for x in lists]
@@ -225,27 +234,27 @@ def linked(meets: DataFrame, payload: str, bit_masks: list[int], radius: int, ti
             may_be, is_similar = prepare(table.column(payload).take(pa.array(own)))
             parts = _matrix(table.column("parts").take(pa.array(own)))
             by_part = table.column("by_part").to_numpy().astype(bool)
-            root = list(range(len(keys)))
+            root = np.arange(len(keys))
 
-            def top(k: int, root: list[int] = root) -> int:
+            def top(k: int, root: np.ndarray = root) -> int:
                 while root[k] != k:
-                    root[k] = root[root[k]]
                     k = root[k]
                 return k
 
             out, apart = [], set()
-            for a, b in near_pairs(fp, at, radius):
-                keep = first_shared(fp, mask, a, b, np.array(bit_masks, np.uint64)) & (~mixed[a] | (chunk[a] != chunk[b])) & (key[a] != key[b]) & ~(up[a] & up[b])
+            for a, b in pieces_of(near_pairs(fp, at, radius), PIECE):
+                while not np.array_equal(root[root], root):
+                    root[:] = root[root]
+                # what is connected already need not be looked at: in a group of copies that is all but the first pieces
+                keep = (root[entry[a]] != root[entry[b]]) & (~mixed[a] | (chunk[a] != chunk[b])) & ~(up[a] & up[b])
+                a, b = a[keep], b[keep]
+                keep = first_shared(fp, mask, a, b, np.array(bit_masks, np.uint64))
                 a, b = a[keep], b[keep]
                 x, y = entry[a], entry[b]
                 told = ~(by_part[a] & by_part[b])
                 told[~told] = _least_shared(parts, x[~told], y[~told]) == fp[a[~told]]
                 x, y = x[told], y[told]
                 x, y = np.divmod(np.unique(np.minimum(x, y) * len(keys) + np.maximum(x, y)), len(keys))
-                # what is connected already need not be looked at
-                tops = np.fromiter(map(top, range(len(keys))), np.int64, len(keys)) if len(x) > len(keys) else None
-                if tops is not None:
-                    x, y = x[tops[x] != tops[y]], y[tops[x] != tops[y]]
                 keep = may_be(x, y)
                 for x, y in zip(x[keep].tolist(), y[keep].tolist(), strict=True):
                     p, q = top(x), top(y)

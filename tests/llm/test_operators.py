@@ -765,3 +765,19 @@ def test_slices_by_size():
     batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(["a" * 10, None, "b" * 100, "c", "", "d" * 30])], ["k", "t"])
     assert [x.column(0).to_pylist() for x in common.slices(batch, 1, 4, 32)] == [[0, 1], [2], [3, 4, 5]]
     assert [x.num_rows for x in common.slices(batch, 1, 2, 1 << 20)] == [2, 2, 2]
+
+
+def test_large_groups_of_near_copies(spark):
+    """Thousands of lines and texts that are all alike: one group, by few tests of pairs."""
+    rng = random.Random(12)
+    base = [f"word{k}" for k in range(60)]
+    rows = []
+    for k in range(2500):
+        words = list(base)
+        words[rng.randrange(60)] = f"own{k}"
+        rows.append((k, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = {r.doc_id: list(r.dropped) for r in line_dedup.dedup_lines(df).collect()}
+    assert found.pop(0) == [] and all(v == [0] for v in found.values())
+    kept = [r.doc_id for r in simhash_dedup.drop_similar(df).collect()]
+    assert len(kept) == 1
