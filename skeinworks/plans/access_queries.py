@@ -148,6 +148,13 @@ def community_of_nodes(spark, sf_dir):
     return communities.titles_of(nodes, members, communities.records(members, nodes))
 
 
+def community_members_named(spark, sf_dir):
+    """The members of each community by name, of equal names by id."""
+    named = _members(spark, sf_dir).join(_parts(spark, sf_dir).select("id", "name"), "id")
+    place = F.row_number().over(Window.partitionBy("community").orderBy("name", "id"))
+    return named.select("community", "id", "name", place.alias("place"))
+
+
 def community_edges(spark, sf_dir):
     return communities.belonging(_members(spark, sf_dir))
 
@@ -416,7 +423,7 @@ def has_graph(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     named_taint_sets, named_network_edges, taint_stats, paths_to_sink, address_lookup, node_edges, edge_tests, edges_between, node_tests, community_ranking, community_key_functions, community_of_nodes, community_insights, global_findings, reflections_parsed,
-    community_edges, semantic_analysis, function_security, index_run, flags_added, flags_refreshed, names_refreshed, stale_marked, analysis_saved, messages_saved, records_deleted, call_ids_complete,
+    community_edges, community_members_named, semantic_analysis, function_security, index_run, flags_added, flags_refreshed, names_refreshed, stale_marked, analysis_saved, messages_saved, records_deleted, call_ids_complete,
     callers_updated, sessions_ordered, message_slices, chunk_hits, rag_context, edited_chats, answers_parsed, qualified_names, epoch_times, global_context, text_accumulated, symbols_round_trip,
     export_round_trip, text_files, tables_written, tool_json, local_symbols, explanations_cleared, has_graph,
 )}
@@ -478,6 +485,7 @@ union all select 1073741824, 'Most security-relevant: ' || title || ' (' || scor
   case when p_size % 5 = 0 then 'READY' when p_size % 5 = 1 then 'CONTINUE' when p_size % 4 = 0 then 'READY' else 'CONTINUE' end as decision, case when p_size % 5 > 1 then 'size ' || p_size end as reason,
   case when p_size % 5 > 1 then 'look at ' || p_name else '' end as to_add, case when p_size % 5 > 1 and p_size % 2 = 0 then 'old task' else '' end as to_remove from part""",
     "community_of_nodes": f"with {PARTS}, {labels_sql(10, G.SPARSE)}, {RECORDS} select id, community, title from parts left join members using (id) left join records_ using (community)",
+    "community_members_named": f"with {PARTS}, {labels_sql(10, G.SPARSE)} select community, id, name, (row_number() over (partition by community order by name, id))::int as place from members join parts using (id)",
     "community_edges": f"with {labels_sql(10, G.SPARSE)} select id as source_id, community as target_id, 'BELONGS_TO_COMMUNITY' as type, 1.0::double as score from members",
     "semantic_analysis": f"""with {PARTS}, {labels_sql(10, G.SPARSE)}, {RECORDS}, calls_ as (select * from ({DENSE.removeprefix("chain as (").removesuffix(")")})), o as (select source_id as id, count(*) as n from calls_ group by 1), i as (select target_id as id, count(*) as n from calls_ group by 1)
 select id, name, id % 2 = 0 or id % 3 = 0 as indexed, array_to_string(flags, ',') as flags, coalesce(i.n, 0) as n_callers, coalesce(o.n, 0) as n_callees, title as community

@@ -30,6 +30,13 @@ def stream_block_boundary(spark, sf_dir):
     return S.run(S.stable_blocks(S.stream(spark, sf_dir, "conversations", S.MESSAGES)), "blocks")
 
 
+def stream_fenced_blocks(spark, sf_dir):
+    """As stream_block_boundary where every second of three turns opens a fence that the third closes: it waits for that one."""
+    m = S.stream(spark, sf_dir, "conversations", S.MESSAGES)
+    text = F.when(F.col("turn") % 3 == 1, F.concat(F.lit("```\n"), "text")).when(F.col("turn") % 3 == 2, F.concat("text", F.lit("\n```"))).otherwise(F.col("text"))
+    return S.run(S.stable_blocks(m.withColumn("text", text)), "fenced")
+
+
 def events_watermark(spark, sf_dir):
     """Events by hour, each window once it is past the watermark of two hours; the last ones stay open."""
     events = S.stream(spark, sf_dir, "events", S.EVENTS).withWatermark("ts", "2 hours")
@@ -37,7 +44,7 @@ def events_watermark(spark, sf_dir):
     return S.run(found, "watermark")
 
 
-QUERIES = {f.__name__: f for f in (events_tumbling, events_sliding, events_session, stream_dedup_queue, stream_block_boundary, events_watermark)}
+QUERIES = {f.__name__: f for f in (events_tumbling, events_sliding, events_session, stream_dedup_queue, stream_block_boundary, stream_fenced_blocks, events_watermark)}
 
 ORACLE_SQL = {
     "events_tumbling": "select date_trunc('day', ts)::timestamp as start, event_type, count(*) as n, round(sum(value), 6) as total from events group by 1, 2",
@@ -47,6 +54,9 @@ s as (select user_id, ts, sum(new) over (partition by user_id order by ts, new d
 select user_id, min(ts)::timestamp as start, count(*) as n from s group by user_id, k""",
     # no text has a fence, so each turn is stable as soon as it has ended
     "stream_block_boundary": "select conv_id, turn, length(text) + 2 as committed, (sum(length(text) + 2) over (partition by conv_id order by turn))::bigint as total from conversations",
+    "stream_fenced_blocks": """with m as (select conv_id, turn, length(text) + case when turn % 3 = 0 then 2 else 6 end as size from conversations),
+c as (select conv_id, turn, size + case when turn % 3 = 2 then lag(size) over w else 0 end as committed, (sum(size) over w)::bigint as total from m window w as (partition by conv_id order by turn))
+select conv_id, turn, committed, total from c where turn % 3 <> 1""",
     "events_watermark": "select date_trunc('hour', ts)::timestamp as start, count(*) as n from events group by 1 having date_trunc('hour', min(ts)) + interval 1 hour <= (select max(ts) - interval 2 hours from events)",
     "stream_dedup_queue": "select distinct user_id, event_type from events",
 }
