@@ -125,15 +125,22 @@ def merged_graph(local: DataFrame, remote: DataFrame, remote_edges: DataFrame) -
     return remote_edges.join(at("source", "source_id"), "source").join(at("target", "target_id"), "target").select("source_id", "target_id", "type").distinct()
 
 
-def local_context(nodes: DataFrame, edges: DataFrame, most: int = 100) -> DataFrame:
-    """(id, context): a node in words, with its flags, callers and callees by name. nodes: id, name, address, flags, summary."""
+def local_context(nodes: DataFrame, edges: DataFrame, most: int = 100, shown: int = 1000) -> DataFrame:
+    """(id, context): a node in words, with its flags, callers and callees by name. nodes: id, name, address, flags, summary.
+
+    Of a hub's callers or callees the first `shown` lines are gathered and the others counted in a last line.
+    """
     line = F.concat(F.lit("- "), F.col("name"), F.coalesce(F.concat(F.lit(": "), F.when(F.length("summary") > most, F.concat(F.substring("summary", 1, most), F.lit("..."))).otherwise(F.col("summary"))), F.lit("")))
     lines = nodes.select(F.col("id").alias("other"), line.alias("line"))
     pairs = edges.filter("type = 'CALLS'").select("source_id", "target_id").distinct()
 
     def side(own: str, other: str, name: str) -> DataFrame:
-        listed = pairs.select(F.col(own).alias("id"), F.col(other).alias("other")).join(lines, "other").groupBy("id").agg(F.array_sort(F.collect_list("line")).alias(name))
-        return listed.select("id", F.array_join(name, "\n").alias(name))
+        near = pairs.select(F.col(own).alias("id"), F.col(other).alias("other")).join(lines, "other").filter("line is not null")
+        rank = F.row_number().over(Window.partitionBy("id").orderBy("line"))
+        first = near.withColumn("__rank", rank).filter(F.col("__rank") <= shown).groupBy("id").agg(F.array_sort(F.collect_list("line")).alias(name))
+        listed = first.join(near.groupBy("id").agg(F.count("*").alias("__n")), "id")
+        more = F.when(F.col("__n") > shown, F.concat(F.lit("\n- (+"), (F.col("__n") - shown).cast("string"), F.lit(" more)"))).otherwise("")
+        return listed.select("id", F.concat(F.array_join(name, "\n"), more).alias(name))
 
     out = nodes.join(side("target_id", "source_id", "callers"), "id", "left").join(side("source_id", "target_id", "callees"), "id", "left")
     part = lambda title, c: F.when(F.length(c) > 0, F.concat(F.lit(title), F.col(c), F.lit("\n\n")))

@@ -119,6 +119,10 @@ def test_long_spans_and_hubs(spark):
     assert len(found) == 3000 and all((r.n, r.least, r.most) == ((10, 2, 11) if r.id == 1 else (10, 1, 10 if r.id > 10 else 11)) for r in found)
     pending = spark.createDataFrame([(1, None, None, "a"), (2, None, None, "b"), (3, 5, "n", None), (4, 5, "n", "c")], "seq int, address long, name string, content string")
     assert sorted((r.seq, r.content) for r in build.first_wins(pending).collect()) == [(1, "a"), (2, "b"), (3, "c")]
+    calls = spark.range(1, 8).selectExpr("id as source_id", "0L as target_id", "'CALLS' as type")
+    plain = spark.range(8).selectExpr("id", "concat('f', id) as name", "id as address", "array() as flags", "cast(null as string) as summary")
+    context = {r.id: r.context for r in build.local_context(plain, calls, 100, 3).collect()}
+    assert "**Called by:**\n- f1\n- f2\n- f3\n- (+4 more)" in context[0] and "- f0" in context[5]
     members = spark.range(2000).selectExpr("id", "1L as community")
     nodes = spark.range(2000).selectExpr("id", "concat('name', lpad(id, 4, '0')) as name", "array('X') as flags")
     text = communities.summaries(members, nodes).first().summary
