@@ -378,8 +378,8 @@ def export_round_trip(spark, sf_dir):
 def text_files(spark, sf_dir):
     """Documents as text files with a line end, one each, read again as whole files."""
     path = _folder(spark, "texts")
-    docs = table(spark, sf_dir, "documents", "doc_id", "text").filter("doc_id < 40").select("text", F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("name"))
-    docs.repartition(F.col("name")).write.partitionBy("name").text(path)
+    docs = table(spark, sf_dir, "documents", "doc_id", "text").select("text", F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("name"))
+    docs.write.partitionBy("name").text(path)
     found = T.read_text_files(spark, f"{path}/*/*.txt", ("name",))
     return found.select("name", "file_size", F.md5("content").alias("digest"))
 
@@ -523,7 +523,7 @@ select r_regionkey, '## Binary Context' || chr(10) || chr(10) || case when r_reg
     "text_accumulated": "select conv_id, md5(string_agg('[' || turn || ']' || substr(text, 1, 40), '' order by turn)) as digest from conversations group by 1",
     "symbols_round_trip": "select c_custkey as address, 'function' as symbol_type, case when c_acctbal > 0 then c_name end as name, null::varchar as data_type, c_acctbal as confidence, c_name as k from customer",
     "export_round_trip": "select '0x' || lower(to_hex(p_partkey)) as address, 'function' as type, p_name as name, p_brand as brand, '0x0' as target from part",
-    "text_files": "select 'd' || doc_id as name, octet_length(encode(text))::bigint + 1 as file_size, md5(text || chr(10)) as digest from documents where doc_id < 40",
+    "text_files": "select 'd' || doc_id as name, octet_length(encode(text))::bigint + 1 as file_size, md5(text || chr(10)) as digest from documents",
     "tables_written": "select role, count(*) as n, sum(length(text))::bigint as size from conversations group by 1 union all select 'feedback', count(*), sum(quality)::bigint from labels",
     "tool_json": f"""with {PARTS} select id, '{{"address":"0x' || lower(to_hex(id)) || '","name":"' || name || '","n_flags":' || len(flags) || ',"security_flags":[' || array_to_string(list_transform(flags, lambda f: '"' || f || '"'), ',') || ']}}' as json from parts""",
     "local_symbols": """select 'function' as symbol_type, c_custkey as address, c_name as name, null::varchar as content from customer where c_custkey % 3 <> 0
