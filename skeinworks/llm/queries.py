@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinworks.llm import bpe, exact_dedup, language_id, line_dedup, lm_score, media, mixing, simhash_dedup, token_files, warc, whitening
+from skeinworks.llm import bpe, collocations, exact_dedup, language_id, line_dedup, lm_score, media, mixing, simhash_dedup, token_files, warc, whitening
 
 #: The vocabulary that the queries encode with; other paths are a parameter of the operators.
 VOCABULARY = "byte_bpe_50k.json"
@@ -68,6 +68,10 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(_table(spark, sf_dir, "embeddings"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_media": op1_media,
     "op2_simhash": op2_simhash,
@@ -80,6 +84,7 @@ QUERIES = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_warc": op10_warc,
     "op11_whitening": op11_whitening,
+    "op13_collocations": op13_collocations,
 }
 
 OP5_SQL = r"""
@@ -133,4 +138,34 @@ select page_id, payload_bytes,
 from w
 """
 
-ORACLE_SQL = {"op5_mixing": OP5_SQL, "op9_exact_dedup": OP9_SQL, "op10_warc": OP10_SQL}
+OP13_SQL = r"""
+with pieces as (
+  select coalesce(lang, 'und') as lang, row_number() over () as piece,
+    regexp_extract_all(unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') as ws
+  from documents
+), grams as (
+  select lang, ws, unnest(range(1, len(ws) + 1)) as i from pieces
+), patterns as (
+  select lang, p, count(*) as f from (select lang, unnest([ws[i:i], case when i + 1 <= len(ws) then ws[i:i + 1] end, case when i + 2 <= len(ws) then ws[i:i + 2] end]) as p from grams)
+  where p is not null group by lang, p
+), totals as (
+  select lang, sum(f)::bigint as n from patterns where len(p) = 1 group by lang
+), candidates as (
+  select lang, p, f as a from patterns where len(p) >= 2 and f >= 10
+), cuts as (
+  select c.lang, c.p, c.a, k, x.f as l, y.f as r, (1000000::hugeint * c.a * c.a) // (x.f::hugeint * y.f) as score
+  from (select *, unnest(range(1, len(p))) as k from candidates) c
+  join patterns x on x.lang = c.lang and x.p = c.p[1:k] join patterns y on y.lang = c.lang and y.p = c.p[k + 1:]
+), scored as (
+  select * from cuts qualify row_number() over (partition by lang, p order by score, k) = 1
+), inside as (
+  select lang, p, max(a) as longer from (select lang, a, unnest([p[1:2], p[2:3]]) as p from candidates where len(p) = 3) group by lang, p
+), kept as (
+  select s.lang, array_to_string(s.p, ' ') as phrase, a, l, r, score::bigint as score
+  from scored s left join inside i on i.lang = s.lang and i.p = s.p where longer is null or 100 * longer < 50 * a
+)
+select k.lang, row_number() over (partition by k.lang order by score desc, a desc, phrase)::bigint as rank, phrase, a, l, r, n, score
+from kept k join totals t on t.lang = k.lang qualify rank <= 2000
+"""
+
+ORACLE_SQL = {"op5_mixing": OP5_SQL, "op9_exact_dedup": OP9_SQL, "op10_warc": OP10_SQL, "op13_collocations": OP13_SQL}
