@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinworks.llm import bpe, collocations, exact_dedup, language_id, line_dedup, lm_score, media, mixing, simhash_dedup, token_files, warc, whitening
+from skeinworks.llm import bpe, collocations, exact_dedup, language_id, line_dedup, lm_score, media, mixing, simhash_dedup, suffix_dedup, token_files, warc, whitening
 
 #: The vocabulary that the queries encode with; other paths are a parameter of the operators.
 VOCABULARY = "byte_bpe_50k.json"
@@ -68,6 +68,11 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(_table(spark, sf_dir, "embeddings"))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(_table(spark, sf_dir, "documents"))
 
@@ -84,6 +89,7 @@ QUERIES = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_warc": op10_warc,
     "op11_whitening": op11_whitening,
+    "op12_suffix_dedup": op12_suffix_dedup,
     "op13_collocations": op13_collocations,
 }
 
