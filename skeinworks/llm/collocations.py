@@ -2,13 +2,13 @@
 
 Every word occurrence points at what follows it in its piece, at most MOST_WORDS - 1 words: the projection of its prefix.
 Tasks combine equal pointers of the documents they read (a bounded table, emptied when full), so that a pointer has a weight, and
-a shuffle brings the pointers of a prefix, one word of a language, to one task. There the projected rows are sorted, so the
-pointers of each longer prefix lie together: growth goes to the right, depth first, over one stream of rows with one open
-prefix per length, and drops what is not frequent. Nothing of a prefix is held but its open counts, however many pointers it has.
+hand on one row per prefix, a word of a language, with all its pointers; a shuffle brings the rows of a prefix to one task. There
+patterns grow to the right, depth first: the pointers of a prefix are counted by their next word, and those of each
+frequent next word are the projection of the longer prefix.
 
-A prefix word with more than 1 / HOT_SHARE of all pointers (at most HOT_SHARE words, so this list has a bound) is dealt by its whole
-pointer instead: longest patterns are still complete in a task, shorter ones are partial counts that the tasks hand on
-unpruned and a shuffle adds up.
+A prefix with more than PART pointers, or 1 / SHARE of all, is dealt to several tasks by its pointers: the longest
+patterns are still complete in a task, shorter ones are partial counts that the tasks hand on unpruned and a shuffle
+adds up. So no task holds more than a part of a prefix.
 
 Scores come from joins of the frequent patterns alone, in exact decimals of 38 digits (counts up to 10**16).
 
@@ -19,8 +19,10 @@ Ties: score, then count, then the phrase's bytes. Long texts are cut by pieces,
 from __future__ import annotations
 
 import re
-from collections import Counter
+import zlib
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -34,25 +36,27 @@ PIECE_WORD = r"[^\x20\x09]+"
 #: Words of a phrase, its least count, how much of a phrase's count a longer one takes to replace it (per cent), rows per language.
 MOST_WORDS, LEAST_COUNT, REPLACED, TOP = 3, 10, 50, 2000
 #: Distinct pointers that a task combines before it hands them on.
-COMBINED = 400_000
-#: A word with more than this share of all pointers is dealt by its pointers.
-HOT_SHARE = 1024
+COMBINED = 600_000
+#: Pointers of a prefix that a task takes: PART, or a SHARE-th of all where that is less, but LEAST_PART at least.
+PART, SHARE, LEAST_PART = 1 << 21, 1024, 10_000
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
-
-def _names(words: int) -> list[str]:
-    return [f"w{k + 1}" for k in range(words)]
+#: A row has the pointers of a prefix: a line of words each, and its weight.
+_ROW = "lang string, word string, tails string, weights array<long>"
 
 
 def _combine(words: int):
-    """Rows (lang, text) to weighted pointers (lang, w1, ..., c); a word that the piece doesn't have is null."""
+    """Rows (lang, text) to the pointers of each prefix."""
     fold = str.maketrans(_UPPER, _LOWER)
     cut, word = re.compile(PIECE_END), re.compile(PIECE_WORD)
 
-    def table(counts: Counter) -> pa.RecordBatch:
-        columns = list(zip(*((*k, n) for k, n in counts.items()), strict=True))
-        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in columns[:-1]), pa.array(columns[-1], pa.int64())], names=["lang", *_names(words), "c"])
+    def rows(pointers: Counter) -> Iterator[pa.RecordBatch]:
+        of: defaultdict[tuple[str, str], tuple[list, list]] = defaultdict(lambda: ([], []))
+        for (lang, first, *tail), n in pointers.items():
+            tails, weights = of[lang, first]
+            tails.append(" ".join(tail))
+            weights.append(n)
+        return _table((*prefix, tails, weights) for prefix, (tails, weights) in of.items())
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pointers: Counter = Counter()
@@ -66,88 +70,113 @@ def _combine(words: int):
                         found = word.findall(text, at, end)
                         at = end + 1
                         if found:
-                            after = [[*found[k:], *[None] * k] for k in range(1, words)]
+                            after = [[*found[k:], *[""] * k] for k in range(1, words)]
                             pointers.update(zip([lang] * len(found), found, *after, strict=False))
                             if len(pointers) >= COMBINED:
-                                yield from _sliced(table(pointers))
+                                yield from rows(pointers)
                                 pointers = Counter()
         if pointers:
-            yield from _sliced(table(pointers))
+            yield from rows(pointers)
 
     return part
 
 
-def _sliced(batch: pa.RecordBatch, rows: int = 20_000) -> Iterator[pa.RecordBatch]:
-    for k in range(0, batch.num_rows, rows):
-        yield batch.slice(k, rows)
+def _table(prefixes: Iterator[tuple[str, str, list[str], list[int]]], pointers: int = 50_000) -> Iterator[pa.RecordBatch]:
+    """Batches of some pointers each; a prefix with more has several rows."""
+    held: list[tuple] = []
+    total = 0
+
+    def batch() -> pa.RecordBatch:
+        lang, word, tails, weights = zip(*held, strict=True)
+        columns = [pa.array(lang), pa.array(word), pa.array(["\n".join(t) for t in tails]), pa.array(weights, pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays(columns, names=["lang", "word", "tails", "weights"])
+
+    for lang, word, tails, weights in prefixes:
+        for k in range(0, len(tails), pointers):
+            held.append((lang, word, tails[k : k + pointers], weights[k : k + pointers]))
+            total += len(held[-1][2])
+            if total >= pointers:
+                yield batch()
+                held, total = [], 0
+    if held:
+        yield batch()
+
+
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pointers of a prefix by the part, from 1, that they are dealt to."""
+    for batch in batches:
+        for lang, word, tails, weights, parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            to: defaultdict[int, tuple[list, list]] = defaultdict(lambda: ([], []))
+            for tail, n in zip(tails.split("\n"), weights, strict=True):
+                mine = to[zlib.crc32(tail.encode()) % parts + 1]
+                mine[0].append(tail)
+                mine[1].append(n)
+            numbers = pa.array(list(to), pa.int32())
+            rows = pa.Table.from_batches(_table((lang, word, *mine) for mine in to.values())).combine_chunks()
+            yield rows.append_column("part", numbers).to_batches()[0]
+
+
+def grown(prefix: tuple[str, ...], pointers: list[tuple], words: int, least: int, partial: bool) -> Iterator[tuple[tuple[str, ...], int]]:
+    """(pattern, count) of a prefix and of all frequent patterns that begin with it, depth first.
+
+    pointers: (following words, weight). With `partial` the prefix has pointers elsewhere, so that counts below
+    `least` may be parts of more, but for patterns of full length, whose pointers are all here.
+    """
+    count = sum(n for _, n in pointers)
+    if count < least and (not partial or len(prefix) == words):
+        return
+    yield prefix, count
+    if len(prefix) == words:
+        return
+    after: defaultdict[str, list] = defaultdict(list)
+    k = len(prefix) - 1
+    for p in pointers:
+        if p[0][k]:
+            after[p[0][k]].append(p)
+    for word, projected in after.items():
+        yield from grown((*prefix, word), projected, words, least, partial)
 
 
 def _grow(words: int, least: int):
-    """Sorted pointers to patterns: each prefix is grown to the right, depth first, while its rows last.
+    """Rows in the order of prefixes and parts to their frequent patterns (lang, p, f)."""
 
-    Out come (lang, w1, ..., f): those with f of `least` or more, all where the prefix is dealt to several tasks.
-    """
+    def table(out: list[tuple]) -> pa.RecordBatch:
+        lang, pattern, f = zip(*out, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(lang), pa.array(pattern, pa.list_(pa.string())), pa.array(f, pa.int64())], names=["lang", "p", "f"])
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        open_: list[list] = []  # one [prefix, count, partial] per length
-        lang = None
-
-        def close(depth: int) -> None:
-            while len(open_) > depth:
-                prefix, count, partial = open_.pop()
-                # a prefix of one pointer's full length is whole even where its word is dealt to several tasks
-                if count >= least or partial and len(prefix) < words:
-                    out.append((lang, *prefix, *[None] * (words - len(prefix)), count))
-
-        def table() -> pa.RecordBatch:
-            columns = list(zip(*out, strict=True))
-            out.clear()
-            return pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in columns[:-1]), pa.array(columns[-1], pa.int64())], names=["lang", *_names(words), "f"])
-
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                hot, c, pointer = row[0], row[-1], row[2:-1]
-                if row[1] != lang or not open_ or open_[0][0][0] != pointer[0]:
-                    close(0)
-                    lang = row[1]
-                depth = 1
-                while depth <= len(open_) and depth <= words and open_[depth - 1][0][-1] == pointer[depth - 1]:
-                    depth += 1
-                close(depth - 1)
-                for k in range(depth - 1):
-                    open_[k][1] += c
-                for k in range(depth, words + 1):
-                    if pointer[k - 1] is None:
-                        break
-                    open_.append([pointer[:k], c, hot])
+        rows = (row for batch in batches for k in range(0, batch.num_rows, 256) for row in zip(*(c.to_pylist() for c in batch.slice(k, 256).columns), strict=True))
+        for (lang, word, number), mine in groupby(rows, key=lambda r: r[:3]):
+            pointers: list[tuple] = []
+            for *_, tails, weights in mine:
+                pointers += zip((t.split(" ") for t in tails.split("\n")), weights, strict=True)
+            for pattern, f in grown((word,), pointers, words, least, number > 0):
+                out.append((lang, list(pattern), f))
                 if len(out) >= 20_000:
-                    yield table()
-        close(0)
+                    yield table(out)
+                    out = []
         if out:
-            yield table()
+            yield table(out)
 
     return part
 
 
 def patterns(df: DataFrame, lang_col: str = "lang", text_col: str = "text", words: int = MOST_WORDS, least: int = LEAST_COUNT) -> tuple[DataFrame, DataFrame]:
-    """(frequent contiguous patterns with `f` per language, words in all per language `n`), as written tables."""
-    names = _names(words)
+    """(frequent contiguous patterns `p` with their count `f` per language, words in all per language `n`), as written tables."""
     rows = df.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    pointers = written(rows.mapInArrow(_combine(words), f"lang string, {', '.join(f'{w} string' for w in names)}, c long"), "pointers")
-    totals = written(pointers.groupBy("lang").agg(F.sum("c").alias("n")), "totals")
-    shares = pointers.groupBy("lang", "w1").agg(F.count("*").alias("rows"))
-    hot = shares.filter(F.col("rows") * HOT_SHARE > F.lit(pointers.count())).select("lang", "w1", F.lit(True).alias("is_hot"))
-    dealt = pointers.join(F.broadcast(hot), ["lang", "w1"], "left").withColumn("hot", F.coalesce("is_hot", F.lit(False)))  # at most HOT_SHARE rows
-    deal = F.when(F.col("hot"), F.xxhash64("lang", *names)).otherwise(F.xxhash64("lang", "w1"))
-    grown = (
-        dealt.withColumn("deal", deal)
-        .repartition("deal")
-        .sortWithinPartitions("lang", *names)
-        .select("hot", "lang", *names, "c")
-        .mapInArrow(_grow(words, least), f"lang string, {', '.join(f'{w} string' for w in names)}, f long")
-    )
-    found = grown.groupBy("lang", *names).agg(F.sum("f").alias("f")).filter(F.col("f") >= least)
+    projected = written(rows.mapInArrow(_combine(words), _ROW), "pointers")
+    sizes = projected.groupBy("lang", "word").agg(F.sum(F.size("weights")).alias("pointers"), F.sum(F.aggregate("weights", F.lit(0).cast("long"), lambda x, y: x + y)).alias("n"))
+    sizes = written(sizes, "prefixes")
+    totals = sizes.groupBy("lang").agg(F.sum("n").alias("n"))
+    part = max(LEAST_PART, min(PART, (sizes.agg(F.sum("pointers")).first()[0] or 0) // SHARE))
+    large = sizes.filter(F.col("pointers") > part).select("lang", "word", F.ceil(F.col("pointers") / part).cast("int").alias("parts"))
+    dealt = projected.join(large, ["lang", "word"], "left")
+    whole = dealt.filter("parts is null").select("lang", "word", F.lit(0).cast("int").alias("part"), "tails", "weights")
+    split = dealt.filter("parts is not null").select("lang", "word", "tails", "weights", "parts").mapInArrow(_split, f"{_ROW}, part int")
+    by_prefix = whole.unionByName(split).repartition("lang", "word", "part").sortWithinPartitions("lang", "word", "part")
+    found = by_prefix.select("lang", "word", "part", "tails", "weights").mapInArrow(_grow(words, least), "lang string, p array<string>, f long")
+    found = found.groupBy("lang", "p").agg(F.sum("f").alias("f")).filter(F.col("f") >= least)
     return written(found, "patterns"), totals
 
 
@@ -157,9 +186,8 @@ def collocations(df: DataFrame, lang_col: str = "lang", text_col: str = "text",
     a is the phrase's count; of its cuts into two parts with counts l and r the one with the least floor(10**6 * a * a / (l * r))
     counts, of equal ones the first. Phrases of which a longer one takes `replaced` per cent or more are left out.
     """
-    names = _names(words)
     found, totals = patterns(df, lang_col, text_col, words, least)
-    sized = found.select("lang", F.array_compact(F.array(*names)).alias("p"), F.col("f").alias("a")).withColumn("size", F.size("p"))
+    sized = found.select("lang", "p", F.col("f").alias("a")).withColumn("size", F.size("p"))
     candidates = sized.filter("size >= 2")
     # each cut of a phrase asks for the counts of its two parts, which are frequent as the phrase is
     cuts = candidates.select("lang", "p", "a", F.explode(F.sequence(F.lit(1), F.col("size") - 1)).alias("k"))
