@@ -184,11 +184,6 @@ def global_context(summary: Column, content: Column, flags: Column, n_functions:
     )
 
 
-def accumulated(chunks: Column) -> Column:
-    """A text from its chunks in order, each of which holds all so far or only what is new."""
-    return F.aggregate(chunks, F.lit(""), lambda so_far, c: F.when((so_far != "") & c.startswith(so_far), c).otherwise(F.concat(so_far, c)))
-
-
 def reflection(answer: Column) -> Column:
     """(assessment, decision, reason, to_add, to_remove) of an agent's reflection in markdown lines.
 

@@ -83,15 +83,18 @@ def with_vulnerability(nodes: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def intervals_containing(refs: DataFrame, at: str, spans: DataFrame, first: str, last: str, narrowest: int = 1) -> DataFrame:
-    """Each ref with each span that contains it, as an equi-join.
+    """Each ref with each span that contains it, both ends included, as an equi-join over whole numbers.
 
-    A span is dealt to blocks as wide as the power of two that its length fits in, hence to two at most, however long it
-    is; a ref goes to its block of each width that occurs. Blocks are no narrower than `narrowest`, so that short spans
-    have one width.
+    A span whose ends differ by less than 2**w is dealt to the blocks of 2**w places that its ends lie in, two at most and
+    side by side, so that no place of it lies in a third. w is the bit length of the difference, in integers; where the
+    difference passes 63 bits, the two blocks are the negative and the other numbers. A ref goes to its block of each w
+    that occurs. Blocks are no narrower than `narrowest`, so that short spans have one width. Spans that end before they
+    begin and null ends or places join nothing.
     """
-    width = F.ceil(F.log2(F.greatest(F.col(last).cast("double") - F.col(first) + 1, F.lit(float(narrowest))))).cast("int")
-    spans = spans.filter(F.col(first) <= F.col(last)).withColumn("__width", width)
-    widths = [r[0] for r in spans.select("__width").distinct().collect()]  # 64 rows at most
+    apart = F.try_subtract(F.col(last).cast("long"), F.col(first).cast("long"))
+    width = F.coalesce(F.length(F.bin(F.greatest(apart, F.lit(narrowest - 1).cast("long")))), F.lit(63)).cast("int")
+    spans = spans.filter(F.col(first) <= F.col(last)).withColumn("__width", F.when(apart.isNull(), 63).otherwise(width))
+    widths = [r[0] for r in spans.select("__width").distinct().collect()]  # 63 rows at most
     block = lambda c: F.call_function("shiftright", F.col(c).cast("long"), F.col("__width"))
     dealt = spans.withColumn("__block", F.explode(F.array_distinct(F.array(block(first), block(last)))))
     near = refs.withColumn("__width", F.explode(F.lit(widths).cast("array<int>"))).withColumn("__block", block(at))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from skeinworks.functions.catalog import ENTRY_NAMES, RECEIVERS, SENDERS, TAINT_SINKS, TAINT_SOURCES
 from skeinworks.functions.names import library_name
 from skeinworks.operators.graph import calls, display_name, reach
-from skeinworks.sources.tables import cut
+from skeinworks.sources.tables import stored
 
 MAX_HOPS = 10
 #: The flags that make a node a source, a sink or an entry point.
@@ -91,36 +91,107 @@ def vulnerability_type(flags: Column) -> Column:
     return F.coalesce(F.substring(named, 6, 1 << 20), F.replace(risk, F.lit("_RISK"), F.lit("")), F.lit("UNKNOWN"))
 
 
-def shortest_paths(pairs: DataFrame, sources: DataFrame, sinks: DataFrame | None = None, hops: int = MAX_HOPS) -> DataFrame:
-    """(source, sink, hops, path): of the shortest paths between each source and what it reaches, the least one.
+def distances(pairs: DataFrame, seeds: DataFrame, hops: int, left: DataFrame | None = None) -> DataFrame:
+    """(node, hops): least number of steps, from 0, in which any of the seeds (id) reaches a node; one row per node.
 
-    pairs: distinct (source_id, target_id) over the ids of `sources` (id) and `sinks` (id; all nodes where it is None).
-    One breadth-first search for all sources, level by level: a level keeps the least path of each (source, node), which
-    is exact, as paths of one length compare by their beginnings first. Paths are arrays of ids.
+    left: (node, left) where given: the search enters only nodes in it, and those only where steps and `left` make `hops` at most.
     """
-    pairs = cut(pairs.select("source_id", "target_id"))
-    level = sources.select(F.col("id").alias("source"), F.col("id").alias("node"), F.array("id").alias("path")).distinct()
-    seen = cut(level.select("source", "node"))
-    found = None
+    allowed = lambda df, k: df if left is None else df.join(left.filter(F.col("left") <= hops - k).select("node"), "node", "left_semi")
+    level, n = stored(allowed(seeds.select(F.col("id").alias("node")).distinct(), 0).withColumn("hops", F.lit(0)), "level")
+    found = level
     for k in range(1, hops + 1):
-        steps = level.join(pairs, level["node"] == pairs["source_id"]).select("source", F.col("target_id").alias("node"), F.concat("path", F.array("target_id")).alias("path"))
-        steps = steps.groupBy("source", "node").agg(F.min("path").alias("path")).join(seen, ["source", "node"], "left_anti")
-        level = cut(steps)
-        if level.isEmpty():
+        if not n:
             break
-        seen = seen.union(level.select("source", "node"))
-        new = level.select("source", F.col("node").alias("sink"), F.lit(k).alias("hops"), "path")
-        found = new if found is None else found.unionByName(new)
-    if found is None:
-        found = level.select("source", F.col("node").alias("sink"), F.lit(0).alias("hops"), "path").filter("false")
-    return found.join(sinks.select(F.col("id").alias("sink")).distinct(), "sink", "left_semi") if sinks is not None else found
+        steps = level.join(pairs, level["node"] == pairs["source_id"]).select(F.col("target_id").alias("node")).distinct()
+        level, n = stored(allowed(steps, k).join(found, "node", "left_anti").withColumn("hops", F.lit(k)), "level")
+        found = found.unionByName(level)
+    return found
+
+
+def _turned(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id"))
+
+
+def shortest_paths(pairs: DataFrame, sources: DataFrame, sinks: DataFrame | None = None, hops: int = MAX_HOPS, max_paths: int | None = None) -> DataFrame:
+    """(source, sink, hops, path): of the shortest paths between each source and each other sink that it reaches, the least one.
+
+    pairs: distinct (source_id, target_id) over the ids of `sources` and `sinks` (id; all nodes where it is None). max_paths: only so many, the first by
+    source and sink. Null ids join nothing; without sources or sinks there are no paths.
+
+    Three searches by levels, of ids alone: from the sinks against the calls (a row per node); from the sources, through nodes
+    whose distance to a sink fits what is left of the hops; then from each sink against the calls through what both
+    have seen, where each (node, sink) keeps the least next node on a shortest path. A least path is made of least
+    next nodes, so paths are read off these rows at the end, and only for the pairs that are asked for.
+    """
+    pairs, _ = stored(pairs.select("source_id", "target_id"), "calls")
+    sinks = pairs.select(F.col("target_id").alias("id")).distinct() if sinks is None else sinks
+    to_sink = distances(_turned(pairs), sinks, hops).select("node", F.col("hops").alias("left"))
+    from_source = distances(pairs, sources, hops, to_sink)
+    live = from_source.join(to_sink, "node").filter(F.col("hops") + F.col("left") <= hops)
+    live, _ = stored(live.select("node", F.col("hops").alias("before")), "live")
+    begins = live.select(F.col("node").alias("source_id"), "before")
+    within, _ = stored(pairs.join(begins, "source_id").join(live.select(F.col("node").alias("target_id")), "target_id", "left_semi"), "within")
+    level, n = stored(live.join(sinks.select(F.col("id").alias("node")), "node", "left_semi").select("node", F.col("node").alias("sink"), F.lit(0).alias("hops"), F.col("node").alias("next")), "next")
+    steps = level
+    for k in range(1, hops + 1):
+        if not n:
+            break
+        reached = level.select(F.col("node").alias("target_id"), "sink")
+        new = within.filter(F.col("before") + k <= hops).join(reached, "target_id").groupBy(F.col("source_id").alias("node"), "sink").agg(F.min("target_id").alias("next"))
+        level, n = stored(new.join(steps, ["node", "sink"], "left_anti").select("node", "sink", F.lit(k).alias("hops"), "next"), "next")
+        steps = steps.unionByName(level)
+    found = steps.filter("node != sink").join(sources.select(F.col("id").alias("node")).distinct(), "node", "left_semi")
+    if max_paths is not None:
+        found = found.orderBy("node", "sink").limit(max_paths)
+    begun, n = stored(found.select(F.col("node").alias("source"), "sink", "hops", F.array("node", "next").alias("path"), F.col("next").alias("at")), "paths")
+    most = (begun.agg(F.max("hops")).first()[0] or 1) if n else 1
+    for k in range(2, most + 1):
+        done = begun.filter(F.col("hops") < k)
+        ahead = steps.filter((F.col("hops") > 0) & (F.col("hops") <= most - k + 1)).select(F.col("node").alias("at"), "sink", "next")
+        begun = begun.filter(F.col("hops") >= k).join(ahead, ["at", "sink"]).select("source", "sink", "hops", F.concat("path", F.array("next")).alias("path"), F.col("next").alias("at")).unionByName(done)
+        begun, _ = stored(begun, "paths")
+    return begun.select("source", "sink", "hops", "path")
 
 
 def paths_to(pairs: DataFrame, sinks: DataFrame, hops: int = MAX_HOPS) -> DataFrame:
-    """(source, sink, hops, path) from all that reach a sink: the search goes against the calls."""
-    back = pairs.select(F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id"))
-    found = shortest_paths(back, sinks, None, hops)
-    return found.select(F.col("sink").alias("source"), F.col("source").alias("sink"), "hops", F.reverse("path").alias("path"))
+    """(source, sink, hops, path) from all that reach a sink; of shortest paths the one that is least read from the sink.
+
+    The search goes against the calls from all sinks at once. All that it meets is part of the result, so nothing is pruned; a level
+    keeps the least path of each (sink, node), which is exact, as paths of one length compare by their beginnings first.
+    """
+    pairs, _ = stored(_turned(pairs), "calls")
+    level, n = stored(sinks.select(F.col("id").alias("sink"), F.col("id").alias("node"), F.array("id").alias("path")).distinct(), "level")
+    seen, found = level.select("sink", "node"), None
+    for k in range(1, hops + 1):
+        if not n:
+            break
+        new = level.join(pairs, level["node"] == pairs["source_id"]).select("sink", F.col("target_id").alias("node"), F.concat("path", F.array("target_id")).alias("path"))
+        level, n = stored(new.groupBy("sink", "node").agg(F.min("path").alias("path")).join(seen, ["sink", "node"], "left_anti"), "level")
+        seen = seen.unionByName(level.select("sink", "node"))
+        one = level.select(F.col("node").alias("source"), "sink", F.lit(k).alias("hops"), F.reverse("path").alias("path"))
+        found = one if found is None else found.unionByName(one)
+    return found if found is not None else level.select(F.col("node").alias("source"), "sink", F.lit(0).alias("hops"), "path").filter("false")
+
+
+def path_records(paths: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(source, sink, severity, json) of paths: names and addresses of ends and of each step, as a tool returns them.
+
+    nodes: id, name, address, flags. A step without a node is left out; a path without one of its ends has no record.
+    """
+    named = nodes.select("id", display_name(F.col("name"), F.col("address")).alias("name"), F.concat(F.lit("0x"), F.lower(F.hex("address"))).alias("address"), "flags")
+    steps = paths.select("source", "sink", "hops", F.posexplode("path").alias("place", "id")).join(named, "id")
+    step = F.struct("name", "address")
+    whole = steps.groupBy("source", "sink", "hops").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("place", step.alias("step")))), lambda x: x["step"]).alias("path"),  # at most hops + 1
+        F.first(F.when(F.col("id") == F.col("source"), step), True).alias("first"),
+        F.first(F.when(F.col("id") == F.col("sink"), step), True).alias("last"),
+        F.first(F.when(F.col("id") == F.col("sink"), severity(F.col("flags"))), True).alias("severity"),
+    )
+    record = F.struct(
+        F.col("first.name").alias("source"), F.col("first.address").alias("source_address"), F.col("last.name").alias("sink"), F.col("last.address").alias("sink_address"),
+        "severity", F.col("hops").alias("path_length"), "path",
+    )
+    return whole.filter("first is not null and last is not null").select("source", "sink", "severity", F.to_json(record).alias("json"))
 
 
 def path_edges(paths: DataFrame, kind: str = "TAINT_FLOWS_TO") -> DataFrame:

@@ -337,28 +337,11 @@ def global_context(spark, sf_dir):
     return region.select("r_regionkey", text.alias("context"))
 
 
-def text_accumulated(spark, sf_dir):
-    """Each conversation's turns as chunks of a growing text: every other one holds all so far, the rest what is new."""
-    m = _messages(spark, sf_dir).select("conv_id", "turn", F.concat(F.lit("["), F.col("turn").cast("string"), F.lit("]"), F.substring("text", 1, 40)).alias("piece"))
-    before = F.array_join(F.collect_list("piece").over(Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)), "")
-    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
-    chunks = m.withColumn("chunk", F.when(place % 2 == 0, F.concat(before, F.col("piece"))).otherwise(F.col("piece")))
-    whole = chunks.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "chunk"))), lambda x: x["chunk"]).alias("chunks"))  # one conversation a row
-    return whole.select("conv_id", F.md5(texts.accumulated(F.col("chunks"))).alias("digest"))
-
-
-def _folder(spark, name: str) -> str:
-    """A new folder beside the checkpoints, which driver and executors share."""
-    T.cut(spark.range(1))  # sets the folder where it is unset, or fails
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return f"{base.rstrip('/')}/skein-{name}-{spark._jvm.java.util.UUID.randomUUID()}"
-
-
 def symbols_round_trip(spark, sf_dir):
     """Remote symbols as JSON lines, 500 to a file, read again; a column that some lack is null."""
     c = table(spark, sf_dir, "customer", "c_custkey", "c_name", "c_acctbal")
     rows = c.select(F.col("c_custkey").alias("address"), F.lit("function").alias("symbol_type"), F.when(F.col("c_acctbal") > 0, F.col("c_name")).alias("name"), F.col("c_acctbal").alias("confidence"), F.create_map(F.lit("k"), F.col("c_name")).alias("metadata"))
-    path = _folder(spark, "symbols")
+    path = T.new_folder(spark, "symbols")
     T.write_json_chunks(rows, path)
     return T.read_symbols(spark, path).select("address", "symbol_type", "name", "data_type", "confidence", F.col("metadata")["k"].alias("k"))
 
@@ -368,7 +351,7 @@ def export_round_trip(spark, sf_dir):
     nodes = table(spark, sf_dir, "part", "p_partkey", "p_brand", "p_name").select("p_brand", F.concat(F.lit("0x"), F.lower(F.hex("p_partkey"))).alias("address"), F.lit("function").alias("type"), F.col("p_name").alias("name"))
     one = nodes.groupBy("p_brand", F.expr("crc32(address) % 16").alias("part")).agg(F.collect_list(F.struct("address", "type", "name", F.create_map(F.lit("brand"), F.col("p_brand")).alias("properties"))).alias("nodes"))
     edges = F.transform("nodes", lambda n: F.struct(n["address"].alias("source"), F.lit("0x0").alias("target"), F.lit("calls").alias("type")))
-    path = _folder(spark, "export")
+    path = T.new_folder(spark, "export")
     T.write_json_chunks(one.select("nodes", edges.alias("edges")), path, 100)
     read, links = T.read_graph_export(spark, path)
     found = read.join(links.select(F.col("source").alias("address"), "target"), "address")
@@ -377,7 +360,7 @@ def export_round_trip(spark, sf_dir):
 
 def text_files(spark, sf_dir):
     """Documents as text files with a line end, one each, read again as whole files."""
-    path = _folder(spark, "texts")
+    path = T.new_folder(spark, "texts")
     docs = table(spark, sf_dir, "documents", "doc_id", "text").select("text", F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("name"))
     docs.write.partitionBy("name").text(path)
     found = T.read_text_files(spark, f"{path}/*/*.txt", ("name",))
@@ -386,8 +369,8 @@ def text_files(spark, sf_dir):
 
 def tables_written(spark, sf_dir):
     """Feedback and chats as stored tables, by partition, read again."""
-    chats = T.write_table(_messages(spark, sf_dir).select("conv_id", "turn", "text", "role"), _folder(spark, "chats"), "role")
-    marks = T.write_table(table(spark, sf_dir, "labels", "doc_id", "quality", "toxic"), _folder(spark, "marks"))
+    chats = T.write_table(_messages(spark, sf_dir).select("conv_id", "turn", "text", "role"), T.new_folder(spark, "chats"), "role")
+    marks = T.write_table(table(spark, sf_dir, "labels", "doc_id", "quality", "toxic"), T.new_folder(spark, "marks"))
     return chats.groupBy("role").agg(F.count("*").alias("n"), F.sum(F.length("text").cast("long")).alias("size")).unionByName(marks.agg(F.lit("feedback").alias("role"), F.count("*").alias("n"), F.sum(F.col("quality").cast("long")).alias("size")))
 
 
@@ -424,7 +407,7 @@ def has_graph(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     named_taint_sets, named_network_edges, taint_stats, paths_to_sink, address_lookup, node_edges, edge_tests, edges_between, node_tests, community_ranking, community_key_functions, community_of_nodes, community_insights, global_findings, reflections_parsed,
     community_edges, community_members_named, semantic_analysis, function_security, index_run, flags_added, flags_refreshed, names_refreshed, stale_marked, analysis_saved, messages_saved, records_deleted, call_ids_complete,
-    callers_updated, sessions_ordered, message_slices, chunk_hits, rag_context, edited_chats, answers_parsed, qualified_names, epoch_times, global_context, text_accumulated, symbols_round_trip,
+    callers_updated, sessions_ordered, message_slices, chunk_hits, rag_context, edited_chats, answers_parsed, qualified_names, epoch_times, global_context, symbols_round_trip,
     export_round_trip, text_files, tables_written, tool_json, local_symbols, explanations_cleared, has_graph,
 )}
 
@@ -520,7 +503,6 @@ select (select count(distinct source_id) from w where source_id % 2 = 1) as call
     "global_context": f"""with c as (select n_regionkey, {CUSTOMER} as flags from customer join nation on c_nationkey = n_nationkey), g as (select n_regionkey, count(*) as n, list_sort(list_distinct(flatten(list(flags)))) as flags from c group by 1), s as (select n_regionkey, count(*) as m from nation group by 1)
 select r_regionkey, '## Binary Context' || chr(10) || chr(10) || case when r_regionkey % 2 = 0 then '**Summary:** ' || r_name || chr(10) || chr(10) else '' end || case when len(flags) > 0 then '**Security Flags:** ' || array_to_string(flags, ', ') || chr(10) || chr(10) else '' end
   || '**Graph Statistics:**' || chr(10) || '- Functions: ' || n || chr(10) || '- Total nodes: ' || (n + m + 1) || chr(10) || '- Total edges: ' || (n + m) || chr(10) as context from region join g on n_regionkey = r_regionkey join s on s.n_regionkey = r_regionkey""",
-    "text_accumulated": "select conv_id, md5(string_agg('[' || turn || ']' || substr(text, 1, 40), '' order by turn)) as digest from conversations group by 1",
     "symbols_round_trip": "select c_custkey as address, 'function' as symbol_type, case when c_acctbal > 0 then c_name end as name, null::varchar as data_type, c_acctbal as confidence, c_name as k from customer",
     "export_round_trip": "select '0x' || lower(to_hex(p_partkey)) as address, 'function' as type, p_name as name, p_brand as brand, '0x0' as target from part",
     "text_files": "select 'd' || doc_id as name, octet_length(encode(text))::bigint + 1 as file_size, md5(text || chr(10)) as digest from documents",

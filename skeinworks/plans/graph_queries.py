@@ -169,6 +169,13 @@ def shared_callees(spark, sf_dir):
     return graph.siblings(G.chain_calls(spark, sf_dir), "callees")
 
 
+def shared_callers_thrice(spark, sf_dir):
+    """Parts that three or more orders' lines call both: an order calls its parts, so popular parts are not the hubs, orders are."""
+    lines = table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey")
+    edges = lines.select(F.col("l_orderkey").alias("source_id"), F.col("l_partkey").alias("target_id"), F.lit("CALLS").alias("type"))
+    return graph.siblings(edges, "callers", 3)
+
+
 def similar_functions(spark, sf_dir):
     return graph.similar(G.chain_calls(spark, sf_dir)).select("id", "other", F.round("score", 6).alias("score"), "reason", F.col("rank").cast("long").alias("rank"))
 
@@ -190,6 +197,13 @@ def taint_paths(spark, sf_dir):
     return _taint(spark, sf_dir).join(sinks, "sink").select("source", "sink", "hops", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"), "severity")
 
 
+def taint_records(spark, sf_dir):
+    """The first fifty paths by source and sink, as the records that a tool returns."""
+    nodes = _parts(spark, sf_dir)
+    found = paths.shortest_paths(graph.calls(G.chain_calls(spark, sf_dir)), _with_flag(nodes, *paths.SOURCE_FLAGS), _with_flag(nodes, *paths.SINK_FLAGS), max_paths=50)
+    return paths.path_records(found, nodes)
+
+
 def taint_edges(spark, sf_dir):
     return paths.path_edges(_taint(spark, sf_dir)).select("source_id", "target_id", "n_paths")
 
@@ -274,7 +288,7 @@ def range_join_refs(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     callers_callees, node_scan_by_type, node_lookup, stale_nodes_topk, graph_stats, edge_union_distinct, edge_dedup_min, dup_node_highest_degree, existing_edge_filter,
-    n_hop_neighbors, call_context_depth, ego_graph, shared_callers, shared_callees, similar_functions, source_sink_sets, taint_paths, taint_edges, vulnerable_via,
+    n_hop_neighbors, call_context_depth, ego_graph, shared_callers, shared_callees, shared_callers_thrice, similar_functions, source_sink_sets, taint_paths, taint_records, taint_edges, vulnerable_via,
     network_send_edges, network_recv_edges, calls_vulnerable, propagate_flags, label_propagation_k3, label_propagation, community_members, community_records,
     community_stats, module_summary, global_query, binary_security, graph_export, range_join_refs,
 )}
@@ -312,6 +326,8 @@ select seed, node, hops as depth, 'callee' as direction from reached union all s
   union select target_id, source_id from chain where target_id in ({ENTRIES}))
 select a.seed, source_id, target_id from chain join m a on a.node = source_id join m b on b.node = target_id and a.seed = b.seed""",
     "shared_callers": f"with {DENSE} {BY_CALLERS}",
+    "shared_callers_thrice": """with calls as (select distinct l_orderkey, l_partkey from lineitem)
+select a.l_partkey as id, b.l_partkey as other, count(*) as shared from calls a join calls b on a.l_orderkey = b.l_orderkey and a.l_partkey <> b.l_partkey group by 1, 2 having count(*) >= 3""",
     "shared_callees": f"with {DENSE} {BY_CALLEES}",
     "similar_functions": f"""with {DENSE}, f as (select id, other, 0.7::double as score, 'shared callers' as reason from ({BY_CALLERS}) union all select id, other, 0.6, 'shared callees' from ({BY_CALLEES})),
 g as (select id, other, max(score) as score, arg_max(reason, score) as reason from f group by 1, 2)
@@ -321,6 +337,14 @@ select * from (select *, row_number() over (partition by id order by score desc,
 from nodes where type = 'FUNCTION' and (is_source or is_sink or is_entry)""",
     "taint_paths": f"""with {PARTS}, {DENSE}, {paths_sql(10, SOURCES)}
 select source, sink, hops, array_to_string(path, '>') as path, {SEVERITY} as severity from found join parts on sink = id where sink in ({SINKS})""",
+    "taint_records": f"""with {PARTS}, {DENSE}, {paths_sql(10, SOURCES)},
+taken as (select source, sink, hops, path from found where sink in ({SINKS}) order by source, sink limit 50),
+steps as (select source, sink, hops, unnest(path) as id, unnest(range(1, len(path) + 1)) as place from taken),
+named as (select source, sink, hops, place, '"name":"' || name || '","address":"0x' || lower(to_hex(s.id)) || '"' as step from steps s join parts using (id)),
+whole as (select source, sink, hops, string_agg('{{' || step || '}}', ',' order by place) as path, min_by(step, place) as first, max_by(step, place) as last from named group by 1, 2, 3)
+select source, sink, severity, '{{' || replace(replace(first, '"address"', '"source_address"'), '"name"', '"source"') || ',' || replace(replace(last, '"address"', '"sink_address"'), '"name"', '"sink"')
+  || ',"severity":"' || severity || '","path_length":' || hops || ',"path":[' || whole.path || ']}}' as json
+from whole join (select id, {SEVERITY} as severity from parts) on id = sink""",
     "taint_edges": f"""with {PARTS}, {DENSE}, {paths_sql(10, SOURCES)}
 select source_id, target_id, count(*) as n_paths from (select unnest(path[:-2]) as source_id, unnest(path[2:]) as target_id from found where sink in ({SINKS})) group by 1, 2""",
     "vulnerable_via": f"""with {PARTS}, {DENSE}, {reach_sql(10, ENTRIES)}

@@ -1,4 +1,4 @@
-"""Streams of events: windows with watermarks, a queue without repeats, blocks of markdown as they become stable.
+"""Streams of events: windows with watermarks, blocks of markdown as they become stable.
 
 A source is a folder of Parquet files; a run with availableNow takes all that is there and ends. Each query writes to a
 table in the shared folder, with its checkpoint beside it, so that it goes on where it was after a loss.
@@ -7,7 +7,6 @@ table in the shared folder, with its checkpoint beside it, so that it goes on wh
 from __future__ import annotations
 
 import re
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from skeinworks.sources.tables import new_folder
+
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 MESSAGES = "conv_id long, turn long, role string, text string"
 
@@ -23,20 +24,22 @@ HEADING, RULE, FENCE = re.compile(r"^#{1,6}\s"), re.compile(r"^(\*{3,}|-{3,}|_{3
 ITEM, QUOTE, ROW = re.compile(r"^(\s*([-*+]|\d+[.)]))\s"), re.compile(r"^>\s?"), re.compile(r"^\|.*\|\s*$")
 
 
-def stream(spark: SparkSession, sf_dir: str, name: str, schema: str) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{sf_dir}/{name}.parquet*")
+def in_files(df: DataFrame, name: str, *parts: str) -> str:
+    """A folder in which rows arrive as files, one after the other: those of the first condition first."""
+    path = new_folder(df.sparkSession, name)
+    for part in parts:
+        df.filter(part).coalesce(1).write.mode("append").parquet(path)
+    return path
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A path in spark.checkpoint.dir that nothing else uses; where that is unset, in the warehouse, which is shared as well."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/skein-stream-{name}-{uuid.uuid4().hex}"
+def stream(spark: SparkSession, sf_dir: str, name: str, schema: str) -> DataFrame:
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{sf_dir}/{name}.parquet*")
 
 
-def run(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Runs the stream over all that is there and returns what it wrote."""
+def run(df: DataFrame, name: str, mode: str = "append", folder: str | None = None) -> DataFrame:
+    """Runs the stream over all that is there and returns what it wrote; in a `folder` of an earlier run it goes on where that ended."""
     spark = df.sparkSession
-    path = shared_path(spark, name)
+    path = folder or new_folder(spark, f"stream-{name}")
     if mode == "append":
         query = df.writeStream.format("parquet").option("checkpointLocation", f"{path}/checkpoint").outputMode(mode).trigger(availableNow=True).start(f"{path}/rows")
     else:  # each batch replaces what it updates
@@ -64,36 +67,6 @@ def sessions(events: DataFrame, gap: str = "12 hours") -> DataFrame:
     return events.groupBy(F.session_window("ts", gap).alias("s"), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("s.start").alias("start"), "n")
 
 
-def first_of_each(events: DataFrame, *keys: str) -> DataFrame:
-    """A work queue without repeats: each key once, whatever the number of its events."""
-    return events.select(*keys).dropDuplicates(list(keys))
-
-
-def in_batches(events: DataFrame, work, size: int = 10, retries: int = 3):
-    """Starts a stream that hands its rows to `work` (a function of a list of rows), `size` at a time within each task."""
-
-    def one(rows: Iterator) -> None:
-        part = []
-        for row in rows:
-            part.append(row)
-            if len(part) == size:
-                _retried(work, part, retries)
-                part = []
-        if part:
-            _retried(work, part, retries)
-
-    return events.writeStream.foreachBatch(lambda df, _: df.foreachPartition(one)).trigger(processingTime="5 seconds").start()
-
-
-def _retried(work, rows: list, retries: int) -> None:
-    for attempt in range(retries + 1):
-        try:
-            return work(rows)
-        except Exception:
-            if attempt == retries:
-                raise
-
-
 def stable_end(text: str) -> int:
     """How much of a growing markdown text won't be read anew: up to the last line that ends or begins a block.
 
@@ -115,11 +88,6 @@ def stable_end(text: str) -> int:
     return stable
 
 
-def joined(so_far: str, chunk: str) -> str:
-    """A text after one more chunk, which either holds all so far or only what is new."""
-    return chunk if so_far and chunk.startswith(so_far) else so_far + chunk
-
-
 def _blocks(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     pending, done = state.get if state.exists else ("", 0)
     rows = pd.concat(list(batches)).sort_values("turn")

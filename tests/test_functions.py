@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from skeinworks.functions import features, names, texts
 from skeinworks.operators import merge, retrieval, sessions
-from skeinworks.streaming.events import joined, stable_end
+from skeinworks.streaming.events import stable_end
 
 
 def applied(spark, function, values, kind="string"):
@@ -94,7 +94,6 @@ def test_stable_blocks():
     assert stable_end("```\n# no\n```\nx") == 13
     assert stable_end("| a |\n| b |\n") == 0
     assert stable_end("# head\ntext") == 7
-    assert joined("ab", "abc") == "abc" and joined("ab", "c") == "abc" and joined("", "x") == "x"
 
 
 def test_fixed_values():
@@ -147,27 +146,3 @@ def test_chunks_are_pushed_again_after_an_error(spark, tmp_path):
     assert sum(sent) == 25 and max(sent) == 5
     with pytest.raises(Exception):
         tables.push_chunks(spark.range(1), lambda part: 1 / 0, 5, 0)
-
-
-def test_stream_in_batches(spark, tmp_path):
-    """A stream's rows reach `work` ten at a time at most, again after an error."""
-    from skeinworks.streaming import events
-
-    spark.range(25).repartition(2).write.parquet(f"{tmp_path}/in")
-    folder = str(tmp_path)
-
-    def work(rows):
-        mark = f"{folder}/failed-{rows[0].id}"
-        if not os.path.exists(mark):
-            open(mark, "w").close()
-            raise OSError("try again")
-        with open(f"{folder}/sent-{rows[0].id}", "w") as f:
-            f.write(str(len(rows)))
-
-    query = events.in_batches(spark.readStream.schema("id long").parquet(f"{tmp_path}/in"), work)
-    try:
-        query.processAllAvailable()
-    finally:
-        query.stop()
-    sizes = [int(open(f"{folder}/{f}").read()) for f in os.listdir(folder) if f.startswith("sent-")]
-    assert sum(sizes) == 25 and max(sizes) <= 10
