@@ -1,181 +1,296 @@
 """Collocations by contiguous pattern growth in the manner of PrefixSpan.
 
 Every word occurrence points at what follows it in its piece, at most MOST_WORDS - 1 words: the projection of its prefix.
-Tasks combine equal pointers of the documents they read (a bounded table, emptied when full), so that a pointer has a weight, and
-hand on one row per prefix, a word of a language, with all its pointers; a shuffle brings the rows of a prefix to one task. There
-patterns grow to the right, depth first: the pointers of a prefix are counted by their next word, and those of each
-frequent next word are the projection of the longer prefix.
+Tasks combine equal pointers of some megabytes of text at a time, so that a pointer has a weight, and hand on one row per
+prefix, a word of a language, with all its pointers; a shuffle brings the rows of a prefix to one task. There patterns
+grow to the right, depth first: the pointers of a prefix are counted by their next word, and those of each frequent next word
+are the projection of the longer prefix.
 
 A prefix with more than PART pointers, or 1 / SHARE of all, is dealt to several tasks by its pointers: the longest
 patterns are still complete in a task, shorter ones are partial counts that the tasks hand on unpruned and a shuffle
 adds up. So no task holds more than a part of a prefix.
 
-Scores come from joins of the frequent patterns alone, in exact decimals of 38 digits (counts up to 10**16).
+The most frequent words, CODED at most, travel as codes of one to three signs and all others spelled out, which
+changes the size of what is shuffled and nothing else. Scores come from joins of the frequent patterns alone, in exact decimals of
+38 digits (counts up to 10**16).
 
 Nulls: a null text is empty, a null language is `und`. Repeated rows count as often as they occur; ids play no part.
-Ties: score, then count, then the phrase's bytes. Long texts are cut by pieces, which a task holds one at a time. Empty input, empty result.
+Ties: score, then count, then the phrase's bytes. Long texts are cut where pieces end. Empty input, empty result.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import groupby
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skeinworks.llm.common import slices, written
 
-#: Fixed values of the text rule: where pieces end, and what a word is.
-PIECE_END = r"[.,;:!?\x0A-\x0D]"
-PIECE_WORD = r"[^\x20\x09]+"
+#: Fixed values of the text rule: signs at which pieces end, and those at which words end.
+PIECE_ENDS, WORD_ENDS = b".,;:!?\x0a\x0b\x0c\x0d", b" \x09"
 #: Words of a phrase, its least count, how much of a phrase's count a longer one takes to replace it (per cent), rows per language.
 MOST_WORDS, LEAST_COUNT, REPLACED, TOP = 3, 10, 50, 2000
-#: Distinct pointers that a task combines before it hands them on.
-COMBINED = 600_000
+#: Bytes of text whose pointers a task combines at a time.
+CHUNK = 12 << 20
 #: Pointers of a prefix that a task takes: PART, or a SHARE-th of all where that is less, but LEAST_PART at least.
 PART, SHARE, LEAST_PART = 1 << 21, 1024, 10_000
+#: Words that have a code, and the prefixes dealt in parts up to which their list is broadcast.
+CODED, LISTED = 1 << 16, 10_000
+#: Pointers of whole prefixes that a task unpacks at a time.
+UNPACKED = 400_000
+
+_END, _GAP = b"\n", b" "
+_FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ" + PIECE_ENDS + WORD_ENDS, b"abcdefghijklmnopqrstuvwxyz" + _END * len(PIECE_ENDS) + _GAP * len(WORD_ENDS))
+#: Signs of a code; a word that is spelled out begins with SPELLED.
+_DIGITS, _SPELLED = [chr(c) for c in range(33, 123)], "\x01"
+
+
+def codes(words: list[str]) -> dict[str, str]:
+    """A short code for each word, the shortest for the first."""
+    out, n = {}, len(_DIGITS)
+    for k, word in enumerate(words):
+        code = _DIGITS[k % n]
+        while k >= n:
+            k = k // n - 1
+            code = _DIGITS[k % n] + code
+        out[word] = code
+    return out
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], list[bytes]]]:
+    """(languages, folded texts) of about CHUNK bytes; a longer text in parts that end where a piece does."""
+    langs: list[str] = []
+    texts: list[bytes] = []
+    held = 0
+    for whole in batches:
+        for batch in slices(whole, 1):
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                raw = text.encode().translate(_FOLD)
+                while raw:
+                    cut = len(raw)
+                    if cut > CHUNK:
+                        at = raw.rfind(_END, 0, CHUNK)
+                        at = raw.find(_END, CHUNK) if at <= 0 else at
+                        cut = at if at > 0 else cut
+                    langs.append(lang)
+                    texts.append(raw[:cut])
+                    held += cut
+                    raw = raw[cut:]
+                    if held >= CHUNK:
+                        yield langs, texts
+                        langs, texts, held = [], [], 0
+    if texts:
+        yield langs, texts
+
+
+def _words(langs: list[str], texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str], list[str]]:
+    """Per word of the texts its number, piece and language; the different words and languages that the numbers mean."""
+    blob = np.frombuffer(_END.join(texts), np.uint8)
+    ends = blob == _END[0]
+    inside = ~(ends | (blob == _GAP[0]))
+    edge = np.diff(inside.view(np.int8), prepend=0, append=0)
+    start, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    if not len(start):
+        return start, start, start, [], []
+    offsets = np.zeros(len(start) + 1, np.int32)
+    np.cumsum(stop - start, out=offsets[1:])
+    found = pa.StringArray.from_buffers(len(start), pa.py_buffer(offsets), pa.py_buffer(blob[inside].tobytes())).dictionary_encode()
+    piece = np.cumsum(ends, dtype=np.int32)[start]
+    names = sorted(set(langs))
+    place = {lang: k for k, lang in enumerate(names)}
+    text = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), start, "right")
+    lang = np.array([place[x] for x in langs], np.int64)[text]
+    return found.indices.to_numpy().astype(np.int64), piece, lang, found.dictionary.to_pylist(), names
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often each word of a language occurs in each chunk."""
+    for chunk in _chunks(batches):
+        word, _, lang, words, langs = _words(*chunk)
+        if words:
+            keys, n = np.unique(lang * len(words) + word, return_counts=True)
+            columns = [pa.array(langs).take(pa.array(keys // len(words))), pa.array(words).take(pa.array(keys % len(words))), pa.array(n)]
+            yield from _sliced(pa.RecordBatch.from_arrays(columns, names=["lang", "word", "n"]))
+
+
+def _sliced(batch: pa.RecordBatch, rows: int = 20_000) -> Iterator[pa.RecordBatch]:
+    for k in range(0, batch.num_rows, rows):
+        yield batch.slice(k, rows)
 
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A row has the pointers of a prefix: a line of words each, and its weight.
-_ROW = "lang string, word string, tails string, weights array<long>"
 
+#: A row has the pointers of a prefix: a line of words each, and its weight.
+_ROW = "lang string, word string, tails string, weights array<int>"
 
-def _combine(words: int):
-    """Rows (lang, text) to the pointers of each prefix."""
-    fold = str.maketrans(_UPPER, _LOWER)
-    cut, word = re.compile(PIECE_END), re.compile(PIECE_WORD)
 
-    def rows(pointers: Counter) -> Iterator[pa.RecordBatch]:
-        of: defaultdict[tuple[str, str], tuple[list, list]] = defaultdict(lambda: ([], []))
-        for (lang, first, *tail), n in pointers.items():
-            tails, weights = of[lang, first]
-            tails.append(" ".join(tail))
-            weights.append(n)
-        return _table((*prefix, tails, weights) for prefix, (tails, weights) in of.items())
+def _project(words: int, code: dict[str, str]):
+    """Texts to the pointers of each prefix."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pointers: Counter = Counter()
-        for whole in batches:
-            for batch in slices(whole, 1):
-                for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    at, text = 0, text.translate(fold)
-                    while at <= len(text):  # piece by piece, so that a long text's pieces are not all held
-                        m = cut.search(text, at)
-                        end = m.start() if m else len(text)
-                        found = word.findall(text, at, end)
-                        at = end + 1
-                        if found:
-                            after = [[*found[k:], *[""] * k] for k in range(1, words)]
-                            pointers.update(zip([lang] * len(found), found, *after, strict=False))
-                            if len(pointers) >= COMBINED:
-                                yield from rows(pointers)
-                                pointers = Counter()
-        if pointers:
-            yield from rows(pointers)
+        for chunk in _chunks(batches):
+            first, piece, lang, known, langs = _words(*chunk)
+            if not known:
+                continue
+            none = len(known)
+            columns = [lang, first]
+            for k in range(1, words):
+                after = np.full(len(first), none, np.int64)
+                same = piece[k:] == piece[:-k]
+                after[:-k][same] = first[k:][same]
+                columns.append(after)
+            packed, size = lang, len(langs)
+            for column in columns[1:]:
+                if size >= (1 << 62) // (none + 1):
+                    packed = np.unique(packed, return_inverse=True)[1]
+                    size = int(packed.max()) + 1
+                packed, size = packed * (none + 1) + column, size * (none + 1)
+            _, at, n = np.unique(packed, return_index=True, return_counts=True)
+            spelled = pa.array([*(code.get(w) or _SPELLED + w for w in known), ""])
+            tails = pc.binary_join_element_wise(*(spelled.take(pa.array(c[at])) for c in columns[2:]), " ")
+            prefix = lang[at] * none + first[at]
+            begins = np.flatnonzero(np.concatenate(([True], prefix[1:] != prefix[:-1])))
+            # a row has UNPACKED pointers at most
+            begins = np.union1d(begins, np.arange(0, len(at), UNPACKED)) if len(at) > UNPACKED else begins
+            offsets = pa.array(np.append(begins, len(at)).astype(np.int32))
+            rows = [
+                pa.array(langs).take(pa.array(lang[at[begins]])),
+                spelled.take(pa.array(first[at[begins]])),
+                pc.binary_join(pa.ListArray.from_arrays(offsets, tails), "\n"),
+                pa.ListArray.from_arrays(offsets, pa.array(n.astype(np.int32))),
+            ]
+            yield from _sliced(pa.RecordBatch.from_arrays(rows, names=["lang", "word", "tails", "weights"]), 4096)
 
     return part
 
 
-def _table(prefixes: Iterator[tuple[str, str, list[str], list[int]]], pointers: int = 50_000) -> Iterator[pa.RecordBatch]:
-    """Batches of some pointers each; a prefix with more has several rows."""
-    held: list[tuple] = []
-    total = 0
-
-    def batch() -> pa.RecordBatch:
-        lang, word, tails, weights = zip(*held, strict=True)
-        columns = [pa.array(lang), pa.array(word), pa.array(["\n".join(t) for t in tails]), pa.array(weights, pa.list_(pa.int64()))]
-        return pa.RecordBatch.from_arrays(columns, names=["lang", "word", "tails", "weights"])
-
-    for lang, word, tails, weights in prefixes:
-        for k in range(0, len(tails), pointers):
-            held.append((lang, word, tails[k : k + pointers], weights[k : k + pointers]))
-            total += len(held[-1][2])
-            if total >= pointers:
-                yield batch()
-                held, total = [], 0
-    if held:
-        yield batch()
-
-
 def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pointers of a prefix by the part, from 1, that they are dealt to."""
     for batch in batches:
         for lang, word, tails, weights, parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            to: defaultdict[int, tuple[list, list]] = defaultdict(lambda: ([], []))
-            for tail, n in zip(tails.split("\n"), weights, strict=True):
-                mine = to[zlib.crc32(tail.encode()) % parts + 1]
-                mine[0].append(tail)
-                mine[1].append(n)
-            numbers = pa.array(list(to), pa.int32())
-            rows = pa.Table.from_batches(_table((lang, word, *mine) for mine in to.values())).combine_chunks()
-            yield rows.append_column("part", numbers).to_batches()[0]
-
-
-def grown(prefix: tuple[str, ...], pointers: list[tuple], words: int, least: int, partial: bool) -> Iterator[tuple[tuple[str, ...], int]]:
+            lines = tails.split("\n")
+            to = np.array([zlib.crc32(t.encode()) % parts + 1 for t in lines])
+            order = np.argsort(to, kind="stable")
+            number, begins = np.unique(to[order], return_index=True)
+            offsets = pa.array(np.append(begins, len(to)).astype(np.int32))
+            rows = [
+                pa.array([lang] * len(number)),
+                pa.array([word] * len(number)),
+                pc.binary_join(pa.ListArray.from_arrays(offsets, pa.array(lines).take(pa.array(order))), "\n"),
+                pa.ListArray.from_arrays(offsets, pa.array(np.array(weights, np.int32)[order])),
+                pa.array(number, pa.int32()),
+            ]
+            yield pa.RecordBatch.from_arrays(rows, names=["lang", "word", "tails", "weights", "part"])
+
+
+def grown(prefix: tuple[int, ...], following: np.ndarray, weights: np.ndarray, least: int, partial: bool, depth: int = 0) -> Iterator[tuple[tuple[int, ...], int]]:
     """(pattern, count) of a prefix and of all frequent patterns that begin with it, depth first.
 
-    pointers: (following words, weight). With `partial` the prefix has pointers elsewhere, so that counts below
-    `least` may be parts of more, but for patterns of full length, whose pointers are all here.
+    following: a row of next words per pointer, -1 after the last. With `partial` the prefix has pointers elsewhere, so that
+    counts below `least` may be parts of more, but for patterns of full length, whose pointers are all here.
     """
-    count = sum(n for _, n in pointers)
-    if count < least and (not partial or len(prefix) == words):
+    count, whole = int(weights.sum()), depth == following.shape[1]
+    if count < least and (not partial or whole):
         return
     yield prefix, count
-    if len(prefix) == words:
+    if whole:
         return
-    after: defaultdict[str, list] = defaultdict(list)
-    k = len(prefix) - 1
-    for p in pointers:
-        if p[0][k]:
-            after[p[0][k]].append(p)
-    for word, projected in after.items():
-        yield from grown((*prefix, word), projected, words, least, partial)
-
-
-def _grow(words: int, least: int):
+    words = following[:, depth]
+    order = np.argsort(words, kind="stable")
+    words = words[order]
+    begins = np.flatnonzero(np.concatenate(([True], words[1:] != words[:-1])))
+    sums = np.add.reduceat(weights[order], begins)
+    last = depth + 1 == following.shape[1]
+    for k in np.flatnonzero((words[begins] >= 0) & ((sums >= least) | (partial and not last))).tolist():
+        mine = order[begins[k] : begins[k + 1] if k + 1 < len(begins) else None]
+        yield from grown((*prefix, int(words[begins[k]])), following[mine], weights[mine], least, partial, depth + 1)
+
+
+def _grow(words: int, least: int, decode: dict[str, str]):
     """Rows in the order of prefixes and parts to their frequent patterns (lang, p, f)."""
 
-    def table(out: list[tuple]) -> pa.RecordBatch:
-        lang, pattern, f = zip(*out, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(lang), pa.array(pattern, pa.list_(pa.string())), pa.array(f, pa.int64())], names=["lang", "p", "f"])
+    def solved(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        flat = pc.split_pattern(pa.array([t for *_, tails, _ in held for t in tails]), "\n").flatten()
+        found = pc.split_pattern(flat, " ").flatten().dictionary_encode()
+        known = found.dictionary.to_pylist()
+        plain = [decode.get(w) or w[1:] for w in known]
+        following = found.indices.to_numpy().reshape(-1, words - 1).astype(np.int32)
+        if "" in known:
+            following[following == known.index("")] = -1
+        at, out = 0, []
+        for lang, word, part, _, weights in held:
+            weights = np.concatenate(weights)
+            mine = following[at : at + len(weights)]
+            at += len(weights)
+            spelled = decode.get(word) or word[1:]
+            for pattern, f in grown((), mine, weights, least, part > 0):
+                out.append((lang, [spelled, *(plain[w] for w in pattern)], f))
+        for k in range(0, len(out), 20_000):
+            lang, p, f = zip(*out[k : k + 20_000], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(p, pa.list_(pa.string())), pa.array(f, pa.int64())], names=["lang", "p", "f"])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            for whole in slices(batch, 3, rows=4096):
+                lang, word, part, tails = (whole.column(k).to_pylist() for k in range(4))
+                ends = whole.column(4).offsets.to_numpy()
+                flat = whole.column(4).values.to_numpy(zero_copy_only=False).astype(np.int64)
+                for k in range(whole.num_rows):
+                    yield lang[k], word[k], part[k], tails[k], flat[ends[k] : ends[k + 1]]
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
-        rows = (row for batch in batches for k in range(0, batch.num_rows, 256) for row in zip(*(c.to_pylist() for c in batch.slice(k, 256).columns), strict=True))
-        for (lang, word, number), mine in groupby(rows, key=lambda r: r[:3]):
-            pointers: list[tuple] = []
-            for *_, tails, weights in mine:
-                pointers += zip((t.split(" ") for t in tails.split("\n")), weights, strict=True)
-            for pattern, f in grown((word,), pointers, words, least, number > 0):
-                out.append((lang, list(pattern), f))
-                if len(out) >= 20_000:
-                    yield table(out)
-                    out = []
-        if out:
-            yield table(out)
+        held, n = [], 0
+        for (lang, word, number), mine in groupby(rows(batches), key=lambda r: r[:3]):
+            mine = list(mine)
+            weights = [r[4] for r in mine]
+            if number == 0 and sum(int(w.sum()) for w in weights) < least:
+                continue  # not frequent itself
+            held.append((lang, word, number, [r[3] for r in mine], weights))
+            n += sum(map(len, weights))
+            if n >= UNPACKED:
+                yield from solved(held)
+                held, n = [], 0
+        if held:
+            yield from solved(held)
 
     return part
 
 
+def frequent_words(counts: DataFrame) -> list[str]:
+    """The most frequent words of all languages, CODED at most: those of a count of at least some power of two."""
+    sums = counts.groupBy("word").agg(F.sum("n").alias("n"))
+    steps = sorted((r for r in sums.groupBy(F.length(F.bin("n")).alias("step")).agg(F.count("*").alias("words")).collect()), key=lambda r: -r.step)  # 64 rows at most
+    least, words = None, 0
+    for r in steps:
+        words += r.words
+        if words > CODED:
+            break
+        least = r.step
+    if least is None:
+        return []
+    return [r.word for r in sorted(sums.filter(F.length(F.bin("n")) >= least).collect(), key=lambda r: (-r.n, r.word))]
+
+
 def patterns(df: DataFrame, lang_col: str = "lang", text_col: str = "text", words: int = MOST_WORDS, least: int = LEAST_COUNT) -> tuple[DataFrame, DataFrame]:
-    """(frequent contiguous patterns `p` with their count `f` per language, words in all per language `n`), as written tables."""
+    """(frequent contiguous patterns `p` with their count `f` per language, words in all per language `n`), from written tables."""
     rows = df.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    projected = written(rows.mapInArrow(_combine(words), _ROW), "pointers")
-    sizes = projected.groupBy("lang", "word").agg(F.sum(F.size("weights")).alias("pointers"), F.sum(F.aggregate("weights", F.lit(0).cast("long"), lambda x, y: x + y)).alias("n"))
-    sizes = written(sizes, "prefixes")
-    totals = sizes.groupBy("lang").agg(F.sum("n").alias("n"))
-    part = max(LEAST_PART, min(PART, (sizes.agg(F.sum("pointers")).first()[0] or 0) // SHARE))
-    large = sizes.filter(F.col("pointers") > part).select("lang", "word", F.ceil(F.col("pointers") / part).cast("int").alias("parts"))
-    dealt = projected.join(large, ["lang", "word"], "left")
+    counts = written(rows.mapInArrow(_count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
+    totals = counts.groupBy("lang").agg(F.sum("n").alias("n"))
+    code = codes(frequent_words(counts))
+    projected = written(rows.mapInArrow(_project(words, code), _ROW), "pointers")
+    sizes = projected.groupBy("lang", "word").agg(F.sum(F.size("weights")).alias("pointers"))
+    part = max(LEAST_PART, min(PART, (projected.agg(F.sum(F.size("weights"))).first()[0] or 0) // SHARE))
+    large = written(sizes.filter(F.col("pointers") > part).select("lang", "word", F.ceil(F.col("pointers") / part).cast("int").alias("parts")), "large")
+    # few where PART isn't reached (SHARE at most); the check is for when it is
+    dealt = projected.join(F.broadcast(large) if large.count() <= LISTED else large, ["lang", "word"], "left")
     whole = dealt.filter("parts is null").select("lang", "word", F.lit(0).cast("int").alias("part"), "tails", "weights")
     split = dealt.filter("parts is not null").select("lang", "word", "tails", "weights", "parts").mapInArrow(_split, f"{_ROW}, part int")
     by_prefix = whole.unionByName(split).repartition("lang", "word", "part").sortWithinPartitions("lang", "word", "part")
-    found = by_prefix.select("lang", "word", "part", "tails", "weights").mapInArrow(_grow(words, least), "lang string, p array<string>, f long")
+    found = by_prefix.select("lang", "word", "part", "tails", "weights").mapInArrow(_grow(words, least, {c: w for w, c in code.items()}), "lang string, p array<string>, f long")
     found = found.groupBy("lang", "p").agg(F.sum("f").alias("f")).filter(F.col("f") >= least)
     return written(found, "patterns"), totals
 

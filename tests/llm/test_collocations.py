@@ -62,17 +62,23 @@ def test_query_equals_its_sql(spark):
     assert rows_of(df, columns) == expected and len(expected) > 50
 
 
-@pytest.mark.parametrize(("part", "combined"), [(10_000, 400_000), (1, 50), (40, 7)])
-def test_against_plain(spark, monkeypatch, part, combined):
-    """However prefixes are dealt (whole, by their pointers, some of them) and however small the combining table."""
-    monkeypatch.setattr(collocations, "LEAST_PART", part)
-    monkeypatch.setattr(collocations, "COMBINED", combined)
+@pytest.mark.parametrize("limits", [{}, {"LEAST_PART": 1, "CHUNK": 100, "CODED": 5}, {"LEAST_PART": 40, "CODED": 0, "UNPACKED": 3, "LISTED": 0}])
+def test_against_plain(spark, monkeypatch, limits):
+    """However prefixes are dealt (whole, by their pointers, some of them), chunks are cut and words are coded."""
+    for k, v in limits.items():
+        monkeypatch.setattr(collocations, k, v)
     given = texts()
     expected = plain(given)
     assert len(expected) > 60
     assert rows(collocations.collocations(frame(spark, given))) == expected
 
 
+def test_codes():
+    words = [f"w{k}" for k in range(10_000)]
+    made = collocations.codes(words)
+    assert len(set(made.values())) == 10_000 and max(map(len, made.values())) == 3 and not any(set(c) & set(" \n\x01") for c in made.values())
+
+
 def test_top_and_ties(spark):
     given = texts(60, 4)
     assert rows(collocations.collocations(frame(spark, given), top=3)) == plain(given, 3)
