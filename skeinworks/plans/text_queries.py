@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from skeinworks.functions import features, names, texts
 from skeinworks.functions.catalog import CATEGORIES, DANGEROUS
 from skeinworks.operators import retrieval
+from skeinworks.operators.keyword_index import KeywordIndex
 from skeinworks.sources.tables import table
 
 #: Names as they come from binaries, beside those of the tables.
@@ -124,6 +125,36 @@ def term_postings(spark, sf_dir):
     return found.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
+def keyword_index_search(spark, sf_dir):
+    """The best documents, from an index in files of which the query's terms are read."""
+    found = KeywordIndex.build(_files(spark, sf_dir), "doc_id", "text").search(QUERY, 15)
+    return found.select(F.col("id").alias("doc_id"), "score", F.round("saturated", 6).alias("saturated"))
+
+
+def _kept_up(spark, sf_dir):
+    """An index of all documents after changes: the benchmark's texts come, German documents end in one more word, toxic ones go."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    index = KeywordIndex.build(docs, "doc_id", "text")
+    index.apply(table(spark, sf_dir, "benchmark", "item_id", "text").select((-1 - F.col("item_id")).alias("id"), "text"))
+    toxic = table(spark, sf_dir, "labels", "doc_id", "toxic").filter("toxic = 1").select(F.col("doc_id").alias("id"))
+    index.apply(docs.filter("lang = 'de'").select(F.col("doc_id").alias("id"), F.concat("text", F.lit(" haer")).alias("text")), toxic)
+    index.apply(None, toxic)  # what is gone already
+    return index
+
+
+def keyword_index_upkeep(spark, sf_dir):
+    """The best documents of an index after inserts, edits and deletes."""
+    found = _kept_up(spark, sf_dir).search(QUERY, 15)
+    return found.select(F.col("id").alias("doc_id"), "score", F.round("saturated", 6).alias("saturated"))
+
+
+def keyword_index_terms(spark, sf_dir):
+    """Document frequencies of an index after inserts, edits and deletes, its generations merged."""
+    index = _kept_up(spark, sf_dir)
+    index.merge()
+    return index.terms()
+
+
 def snippets(spark, sf_dir):
     return _files(spark, sf_dir).select("doc_id", texts.snippet(F.col("text"), QUERY).alias("snippet"))
 
@@ -163,7 +194,7 @@ def fts_matches(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     normalize_names, default_name_filter, hex_addresses, extract_calls, classify_strings, activity_profile_risk, catalog_profile_risk, complexity, category_keywords, truncations,
-    chunk_documents, chunk_stats, bm25_search, bm25_scores, term_postings, snippets, vector_search, vector_scores, hybrid_search, fts_search, fts_matches,
+    chunk_documents, chunk_stats, bm25_search, bm25_scores, term_postings, keyword_index_search, keyword_index_upkeep, keyword_index_terms, snippets, vector_search, vector_scores, hybrid_search, fts_search, fts_matches,
 )}
 
 
@@ -239,6 +270,8 @@ TERMS = QUERY.split()
 BM25 = f"""w as (select doc_id, {TOKENS} as words from documents), c as (select doc_id, len(words) as n, {", ".join(f"len(list_filter(words, lambda x: x = '{t}')) as t{k}" for k, t in enumerate(TERMS))} from w),
 s as (select count(*)::double as docs, avg(n) as mean, {", ".join(f"count(*) filter (t{k} > 0) as d{k}" for k in range(len(TERMS)))} from c),
 bm as (select doc_id, {" + ".join(f"case when t{k} > 0 then 2.0::double * ln(1 + (docs - d{k} + 0.5::double) / (d{k} + 0.5::double)) * t{k} / (t{k} + 1.2::double * (0.25::double + 0.75::double * n / mean)) else 0 end" for k in range(len(TERMS)))} as score from c, s)"""
+CHANGED = """changed as (select doc_id, case when lang = 'de' then text || ' haer' else text end as text from documents where doc_id not in (select doc_id from labels where toxic = 1)
+union all select -1 - item_id, text from benchmark)"""
 TOP_BM25 = "select doc_id, round(score, 6) as score, round(score / (score + 1), 6) as saturated from bm where score > 0 order by 2 desc, 1 limit 15"
 VECTORS = "v as (select e.vec_id, e.label, list_cosine_similarity(e.embedding::double[], q.embedding::double[]) as score from embeddings e, (select embedding from embeddings where vec_id = 0) q)"
 TOP_VECTORS = "select vec_id, label, round(score, 6) as score from (select *, max(score) over () as best from (select * from v where score >= 0.5 order by score desc, vec_id limit 5)) where score >= 0.95 * best"
@@ -283,6 +316,9 @@ select doc_id, md5(case when tokens > 200 then substr(text, 1, floor(keep * 0.7:
     "chunk_stats": CHUNKS + " select doc_id, count(*) as n_chunks, max(b - a + 1)::int as longest, sum(b - a + 1)::bigint as n_chars from c group by 1",
     "bm25_search": f"with {BM25} {TOP_BM25}",
     "bm25_scores": f"with {BM25} select doc_id, round(score, 6) as score from bm where score > 0",
+    "keyword_index_search": f"with {BM25} {TOP_BM25}",
+    "keyword_index_upkeep": f"with {CHANGED}, {BM25.replace('documents', 'changed')} {TOP_BM25}",
+    "keyword_index_terms": f"with {CHANGED} select term, count(*) as df from (select distinct doc_id, unnest({TOKENS}) as term from changed) group by 1",
     "term_postings": f"select term, count(*) as df, sum(tf)::bigint as cf from (select term, doc_id, count(*) as tf from (select doc_id, unnest({TOKENS}) as term from documents) group by 1, 2) group by 1",
     "snippets": f"""with p as (select doc_id, text, coalesce(least({", ".join(f"nullif(strpos(lower(text), '{t}'), 0)" for t in TERMS)}) - 1, length(text)) as best from documents),
 q as (select *, greatest(0, best - 250) as a from p), r as (select *, least(length(text), a + 500) as b from q)
