@@ -9,12 +9,15 @@ from skeinworks.functions import features, names, texts
 from skeinworks.functions.catalog import CATEGORIES, DANGEROUS
 from skeinworks.operators import retrieval
 from skeinworks.operators.keyword_index import KeywordIndex
+from skeinworks.operators.vector_index import VectorIndex
 from skeinworks.sources.tables import table
 
 #: Names as they come from binaries, beside those of the tables.
 SAMPLES = ("__imp__recv@16", "___main", "WS2_32.dll::send", "KERNEL32.DLL_WSARecvFrom", "thunk_foo", "Class::FUN_00401000", "j_x", "_", "@12", "a1", "param_3", "sub_401000", "<EXTERNAL>::open", "__imp_", "uVar12", "DAT_0040a0")
 QUERY = "the tion and haer"
 LINES = "\n"
+#: All calls of the catalogue.
+CALLS = sorted({n for s in [*CATEGORIES.values(), *DANGEROUS.values()] for n in s})
 
 
 def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,15 +71,16 @@ def activity_profile_risk(spark, sf_dir):
 
 
 def catalog_profile_risk(spark, sf_dir):
-    """As activity_profile_risk for pairs of the catalogue's own calls: one case per pair of neighbours."""
-    ordered = sorted({n for s in [*CATEGORIES.values(), *DANGEROUS.values()] for n in s})
-    cases = spark.createDataFrame(list(zip(ordered, ordered[1:] + ordered[:1], strict=True)), "a string, b string")
-    f = cases.select("a", "b", F.array_sort(F.array("a", "b")).alias("calls")).withColumns(features.api_columns(F.col("calls")))
+    """As activity_profile_risk for parts as functions that call two functions of the catalogue each."""
+    names_ = F.array(*map(F.lit, CALLS))
+    nth = lambda n: F.get(names_, F.pmod(n, F.lit(len(CALLS))).cast("int"))
+    cases = table(spark, sf_dir, "part", "p_partkey", "p_size").select("p_partkey", nth(F.col("p_partkey")).alias("a"), nth(F.col("p_partkey") + F.col("p_size")).alias("b"))
+    f = cases.select("p_partkey", F.array_sort(F.array("a", "b")).alias("calls")).withColumns(features.api_columns(F.col("calls")))
     none = F.array().cast("array<string>")
     c = {k: F.col(k) for k in [*CATEGORIES, "risks"]} | {k: none for k in ("ips", "urls", "domains", "paths", "registry")}
     f = f.withColumn("profile", features.profile(*(c[k] for k in CATEGORIES))).withColumn("score", features.risk_score(c))
     f = f.withColumn("level", features.risk_level(F.col("score")))
-    return f.select("a", "b", "profile", "score", "level", F.array_join("risks", ",").alias("risks"), F.array_join(features.security_flags(c, F.col("profile"), F.col("level")), ",").alias("flags"))
+    return f.select("p_partkey", "profile", "score", "level", F.array_join("risks", ",").alias("risks"), F.array_join(features.security_flags(c, F.col("profile"), F.col("level")), ",").alias("flags"))
 
 
 def complexity(spark, sf_dir):
@@ -169,10 +173,21 @@ def vector_search(spark, sf_dir):
     return retrieval.vector_search(vectors, "embedding", query, 5, "vec_id").select("vec_id", "label", F.round("score", 6).alias("score"))
 
 
+def vector_index_search(spark, sf_dir):
+    """What each vector whose id is divisible by 50 finds among all, from an index that leaves out cells by the triangle inequality."""
+    vectors = table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
+    queries = vectors.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    found = VectorIndex.build(vectors, "embedding").search(queries, "query_id", "query", 5, "vec_id")
+    return found.select("query_id", "vec_id", "label", F.round("score", 6).alias("score"))
+
+
 def vector_scores(spark, sf_dir):
     """The similarity of every vector to the query vector."""
     vectors, query = _vectors(spark, sf_dir)
-    return vectors.join(F.broadcast(query)).select("vec_id", F.round(retrieval.cosine(F.col("embedding"), F.col("query")), 6).alias("score"))
+    rows = query.limit(2).collect()
+    if len(rows) != 1:
+        raise ValueError("one query vector is asked for")
+    return vectors.withColumn("query", F.lit(rows[0]["query"])).select("vec_id", F.round(retrieval.cosine(F.col("embedding"), F.col("query")), 6).alias("score"))
 
 
 def hybrid_search(spark, sf_dir):
@@ -194,7 +209,7 @@ def fts_matches(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     normalize_names, default_name_filter, hex_addresses, extract_calls, classify_strings, activity_profile_risk, catalog_profile_risk, complexity, category_keywords, truncations,
-    chunk_documents, chunk_stats, bm25_search, bm25_scores, term_postings, keyword_index_search, keyword_index_upkeep, keyword_index_terms, snippets, vector_search, vector_scores, hybrid_search, fts_search, fts_matches,
+    chunk_documents, chunk_stats, bm25_search, bm25_scores, term_postings, keyword_index_search, keyword_index_upkeep, keyword_index_terms, snippets, vector_search, vector_index_search, vector_scores, hybrid_search, fts_search, fts_matches,
 )}
 
 
@@ -298,7 +313,7 @@ ORACLE_SQL = {
     "classify_strings": f"""with v as (select value, count(*) as n from (select unnest(regexp_split_to_array(text, '{SPACE}')) as value from documents union all select url from pages) group by 1)
 select value, n, {KIND.format(v="value")} as kind from v where kind is not null""",
     "activity_profile_risk": "with " + _profiled(f"select id, {CALLED.format(c='code')} as calls, {_kinds('words')} from (select *, regexp_split_to_array(code, '{SPACE}') as words from (select 'd' || doc_id as id, text as code from documents union all select 'p' || page_id, url || chr(10) || html from pages))", "id"),
-    "catalog_profile_risk": "with n as (select name, coalesce(lead(name) over (order by name), first_value(name) over (order by name)) as b from (select distinct unnest([" + ", ".join(f"'{x}'" for x in sorted({n for s in [*CATEGORIES.values(), *DANGEROUS.values()] for n in s})) + "]) as name)), " + _profiled("select name as a, b, list_sort([name, b]) as calls, []::varchar[] as ips, []::varchar[] as urls, []::varchar[] as domains, []::varchar[] as paths, []::varchar[] as registry from n", "a, b, array_to_string(risks, ',') as risks"),
+    "catalog_profile_risk": "with n as (select p_partkey, names[p_partkey % len(names) + 1] as a, names[(p_partkey + p_size) % len(names) + 1] as b from part, (select [" + ", ".join(f"'{x}'" for x in CALLS) + "] as names)), " + _profiled("select p_partkey, list_sort([a, b]) as calls, []::varchar[] as ips, []::varchar[] as urls, []::varchar[] as domains, []::varchar[] as paths, []::varchar[] as registry from n", "p_partkey, array_to_string(risks, ',') as risks"),
     "complexity": r"""with c as (select page_id, len(string_split(regexp_replace(html, '\n+$', ''), chr(10))) as n_lines,
   len(regexp_extract_all(html, '\bif\s*\(')) + len(regexp_extract_all(html, '\bswitch\s*\(')) + len(regexp_extract_all(html, '\bcase\s+')) + len(regexp_extract_all(html, '\?.*:')) as n_branches,
   len(regexp_extract_all(html, '\bwhile\s*\(')) + len(regexp_extract_all(html, '\bfor\s*\(')) + len(regexp_extract_all(html, '\bdo\s*\{')) as n_loops,
@@ -323,6 +338,9 @@ select doc_id, md5(case when tokens > 200 then substr(text, 1, floor(keep * 0.7:
     "snippets": f"""with p as (select doc_id, text, coalesce(least({", ".join(f"nullif(strpos(lower(text), '{t}'), 0)" for t in TERMS)}) - 1, length(text)) as best from documents),
 q as (select *, greatest(0, best - 250) as a from p), r as (select *, least(length(text), a + 500) as b from q)
 select doc_id, case when a > 0 then '...' else '' end || substr(text, a + 1, b - a) || case when b < length(text) then '...' else '' end as snippet from r""",
+    "vector_index_search": """with v as (select q.vec_id as query_id, e.vec_id, e.label, list_cosine_similarity(e.embedding::double[], q.embedding::double[]) as score from embeddings e, embeddings q where q.vec_id % 50 = 0),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as place, max(score) over (partition by query_id) as best from v where score >= 0.5)
+select query_id, vec_id, label, round(score, 6) as score from r where place <= 5 and score >= 0.95 * best""",
     "vector_search": f"with {VECTORS} {TOP_VECTORS}",
     "vector_scores": f"with {VECTORS} select vec_id, round(score, 6) as score from v",
     "hybrid_search": f"with {BM25}, {VECTORS} select * from (select 'doc ' || doc_id as hit, saturated as score from ({TOP_BM25}) union all select 'vec ' || vec_id, score from ({TOP_VECTORS})) order by score desc, hit limit 10",
