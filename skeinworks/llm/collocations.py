@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -213,49 +212,64 @@ def grown(prefix: tuple[int, ...], following: np.ndarray, weights: np.ndarray, l
 def _grow(words: int, least: int, decode: dict[str, str]):
     """Rows in the order of prefixes and parts to their frequent patterns (lang, p, f)."""
 
-    def solved(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        flat = pc.split_pattern(pa.array([t for *_, tails, _ in held for t in tails]), "\n").flatten()
+    def solved(rows: pa.Table, begins: np.ndarray, end: int) -> Iterator[pa.RecordBatch]:
+        """The prefixes whose rows begin at `begins`, up to the row `end`."""
+        rows = rows.slice(0, end)
+        n = rows["weights"].combine_chunks().value_lengths().to_numpy().astype(np.int64)
+        weights = rows["weights"].combine_chunks().flatten().to_numpy().astype(np.int64)
+        at = np.cumsum(n) - n
+        number = rows["part"].to_numpy()[begins]
+        counts = np.add.reduceat(weights, at[begins])
+        wanted = (counts >= least) | (number > 0)  # the others aren't frequent themselves
+        row = np.repeat(wanted, np.diff(np.append(begins, end)))
+        if not wanted.any():
+            return
+        flat = pc.split_pattern(rows["tails"].combine_chunks().take(pa.array(np.flatnonzero(row))), "\n").flatten()
         found = pc.split_pattern(flat, " ").flatten().dictionary_encode()
+        weights = weights[np.repeat(row, n)]
         known = found.dictionary.to_pylist()
         plain = [decode.get(w) or w[1:] for w in known]
         following = found.indices.to_numpy().reshape(-1, words - 1).astype(np.int32)
         if "" in known:
             following[following == known.index("")] = -1
-        at, out = 0, []
-        for lang, word, part, _, weights in held:
-            weights = np.concatenate(weights)
-            mine = following[at : at + len(weights)]
-            at += len(weights)
+        first = pa.array(begins[wanted])
+        sizes = np.add.reduceat(n, begins)[wanted]
+        ends = np.cumsum(sizes)
+        out = []
+        for lang, word, part, a, b in zip(rows["lang"].take(first).to_pylist(), rows["word"].take(first).to_pylist(), (number[wanted] > 0).tolist(), (ends - sizes).tolist(), ends.tolist(), strict=True):
             spelled = decode.get(word) or word[1:]
-            for pattern, f in grown((), mine, weights, least, part > 0):
+            for pattern, f in grown((), following[a:b], weights[a:b], least, part):
                 out.append((lang, [spelled, *(plain[w] for w in pattern)], f))
         for k in range(0, len(out), 20_000):
             lang, p, f = zip(*out[k : k + 20_000], strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(p, pa.list_(pa.string())), pa.array(f, pa.int64())], names=["lang", "p", "f"])
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for batch in batches:
-            for whole in slices(batch, 3, rows=4096):
-                lang, word, part, tails = (whole.column(k).to_pylist() for k in range(4))
-                ends = whole.column(4).offsets.to_numpy()
-                flat = whole.column(4).values.to_numpy(zero_copy_only=False).astype(np.int64)
-                for k in range(whole.num_rows):
-                    yield lang[k], word[k], part[k], tails[k], flat[ends[k] : ends[k + 1]]
-
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-        for (lang, word, number), mine in groupby(rows(batches), key=lambda r: r[:3]):
-            mine = list(mine)
-            weights = [r[4] for r in mine]
-            if number == 0 and sum(int(w.sum()) for w in weights) < least:
-                continue  # not frequent itself
-            held.append((lang, word, number, [r[3] for r in mine], weights))
-            n += sum(map(len, weights))
+        held: list[pa.RecordBatch] = []
+        n = 0
+
+        def close(last: bool) -> Iterator[pa.RecordBatch]:
+            """All prefixes whose rows are there; the one that the rows end with may have more to come."""
+            rows = pa.Table.from_batches(held).combine_chunks()
+            keys = [rows[c].combine_chunks().dictionary_encode().indices.to_numpy() for c in ("lang", "word")] + [rows["part"].to_numpy()]
+            new = np.ones(rows.num_rows, bool)
+            new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+            begins = np.flatnonzero(new)
+            end = rows.num_rows if last else int(begins[-1])
+            if end:
+                yield from solved(rows, begins if last else begins[:-1], end)
+            held[:] = rows.slice(end).to_batches()
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                n += len(batch.column(4).flatten())
             if n >= UNPACKED:
-                yield from solved(held)
-                held, n = [], 0
+                yield from close(False)
+                n = sum(len(b.column(4).flatten()) for b in held)
+                n = n if n < UNPACKED else 0  # a prefix of many pointers: it is looked at again after as many more
         if held:
-            yield from solved(held)
+            yield from close(True)
 
     return part
 
