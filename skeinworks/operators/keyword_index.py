@@ -204,8 +204,8 @@ class KeywordIndex:
         others = F.create_map(*[F.lit(x) for t in best for x in (t, sum(best.values()) - best[t])])
         kept, n = stored(heads.filter(F.col("bound") + others[F.col("term")] >= threshold).select("gen", "block"), "kept")
         read = self._named(postings, [tuple(r) for r in kept.collect()]) if n <= NAMED else postings.join(kept, ["gen", "block"], "left_semi")
-        found = self._scores(read, part).withColumn("score", F.round("score", digits)).orderBy(F.desc("score"), F.asc_nulls_last("id")).limit(k)
-        return found.withColumn("saturated", F.col("score") / (F.col("score") + 1))
+        whole = self._scores(read, part).withColumn("saturated", F.col("score") / (F.col("score") + 1))
+        return whole.withColumn("score", F.round("score", digits)).orderBy(F.desc("score"), F.asc_nulls_last("id")).limit(k)
 
     @staticmethod
     def _named(postings: DataFrame, blocks: list[tuple[int, int]]) -> DataFrame:

@@ -11,6 +11,7 @@ from skeinworks.plans.graph_queries import PARTS, chain_sql, labels_sql, paths_s
 from skeinworks.plans.record_queries import _messages
 from skeinworks.plans.text_queries import CHUNKS
 from skeinworks.sources import graph_tables as G
+from skeinworks.sources import packed, records
 from skeinworks.sources import tables as T
 from skeinworks.sources.tables import table
 
@@ -347,24 +348,23 @@ def symbols_round_trip(spark, sf_dir):
 
 
 def export_round_trip(spark, sf_dir):
-    """The graph as it is sent out, a JSON object with nodes and edges for each brand, read again."""
-    nodes = table(spark, sf_dir, "part", "p_partkey", "p_brand", "p_name").select("p_brand", F.concat(F.lit("0x"), F.lower(F.hex("p_partkey"))).alias("address"), F.lit("function").alias("type"), F.col("p_name").alias("name"))
-    one = nodes.groupBy("p_brand", F.expr("crc32(address) % 16").alias("part")).agg(F.collect_list(F.struct("address", "type", "name", F.create_map(F.lit("brand"), F.col("p_brand")).alias("properties"))).alias("nodes"))
-    edges = F.transform("nodes", lambda n: F.struct(n["address"].alias("source"), F.lit("0x0").alias("target"), F.lit("calls").alias("type")))
-    path = T.new_folder(spark, "export")
-    T.write_json_chunks(one.select("nodes", edges.alias("edges")), path, 100)
-    read, links = T.read_graph_export(spark, path)
-    found = read.join(links.select(F.col("source").alias("address"), "target"), "address")
-    return found.select("address", "type", "name", F.col("properties")["brand"].alias("brand"), "target")
+    """The graph as it is sent out, in chunks of nodes and of edges, read again."""
+    nodes = table(spark, sf_dir, "part", "p_partkey", "p_brand", "p_name").select(F.concat(F.lit("0x"), F.lower(F.hex("p_partkey"))).alias("address"), F.lit("function").alias("type"), F.col("p_name").alias("name"), F.create_map(F.lit("brand"), F.col("p_brand")).alias("properties"))
+    edges = nodes.select(F.col("address").alias("source"), F.lit("0x0").alias("target"), F.lit("calls").alias("type"))
+    name, path = records.register(spark), T.new_folder(spark, "export")
+    found = []
+    for kind, rows in (("nodes", nodes), ("edges", edges)):
+        rows.write.format(name).option("path", f"{path}/{kind}").mode("append").save()
+        found.append(spark.read.format(name).option("path", f"{path}/{kind}").schema(rows.schema).load())
+    joined = found[0].join(found[1].select(F.col("source").alias("address"), "target"), "address")
+    return joined.select("address", "type", "name", F.col("properties")["brand"].alias("brand"), "target")
 
 
 def text_files(spark, sf_dir):
-    """Documents as text files with a line end, one each, read again as whole files."""
-    path = T.new_folder(spark, "texts")
-    docs = table(spark, sf_dir, "documents", "doc_id", "text").select("text", F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("name"))
-    docs.write.partitionBy("name").text(path)
-    found = T.read_text_files(spark, f"{path}/*/*.txt", ("name",))
-    return found.select("name", "file_size", F.md5("content").alias("digest"))
+    """Documents with a line end, many to a file, read again by their places."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("name"), F.concat("text", F.lit("\n")).alias("text"))
+    found = packed.unpack(*packed.pack(docs, "name", "text"))
+    return found.select(F.col("key").alias("name"), F.col("size").alias("file_size"), F.md5("content").alias("digest"))
 
 
 def tables_written(spark, sf_dir):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skeinworks.functions import texts
 from skeinworks.operators import merge, sessions
+from skeinworks.operators.snapshots import Snapshot
 from skeinworks.sources.tables import table
 
 
@@ -33,6 +34,16 @@ def node_upsert(spark, sf_dir):
     return merge.upsert(_local(spark, sf_dir), _remote(spark, sf_dir), "address", ["name", "content"], ["confidence"])
 
 
+def bucket_upsert(spark, sf_dir):
+    """As node_upsert on a table in buckets, then rows deleted and inserted: what it holds after the third change."""
+    local = _local(spark, sf_dir).select("address", "name", "content", "confidence").withColumn("change", F.lit("old"))
+    snapshot = Snapshot.create(local, ["address"], 16)
+    snapshot.upsert(_remote(spark, sf_dir).select("address", "name", "content", "confidence"), ["name", "content"], ["confidence"])
+    snapshot.delete(table(spark, sf_dir, "orders", "o_custkey", "o_orderstatus").filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("address")).distinct())
+    snapshot.insert_or_ignore(table(spark, sf_dir, "supplier", "s_suppkey", "s_name", "s_acctbal").select((F.col("s_suppkey") * 3).alias("address"), F.col("s_name").alias("name"), F.lit("s").alias("content"), F.col("s_acctbal").alias("confidence"), F.lit("new").alias("change")))
+    return snapshot.read()
+
+
 def merge_policies(spark, sf_dir):
     a, b = _local(spark, sf_dir), _remote(spark, sf_dir)
     out = None
@@ -155,7 +166,7 @@ def feedback_stats(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    node_upsert, merge_policies, insert_or_ignore, incremental_stale, symbol_conflicts, record_vulnerability, latest_analysis, chat_last_n, chat_compressed, token_estimate, context_status,
+    node_upsert, bucket_upsert, merge_policies, insert_or_ignore, incremental_stale, symbol_conflicts, record_vulnerability, latest_analysis, chat_last_n, chat_compressed, token_estimate, context_status,
     role_normalize, tool_pairs, orphans_dropped, message_separators, chat_edit_diff, session_list, findings_relevance, todo_similarity, todo_next, line_context, feedback_stats,
 )}
 
@@ -180,6 +191,11 @@ def _any(words) -> str:
 ORACLE_SQL = {
     "node_upsert": f"""with {LOCAL}, {REMOTE} select address, coalesce(r.name, l.name) as name, coalesce(r.content, l.content) as content, case when r.content is not null then r.confidence else l.confidence end as confidence,
   case when l.content is null then 'insert' when r.content is null then 'keep' else 'update' end as change from local_ l full join remote_ r using (address)""",
+    # the remote snapshot touches every bucket, so rows that it lacks count as kept in all of them
+    "bucket_upsert": f"""with {LOCAL}, {REMOTE}, u as (select address, coalesce(r.name, l.name) as name, coalesce(r.content, l.content) as content, case when r.content is not null then r.confidence else l.confidence end as confidence,
+  case when l.content is null then 'insert' when r.content is null then 'keep' else 'update' end as change from local_ l full join remote_ r using (address)),
+d as (select * from u where address not in (select o_custkey from orders where o_orderstatus = 'P'))
+select * from d union all select s_suppkey * 3, s_name, 's', s_acctbal, 'new' from supplier where s_suppkey * 3 not in (select address from d)""",
     "merge_policies": f"""with {LOCAL}, {REMOTE} select address, coalesce(r.name, l.name) as name, coalesce(r.content, l.content) as content, 'upsert' as policy from local_ l full join remote_ r using (address)
 union all select address, case when l.content is not null then l.name else r.name end, coalesce(l.content, r.content), 'prefer_local' from local_ l full join remote_ r using (address)
 union all select address, name, content, 'replace' from remote_""",

@@ -1,11 +1,9 @@
-"""Readers and writers: tables by name, records of the graph export, JSON in files of bounded size."""
+"""Readers and writers: tables by name, the shared folder, JSON in files of bounded size."""
 
 from __future__ import annotations
 
 import tempfile
-import time
 import uuid
-from itertools import islice
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -63,51 +61,8 @@ def read_symbols(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("address long, symbol_type string, name string, data_type string, confidence double, provenance string, source string, content string, metadata map<string,string>").json(path)
 
 
-def read_graph_export(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of exported graphs, one JSON object to a line."""
-    raw = spark.read.schema(
-        "nodes array<struct<address:string,type:string,name:string,summary:string,properties:map<string,string>>>,"
-        "edges array<struct<source:string,target:string,type:string,properties:map<string,string>>>"
-    ).json(path)
-    return raw.select(F.inline("nodes")), raw.select(F.inline("edges"))
-
-
-def write_graph_export(nodes: DataFrame, edges: DataFrame, path: str, records: int = 500) -> None:
-    """Nodes and edges as JSON lines in two folders under `path`."""
-    write_json_chunks(nodes, f"{path}/nodes", records)
-    write_json_chunks(edges, f"{path}/edges", records)
-
-
-def push_chunks(df: DataFrame, send, records: int = 500, retries: int = 5) -> None:
-    """Hands the rows to `send` (a function of a list of dicts), `records` at a time within each task, again after an error.
-
-    A chunk that fails `retries` times more fails its task. A repeated task sends anew, so `send` must bear repeats.
-    """
-
-    def one(rows) -> None:
-        rows = iter(rows)
-        while part := [r.asDict(recursive=True) for r in islice(rows, records)]:
-            for attempt in range(retries + 1):
-                try:
-                    send(part)
-                    break
-                except Exception:
-                    if attempt == retries:
-                        raise
-                    time.sleep(min(0.01 * 2**attempt, 30))
-
-    df.foreachPartition(one)
-
-
 def write_table(df: DataFrame, path: str, partition: str | None = None) -> DataFrame:
     """The rows as Parquet in one job, and the table read back."""
     writer = df.write.mode("overwrite")
     (writer.partitionBy(partition) if partition else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
-
-
-def read_text_files(spark: SparkSession, path: str, partitions: tuple[str, ...] = ()) -> DataFrame:
-    """(filename, file_size, content) of whole text files, and the values of `partitions` that their folders name."""
-    raw = spark.read.format("binaryFile").load(path)
-    named = [F.regexp_extract("path", f"/{name}=([^/]*)/", 1).alias(name) for name in partitions]
-    return raw.select(F.element_at(F.split("path", "/"), -1).alias("filename"), F.col("length").alias("file_size"), F.decode("content", "utf-8").alias("content"), *named)

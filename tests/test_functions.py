@@ -1,6 +1,3 @@
-import os
-
-import pytest
 from pyspark.sql import functions as F
 
 from skeinworks.functions import features, names, texts
@@ -126,23 +123,3 @@ def test_long_spans_and_hubs(spark):
     nodes = spark.range(2000).selectExpr("id", "concat('name', lpad(id, 4, '0')) as name", "array('X') as flags")
     text = communities.summaries(members, nodes).first().summary
     assert text.startswith("Community of 2000 functions. Key functions: name0000, name0001, name0002, name0003, name0004 (+1995 more). ")
-
-
-def test_chunks_are_pushed_again_after_an_error(spark, tmp_path):
-    from skeinworks.sources import tables
-
-    folder = str(tmp_path)
-
-    def send(part):
-        mark = f"{folder}/failed-{part[0]['id']}"
-        if not os.path.exists(mark):
-            open(mark, "w").close()
-            raise OSError("try again")
-        with open(f"{folder}/sent-{part[0]['id']}", "w") as f:
-            f.write(str(len(part)))
-
-    tables.push_chunks(spark.range(0, 25, 1, 2), send, 5)
-    sent = [int(open(f"{folder}/{f}").read()) for f in os.listdir(folder) if f.startswith("sent-")]
-    assert sum(sent) == 25 and max(sent) == 5
-    with pytest.raises(Exception):
-        tables.push_chunks(spark.range(1), lambda part: 1 / 0, 5, 0)
