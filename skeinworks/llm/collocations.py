@@ -3,8 +3,9 @@
 Every word occurrence points at what follows it in its piece, at most MOST_WORDS - 1 words: the projection of its prefix.
 Tasks combine equal pointers of some megabytes of text at a time, so that a pointer has a weight, and hand on one row per
 prefix, a word of a language, with all its pointers; a shuffle brings the rows of a prefix to one task. There patterns
-grow to the right, depth first: the pointers of a prefix are counted by their next word, and those of each frequent next word
-are the projection of the longer prefix.
+grow to the right by recursion: the pointers of a prefix are counted by their next word, and those of each frequent next word
+are the projection of the longer prefix, with which it goes one word deeper. A task does so for some prefixes at a time, from a
+word to its longest patterns, before it takes the next ones.
 
 A prefix with more than PART pointers, or 1 / SHARE of all, is dealt to several tasks by its pointers: the longest
 patterns are still complete in a task, shorter ones are partial counts that the tasks hand on unpruned and a shuffle
@@ -36,7 +37,9 @@ PIECE_ENDS, WORD_ENDS = b".,;:!?\x0a\x0b\x0c\x0d", b" \x09"
 #: Words of a phrase, its least count, how much of a phrase's count a longer one takes to replace it (per cent), rows per language.
 MOST_WORDS, LEAST_COUNT, REPLACED, TOP = 3, 10, 50, 2000
 #: Bytes of text whose pointers a task combines at a time.
-CHUNK = 12 << 20
+CHUNK = 8 << 20
+#: Bytes of the sample whose most frequent words have codes.
+SAMPLE = 16 << 20
 #: Pointers of a prefix that a task takes: PART, or a SHARE-th of all where that is less, but LEAST_PART at least.
 PART, SHARE, LEAST_PART = 1 << 21, 1024, 10_000
 #: Words that have a code, and the prefixes dealt in parts up to which their list is broadcast.
@@ -104,8 +107,8 @@ def _words(langs: list[str], texts: list[bytes]) -> tuple[np.ndarray, np.ndarray
     names = sorted(set(langs))
     place = {lang: k for k, lang in enumerate(names)}
     text = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), start, "right")
-    lang = np.array([place[x] for x in langs], np.int64)[text]
-    return found.indices.to_numpy().astype(np.int64), piece, lang, found.dictionary.to_pylist(), names
+    lang = np.array([place[x] for x in langs], np.int32)[text]
+    return found.indices.to_numpy(), piece, lang, found.dictionary.to_pylist(), names
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,7 +116,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for chunk in _chunks(batches):
         word, _, lang, words, langs = _words(*chunk)
         if words:
-            keys, n = np.unique(lang * len(words) + word, return_counts=True)
+            keys, n = np.unique(lang.astype(np.int64) * len(words) + word, return_counts=True)
             columns = [pa.array(langs).take(pa.array(keys // len(words))), pa.array(words).take(pa.array(keys % len(words))), pa.array(n)]
             yield from _sliced(pa.RecordBatch.from_arrays(columns, names=["lang", "word", "n"]))
 
@@ -138,20 +141,22 @@ def _project(words: int, code: dict[str, str]):
             none = len(known)
             columns = [lang, first]
             for k in range(1, words):
-                after = np.full(len(first), none, np.int64)
+                after = np.full(len(first), none, np.int32)
                 same = piece[k:] == piece[:-k]
                 after[:-k][same] = first[k:][same]
                 columns.append(after)
-            packed, size = lang, len(langs)
+            packed, size = lang.astype(np.int64), len(langs)
             for column in columns[1:]:
                 if size >= (1 << 62) // (none + 1):
                     packed = np.unique(packed, return_inverse=True)[1]
                     size = int(packed.max()) + 1
                 packed, size = packed * (none + 1) + column, size * (none + 1)
+            del piece
             _, at, n = np.unique(packed, return_index=True, return_counts=True)
+            del packed
             spelled = pa.array([*(code.get(w) or _SPELLED + w for w in known), ""])
             tails = pc.binary_join_element_wise(*(spelled.take(pa.array(c[at])) for c in columns[2:]), " ")
-            prefix = lang[at] * none + first[at]
+            prefix = lang[at].astype(np.int64) * none + first[at]
             begins = np.flatnonzero(np.concatenate(([True], prefix[1:] != prefix[:-1])))
             # a row has UNPACKED pointers at most
             begins = np.union1d(begins, np.arange(0, len(at), UNPACKED)) if len(at) > UNPACKED else begins
@@ -186,27 +191,43 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(rows, names=["lang", "word", "tails", "weights", "part"])
 
 
-def grown(prefix: tuple[int, ...], following: np.ndarray, weights: np.ndarray, least: int, partial: bool, depth: int = 0) -> Iterator[tuple[tuple[int, ...], int]]:
-    """(pattern, count) of a prefix and of all frequent patterns that begin with it, depth first.
+def grown(prefix: np.ndarray, following: np.ndarray, weights: np.ndarray, partial: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(prefix, next word, count) of the frequent patterns that are one word longer than the prefixes, then those of one more.
 
-    following: a row of next words per pointer, -1 after the last. With `partial` the prefix has pointers elsewhere, so that
-    counts below `least` may be parts of more, but for patterns of full length, whose pointers are all here.
+    prefix: a number per pointer; following: its next words, -1 after the last. Prefixes are numbered anew as they grow, in the
+    order in which they come out. The recursion goes on with the pointers of what is frequent alone. A `partial` prefix has
+    pointers elsewhere, so that counts below `least` may be parts of more, but for the longest patterns.
     """
-    count, whole = int(weights.sum()), depth == following.shape[1]
-    if count < least and (not partial or whole):
+    if not following.shape[1]:
         return
-    yield prefix, count
-    if whole:
+    word = following[:, 0].astype(np.int64)
+    here = np.flatnonzero(word >= 0)
+    prefix, word = prefix[here].astype(np.int64), word[here]
+    if not len(here):
         return
-    words = following[:, depth]
-    order = np.argsort(words, kind="stable")
-    words = words[order]
-    begins = np.flatnonzero(np.concatenate(([True], words[1:] != words[:-1])))
-    sums = np.add.reduceat(weights[order], begins)
-    last = depth + 1 == following.shape[1]
-    for k in np.flatnonzero((words[begins] >= 0) & ((sums >= least) | (partial and not last))).tolist():
-        mine = order[begins[k] : begins[k + 1] if k + 1 < len(begins) else None]
-        yield from grown((*prefix, int(words[begins[k]])), following[mine], weights[mine], least, partial, depth + 1)
+    key = prefix * (int(word.max()) + 1) + word
+    order = np.argsort(key, kind="stable")
+    key, here = key[order], here[order]
+    begins = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    counts = np.add.reduceat(weights[here], begins)
+    last = following.shape[1] == 1
+    keep = counts >= least if last else (counts >= least) | partial[here[begins]]
+    at = order[begins[keep]]
+    yield prefix[at], word[at], counts[keep]
+    if not last:
+        sizes = np.diff(np.append(begins, len(here)))
+        here = here[np.repeat(keep, sizes)]
+        yield from grown(np.repeat(np.arange(int(keep.sum())), sizes[keep]), following[here, 1:], weights[here], partial[here], least)
+
+
+class _Plain:
+    """Words by number, decoded when asked for: few are part of a pattern."""
+
+    def __init__(self, known: list[str], decode: dict[str, str]) -> None:
+        self.known, self.decode = known, decode
+
+    def __getitem__(self, k: int) -> str:
+        return self.decode.get(self.known[k]) or self.known[k][1:]
 
 
 def _grow(words: int, least: int, decode: dict[str, str]):
@@ -228,18 +249,19 @@ def _grow(words: int, least: int, decode: dict[str, str]):
         found = pc.split_pattern(flat, " ").flatten().dictionary_encode()
         weights = weights[np.repeat(row, n)]
         known = found.dictionary.to_pylist()
-        plain = [decode.get(w) or w[1:] for w in known]
+        plain = _Plain(known, decode)
         following = found.indices.to_numpy().reshape(-1, words - 1).astype(np.int32)
         if "" in known:
             following[following == known.index("")] = -1
         first = pa.array(begins[wanted])
         sizes = np.add.reduceat(n, begins)[wanted]
-        ends = np.cumsum(sizes)
-        out = []
-        for lang, word, part, a, b in zip(rows["lang"].take(first).to_pylist(), rows["word"].take(first).to_pylist(), (number[wanted] > 0).tolist(), (ends - sizes).tolist(), ends.tolist(), strict=True):
-            spelled = decode.get(word) or word[1:]
-            for pattern, f in grown((), following[a:b], weights[a:b], least, part):
-                out.append((lang, [spelled, *(plain[w] for w in pattern)], f))
+        langs = rows["lang"].take(first).to_pylist()
+        open_ = [(lang, (decode.get(w) or w[1:],)) for lang, w in zip(langs, rows["word"].take(first).to_pylist(), strict=True)]
+        out = [(lang, p, f) for (lang, p), f in zip(open_, counts[wanted].tolist(), strict=True)]
+        prefix = np.repeat(np.arange(len(sizes)), sizes)
+        for up, word, f in grown(prefix, following, weights, np.repeat(number[wanted] > 0, sizes), least):
+            open_ = [(open_[u][0], (*open_[u][1], plain[w])) for u, w in zip(up.tolist(), word.tolist(), strict=True)]
+            out += [(lang, p, k) for (lang, p), k in zip(open_, f.tolist(), strict=True)]
         for k in range(0, len(out), 20_000):
             lang, p, f = zip(*out[k : k + 20_000], strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(p, pa.list_(pa.string())), pa.array(f, pa.int64())], names=["lang", "p", "f"])
@@ -274,10 +296,15 @@ def _grow(words: int, least: int, decode: dict[str, str]):
     return part
 
 
-def frequent_words(counts: DataFrame) -> list[str]:
-    """The most frequent words of all languages, CODED at most: those of a count of at least some power of two."""
-    sums = counts.groupBy("word").agg(F.sum("n").alias("n"))
-    steps = sorted((r for r in sums.groupBy(F.length(F.bin("n")).alias("step")).agg(F.count("*").alias("words")).collect()), key=lambda r: -r.step)  # 64 rows at most
+def frequent_words(rows: DataFrame) -> list[str]:
+    """The most frequent words of a sample of about SAMPLE bytes, CODED at most: those of a count of at least some power of two.
+
+    Which words have codes decides how much is shuffled, not what is found.
+    """
+    total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    some = rows.filter(F.pmod(F.xxhash64("text"), F.lit(-(-total // SAMPLE))) == 0) if total > SAMPLE else rows
+    sums = written(some.mapInArrow(_count, "lang string, word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    steps = sorted(sums.groupBy(F.length(F.bin("n")).alias("step")).agg(F.count("*").alias("words")).collect(), key=lambda r: -r.step)  # 64 rows at most
     least, words = None, 0
     for r in steps:
         words += r.words
@@ -290,12 +317,11 @@ def frequent_words(counts: DataFrame) -> list[str]:
 
 
 def patterns(df: DataFrame, lang_col: str = "lang", text_col: str = "text", words: int = MOST_WORDS, least: int = LEAST_COUNT) -> tuple[DataFrame, DataFrame]:
-    """(frequent contiguous patterns `p` with their count `f` per language, words in all per language `n`), from written tables."""
+    """(frequent contiguous patterns `p` with their count `f` per language, words in all per language `n`), of written tables."""
     rows = df.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    counts = written(rows.mapInArrow(_count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("n"))
-    code = codes(frequent_words(counts))
+    code = codes(frequent_words(rows))
     projected = written(rows.mapInArrow(_project(words, code), _ROW), "pointers")
+    totals = projected.groupBy("lang").agg(F.sum(F.aggregate("weights", F.lit(0).cast("long"), lambda x, y: x + y)).alias("n"))
     sizes = projected.groupBy("lang", "word").agg(F.sum(F.size("weights")).alias("pointers"))
     part = max(LEAST_PART, min(PART, (projected.agg(F.sum(F.size("weights"))).first()[0] or 0) // SHARE))
     large = written(sizes.filter(F.col("pointers") > part).select("lang", "word", F.ceil(F.col("pointers") / part).cast("int").alias("parts")), "large")
