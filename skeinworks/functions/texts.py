@@ -130,6 +130,31 @@ def snippet(text: Column, query: str, size: int = 500) -> Column:
     return F.concat(F.when(start > 0, "...").otherwise(""), F.substring(text, start + 1, end - start), F.when(end < F.length(text), "...").otherwise(""))
 
 
+def clean_json(answer: Column) -> Column:
+    """The JSON in a model's answer, mended where that is known to help; null for null.
+
+    What a fence of back ticks or quotes holds; else the answer without the quotes around all of it, if JSON remains. JSON that parses with
+    escaped quotes in it stays as it is; otherwise they lose their backslash. Escaped white space becomes white space,
+    and an object that stands in quotes in another loses these.
+    """
+    text = F.trim(answer)
+    fence = r"(?s)^[`']{3}(?:\w+)?\s*(.*?)\s*[`']{3}$"
+    inner = F.trim(F.substring(text, 2, F.length(text) - 2))
+    quoted = (F.length(text) > 1) & (text.rlike(r'(?s)^".*"$') | text.rlike(r"(?s)^'.*'$"))
+    bare = F.when(text.rlike(fence), F.trim(F.regexp_extract(text, fence, 1))).when(quoted & F.try_parse_json(inner).isNotNull(), inner).otherwise(text)
+    escaped = F.contains(bare, F.lit('\\"'))
+    mended = F.when(escaped, F.replace(bare, F.lit('\\"'), F.lit('"'))).otherwise(bare)
+    for sign, plain in (("\\n", "\n"), ("\\t", "\t"), ("\\r", "\r"), (':"{"', ':{"'), ('"}"}', '"}}')):
+        mended = F.replace(mended, F.lit(sign), F.lit(plain))
+    return F.when(escaped & F.try_parse_json(bare).isNotNull(), bare).otherwise(mended)
+
+
+def json_items(json: Column) -> Column:
+    """The elements of a JSON array as JSON texts, or the one value; null where it doesn't parse."""
+    listed = F.from_json(json, "array<string>")
+    return F.when(F.try_parse_json(json).isNotNull(), F.when(F.ltrim(json).startswith("["), listed).otherwise(F.array(json)))
+
+
 def json_of_answer(text: Column) -> Column:
     """The JSON in a model's answer: what is within a code fence, else between the outer braces."""
     fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1)

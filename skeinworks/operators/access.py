@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skeinworks.functions.names import flag_form, is_default
+from skeinworks.functions.texts import summary_category
 from skeinworks.operators.build import EDGE_TYPES, SEVERITIES, VULNERABILITIES
-from skeinworks.operators.graph import display_name
+from skeinworks.operators.graph import calls, display_name
 
 
 def by_keys(rows: DataFrame, wanted: DataFrame, *keys: str) -> DataFrame:
@@ -155,24 +156,53 @@ def flag_counters(nodes: DataFrame, wanted: DataFrame, existing: DataFrame) -> D
     return callers.agg(F.count_if(~F.array_contains("flags", F.col("flag"))).alias("callers_updated")).crossJoin(edges)  # a row each
 
 
-def semantic_analysis(nodes: DataFrame, near: DataFrame, communities: DataFrame) -> DataFrame:
-    """What is known of each node: name, whether it is indexed, category, flags, callers and callees, community.
+def semantic_analysis(nodes: DataFrame, edges: DataFrame, communities: DataFrame, most: int = 1000) -> DataFrame:
+    """What is known of each node: name, address, summary, category, confidence, flags, content, community, callers and callees.
 
-    near: (id, n_callers, n_callees). communities: (id, community, title).
+    nodes: id, name, address, content, summary, confidence, flags. communities: (id, community, title). `indexed` tells whether there is
+    a content or a summary; without either only name and address are given. callers and callees: display names in
+    order, the first `most` of a hub, with n_callers and n_callees for all of them.
     """
-    zero = F.lit(0).cast("long")
-    joined = nodes.join(near, "id", "left").join(communities, "id", "left")
+    named = nodes.select("id", display_name(F.col("name"), F.col("address")).alias("near"))
+    pairs = calls(edges)
+
+    def near(own: str, other: str, name: str) -> DataFrame:
+        """Names of the other ends; those of a hub are cut before they are gathered."""
+        rows = pairs.select(F.col(own).alias("id"), F.col(other).alias("other")).join(named.select(F.col("id").alias("other"), "near"), "other")
+        w = Window.partitionBy("id")
+        ranked_ = rows.withColumn("__rank", F.row_number().over(w.orderBy("near", "other"))).withColumn("__n", F.count("*").over(w))
+        kept = ranked_.filter(F.col("__rank") <= most).groupBy("id", F.col("__n").alias(f"n_{name}"))
+        return kept.agg(F.transform(F.array_sort(F.collect_list(F.struct("__rank", "near"))), lambda x: x["near"]).alias(name))
+
+    indexed = is_indexed(F.col("content"), F.col("summary"))
+    joined = nodes.withColumn("indexed", indexed).join(near("target_id", "source_id", "callers"), "id", "left").join(near("source_id", "target_id", "callees"), "id", "left").join(communities.select("id", "title"), "id", "left")
+    known = lambda c: F.when(F.col("indexed"), c)
+    none, zero = F.array().cast("array<string>"), F.lit(0).cast("long")
     return joined.select(
         "id",
         display_name(F.col("name"), F.col("address")).alias("name"),
-        is_indexed(F.col("content"), F.col("summary")).alias("indexed"),
-        F.array_join("flags", ",").alias("flags"),
-        F.coalesce("n_callers", zero).alias("n_callers"),
-        F.coalesce("n_callees", zero).alias("n_callees"),
-        F.col("title").alias("community"),
+        "address",
+        "indexed",
+        known(F.col("summary")).alias("summary"),
+        known(summary_category(F.col("summary"))).alias("category"),
+        known(F.col("confidence")).alias("confidence"),
+        known(F.array_join("flags", ",")).alias("flags"),
+        known(F.col("content")).alias("content"),
+        known(F.array_join(F.coalesce("callers", none), ",")).alias("callers"),
+        known(F.array_join(F.coalesce("callees", none), ",")).alias("callees"),
+        known(F.coalesce("n_callers", zero)).alias("n_callers"),
+        known(F.coalesce("n_callees", zero)).alias("n_callees"),
+        known(F.col("title")).alias("community"),
     )
 
 
+def looked_up(asked: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(ask, id) for each request (ask, address, name): the node at the address, else the first one of the name; null where there is none."""
+    by_address = asked.join(nodes.filter("address is not null").groupBy("address").agg(F.min("id").alias("at")), "address", "left")
+    both = by_address.join(nodes.groupBy("name").agg(F.min("id").alias("first")), "name", "left")
+    return both.select("ask", F.coalesce("at", "first").alias("id"))
+
+
 def function_security(nodes: DataFrame, calls: DataFrame) -> DataFrame:
     """(id, flags, n_flags, vulnerable_callees, vulnerable_callers): a function's own flags and its neighbours that have any.
 

@@ -59,6 +59,11 @@ def is_generic(name: Column) -> Column:
     return name.startswith("FUN_") | name.startswith("sub_")
 
 
+def flag_sets(rows: DataFrame, key: str) -> DataFrame:
+    """(key, flags): the different flags of a group in order; groups without any have no row. Flags, not lists of them, are gathered."""
+    return rows.select(key, F.explode("flags").alias("flag")).distinct().groupBy(key).agg(F.array_sort(F.collect_list("flag")).alias("flags"))
+
+
 def records(members: DataFrame, nodes: DataFrame) -> DataFrame:
     """A row per community: size, title by the shortest name, flagged members, score (all their flags), flags.
 
@@ -71,8 +76,7 @@ def records(members: DataFrame, nodes: DataFrame) -> DataFrame:
         F.sum((F.size("flags") > 0).cast("long")).alias("flagged"),
         F.sum(F.size("flags").cast("long")).alias("score"),
         F.min_by(named, F.when(named.isNotNull(), F.struct(F.length(named), named))).alias("shortest"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("flags")))).alias("flags"),
-    )
+    ).join(flag_sets(full, "community"), "community", "left").withColumn("flags", F.coalesce("flags", F.array().cast("array<string>")))
     title = F.when(F.col("shortest").isNotNull(), F.concat("shortest", F.lit("_group ("), F.col("members").cast("string"), F.lit(")"))).otherwise(F.concat(F.lit("community_"), F.col("community").cast("string"), F.lit(" ("), F.col("members").cast("string"), F.lit(" functions)")))
     return basic.withColumn("title", title)
 
@@ -105,9 +109,9 @@ def summaries(members: DataFrame, nodes: DataFrame, shown: int = 5) -> DataFrame
         F.count("*").alias("members"),
         F.count_distinct("named").alias("n_names"),
         F.sum((F.size("flags") > 0).cast("long")).alias("flagged"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("flags")))).alias("flags"),
         *[hit.alias(f"purpose{k}") for k, (_, hit) in enumerate(tests)],
     )
+    parts = parts.join(flag_sets(full, "community"), "community", "left").withColumn("flags", F.coalesce("flags", F.array().cast("array<string>")))
     parts = parts.join(_first(full.filter("named is not null"), "community", "named", shown, "names"), "community", "left")
     number = lambda c: F.col(c).cast("string")
     n_flags, n_names = F.size("flags"), F.col("n_names")

@@ -118,6 +118,12 @@ def community_ranking(spark, sf_dir):
     return communities.by_security(found, 15).select("rank", "community", "score", "members", "title")
 
 
+def community_sizes(spark, sf_dir):
+    """The largest communities, of equals the first."""
+    sizes = communities.records(_members(spark, sf_dir), _parts(spark, sf_dir)).select("community", "members", "title")
+    return access.ranked(sizes, 20, F.desc("members"), F.col("community"))
+
+
 def community_key_functions(spark, sf_dir):
     return communities.key_functions(_members(spark, sf_dir), _parts(spark, sf_dir))
 
@@ -160,12 +166,43 @@ def community_edges(spark, sf_dir):
     return communities.belonging(_members(spark, sf_dir))
 
 
-def semantic_analysis(spark, sf_dir):
-    """All that is known of each part."""
+def _analysed(spark, sf_dir):
     members, nodes = _members(spark, sf_dir), _parts(spark, sf_dir)
     titles = communities.titles_of(nodes, members, communities.records(members, nodes))
-    full = nodes.withColumns({"content": F.when(F.col("id") % 2 == 0, F.col("name")), "summary": F.when(F.col("id") % 3 == 0, F.lit("s"))})
-    return access.semantic_analysis(full, graph.degrees(G.chain_calls(spark, sf_dir)), titles)
+    size = table(spark, sf_dir, "part", F.col("p_partkey").alias("id"), "p_type", "p_retailprice")
+    full = nodes.join(size, "id").withColumns({"content": F.when(F.col("id") % 2 == 0, F.col("name")), "summary": F.when(F.col("id") % 3 == 0, F.concat(F.lit("reads "), "p_type", F.lit(" and checks a login"))), "confidence": F.col("p_retailprice") / 10000})
+    return nodes, access.semantic_analysis(full, G.chain_calls(spark, sf_dir), titles)
+
+
+def semantic_analysis(spark, sf_dir):
+    """All that is known of each part."""
+    return _analysed(spark, sf_dir)[1].drop("address")
+
+
+def semantic_lookup(spark, sf_dir):
+    """What is known of the part at each supplier's number, else of the first part of its name; or that nothing is."""
+    nodes, known = _analysed(spark, sf_dir)
+    s = table(spark, sf_dir, "supplier", "s_suppkey", "s_name")
+    asked = s.select(F.col("s_suppkey").alias("ask"), (F.col("s_suppkey") * 37).alias("address"), F.col("s_name").alias("name"))
+    found = access.looked_up(asked, nodes).join(known.drop("address", "name"), "id", "left").join(nodes.select("id", "name"), "id", "left")
+    return found.select("ask", F.coalesce("name", F.lit("unknown")).alias("name"), F.coalesce("indexed", F.lit(False)).alias("indexed"), "category", "n_callers")
+
+
+def answers_cleaned(spark, sf_dir):
+    """Answers with JSON as models give it: in fences, in quotes, with escaped quotes, as a list."""
+    m = _messages(spark, sf_dir).select("conv_id", "turn", F.to_json(F.struct(F.length("text").alias("size"), "role")).alias("j"))
+    kind = F.col("turn") % 6
+    answer = (
+        F.when(kind == 0, F.concat(F.lit("```json\n"), "j", F.lit("\n```")))
+        .when(kind == 1, F.concat(F.lit('"'), "j", F.lit('"')))
+        .when(kind == 2, F.replace(F.col("j"), F.lit('"'), F.lit('\\"')))
+        .when(kind == 3, F.concat(F.lit("'''"), "j", F.lit("'''")))
+        .when(kind == 4, F.concat(F.lit("```\n["), "j", F.lit(","), "j", F.lit("]```")))
+        .otherwise(F.concat(F.lit("  "), "j", F.lit("\\n  ")))
+    )
+    items = m.select("conv_id", "turn", texts.json_items(texts.clean_json(answer)).alias("items"))
+    first = lambda path: F.get_json_object(F.get("items", 0), path)
+    return items.select("conv_id", "turn", F.size("items").alias("n_items"), first("$.size").cast("int").alias("size"), first("$.role").alias("role"))
 
 
 def function_security(spark, sf_dir):
@@ -331,7 +368,7 @@ def global_context(spark, sf_dir):
     """Each region as a binary in words: its customers are functions, its nations modules."""
     nations = table(spark, sf_dir, "nation", "n_nationkey", "n_regionkey")
     flagged = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("n_nationkey"), G.customer_flags().alias("flags")).join(nations, "n_nationkey")
-    per = flagged.groupBy("n_regionkey").agg(F.count("*").alias("n"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("flags")))).alias("flags"))  # a set of flags
+    per = flagged.groupBy("n_regionkey").agg(F.count("*").alias("n")).join(communities.flag_sets(flagged, "n_regionkey"), "n_regionkey", "left").withColumn("flags", F.coalesce("flags", F.array().cast("array<string>")))
     sizes = nations.groupBy("n_regionkey").agg(F.count("*").alias("n_modules"))
     region = table(spark, sf_dir, "region", "r_regionkey", "r_name").join(per, F.col("r_regionkey") == F.col("n_regionkey")).drop("n_regionkey").join(sizes, F.col("r_regionkey") == F.col("n_regionkey"))
     text = texts.global_context(F.when(F.col("r_regionkey") % 2 == 0, F.col("r_name")), F.lit(None).cast("string"), F.col("flags"), F.col("n"), F.col("n") + F.col("n_modules") + 1, F.col("n") + F.col("n_modules"))
@@ -405,8 +442,8 @@ def has_graph(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    named_taint_sets, named_network_edges, taint_stats, paths_to_sink, address_lookup, node_edges, edge_tests, edges_between, node_tests, community_ranking, community_key_functions, community_of_nodes, community_insights, global_findings, reflections_parsed,
-    community_edges, community_members_named, semantic_analysis, function_security, index_run, flags_added, flags_refreshed, names_refreshed, stale_marked, analysis_saved, messages_saved, records_deleted, call_ids_complete,
+    named_taint_sets, named_network_edges, taint_stats, paths_to_sink, address_lookup, node_edges, edge_tests, edges_between, node_tests, community_ranking, community_sizes, community_key_functions, community_of_nodes, community_insights, global_findings, reflections_parsed,
+    community_edges, community_members_named, semantic_analysis, semantic_lookup, answers_cleaned, function_security, index_run, flags_added, flags_refreshed, names_refreshed, stale_marked, analysis_saved, messages_saved, records_deleted, call_ids_complete,
     callers_updated, sessions_ordered, message_slices, chunk_hits, rag_context, edited_chats, answers_parsed, qualified_names, epoch_times, global_context, symbols_round_trip,
     export_round_trip, text_files, tables_written, tool_json, local_symbols, explanations_cleared, has_graph,
 )}
@@ -436,6 +473,13 @@ q as (select *, greatest(0, hit - 30) as x from p), r as (select *, least(length
 hits as (select doc_id, chunk_id, score, case when x > 0 then '...' else '' end || substr(content, x + 1, y - x) || case when y < length(content) then '...' else '' end as snippet from r)"""
 CUSTOMER = "list_filter([case when c_mktsegment = 'MACHINERY' then 'HANDLES_USER_INPUT' end, case when c_acctbal < 0 then 'BUFFER_OVERFLOW_RISK' end], lambda x: x is not null)"
 
+ANALYSED = f"""{PARTS}, {labels_sql(10, G.SPARSE)}, {RECORDS}, calls_ as (select * from ({DENSE.removeprefix("chain as (").removesuffix(")")})),
+o as (select source_id as id, count(*) as n, string_agg(name, ',' order by name, target_id) as callees from calls_ join parts on target_id = parts.id group by 1),
+i as (select target_id as id, count(*) as n, string_agg(name, ',' order by name, source_id) as callers from calls_ join parts on source_id = parts.id group by 1),
+known as (select parts.id, name, parts.id % 2 = 0 or parts.id % 3 = 0 as indexed, case when parts.id % 3 = 0 then 'reads ' || p_type || ' and checks a login' end as summary, case when parts.id % 3 = 0 then 'authentication' end as category, p_retailprice / 10000 as confidence,
+  flags, case when parts.id % 2 = 0 then name end as content, callers, callees, coalesce(i.n, 0) as n_callers, coalesce(o.n, 0) as n_callees, title as community
+  from parts join part on p_partkey = parts.id left join o on o.id = parts.id left join i on i.id = parts.id left join members on members.id = parts.id left join records_ r on r.community = members.community)"""
+
 ORACLE_SQL = {
     "named_taint_sets": f"""with {SETS}, ids as (select id from sources_ union select id from sinks_ union select id from entries_ union select id from senders_ union select id from receivers_)
 select id, id in (from sources_) as is_source, id in (from sinks_) as is_sink, id in (from entries_) as is_entry, id in (from senders_) as sends, id in (from receivers_) as receives from ids""",
@@ -456,6 +500,7 @@ select id, other, direction, count(*) as n from (select source_id as id, target_
   not (p_size in (1, 2, 3, 4, 13, 17, 19, 23) or p_size % 7 = 0 or p_size % 11 = 0) as empty, p_size % 3 = 0 or p_size % 4 = 0 as indexed, p_size % 5 <> 0 and p_size % 2 = 0 and p_partkey <> 0 as needs_update,
   p_size % 4 in (0, 1) as vulnerability, p_size % 3 = 0 as severity, p_size % 4 = 2 as semantic from part""",
     "community_ranking": f"with {PARTS}, {labels_sql(10, G.SPARSE)}, {RECORDS} select (row_number() over (order by score desc, members desc, community))::int as rank, community, score, members, title from records_ qualify rank <= 15",
+    "community_sizes": f"with {PARTS}, {labels_sql(10, G.SPARSE)}, {RECORDS} select community, members, title, (row_number() over (order by members desc, community))::int as rank from records_ qualify rank <= 20",
     "community_key_functions": f"""with {PARTS}, {labels_sql(10, G.SPARSE)} select community, id, name, (row_number() over (partition by community order by id))::int as place from members join parts using (id) where len(flags) > 0 qualify place <= 5""",
     "community_insights": f"""with {PARTS}, {labels_sql(10, G.SPARSE)}, k as (select community, id, name, flags, row_number() over (partition by community order by id) as r from members join parts using (id))
 select community, id, name || case when len(flags) > 0 then ' @ 0x' || lower(to_hex(id)) else '' end as key_function from k where len(flags) > 0 or r <= 10""",
@@ -470,9 +515,11 @@ union all select 1073741824, 'Most security-relevant: ' || title || ' (' || scor
     "community_of_nodes": f"with {PARTS}, {labels_sql(10, G.SPARSE)}, {RECORDS} select id, community, title from parts left join members using (id) left join records_ using (community)",
     "community_members_named": f"with {PARTS}, {labels_sql(10, G.SPARSE)} select community, id, name, (row_number() over (partition by community order by name, id))::int as place from members join parts using (id)",
     "community_edges": f"with {labels_sql(10, G.SPARSE)} select id as source_id, community as target_id, 'BELONGS_TO_COMMUNITY' as type, 1.0::double as score from members",
-    "semantic_analysis": f"""with {PARTS}, {labels_sql(10, G.SPARSE)}, {RECORDS}, calls_ as (select * from ({DENSE.removeprefix("chain as (").removesuffix(")")})), o as (select source_id as id, count(*) as n from calls_ group by 1), i as (select target_id as id, count(*) as n from calls_ group by 1)
-select id, name, id % 2 = 0 or id % 3 = 0 as indexed, array_to_string(flags, ',') as flags, coalesce(i.n, 0) as n_callers, coalesce(o.n, 0) as n_callees, title as community
-from parts left join o using (id) left join i using (id) left join members using (id) left join records_ r on r.community = members.community""",
+    "semantic_analysis": f"""with {ANALYSED} select id, name, indexed, summary, case when indexed then category end as category, case when indexed then confidence end as confidence, case when indexed then array_to_string(flags, ',') end as flags, content,
+  case when indexed then coalesce(callers, '') end as callers, case when indexed then coalesce(callees, '') end as callees, case when indexed then n_callers end as n_callers, case when indexed then n_callees end as n_callees, case when indexed then community end as community from known""",
+    "semantic_lookup": f"""with {ANALYSED}, asked as (select s_suppkey as ask, coalesce((select id from parts where id = s_suppkey * 37), (select min(id) from parts where name = s_name)) as id from supplier)
+select ask, coalesce(name, 'unknown') as name, coalesce(indexed, false) as indexed, case when indexed then category end as category, case when indexed then n_callers end as n_callers from asked left join known using (id)""",
+    "answers_cleaned": "select conv_id, turn, case when turn % 6 = 4 then 2 else 1 end as n_items, length(text)::int as size, role from conversations",
     "function_security": f"""with {PARTS}, {DENSE}, bad as (select id from parts where len(flags) > 0)
 select id, array_to_string(flags, ',') as flags, len(flags) as n_flags, (select count(*) from chain where source_id = id and target_id in (from bad)) as vulnerable_callees, (select count(*) from chain where target_id = id and source_id in (from bad)) as vulnerable_callers from parts""",
     "index_run": f"""with {PARTS}, {labels_sql(10, G.SPARSE)}, calls_ as (select * from ({DENSE.removeprefix("chain as (").removesuffix(")")}))

@@ -123,3 +123,36 @@ def test_long_spans_and_hubs(spark):
     nodes = spark.range(2000).selectExpr("id", "concat('name', lpad(id, 4, '0')) as name", "array('X') as flags")
     text = communities.summaries(members, nodes).first().summary
     assert text.startswith("Community of 2000 functions. Key functions: name0000, name0001, name0002, name0003, name0004 (+1995 more). ")
+
+
+def test_clean_json(spark):
+    cases = {
+        '```json\n{"a": 1}\n```': '{"a": 1}',
+        "'''[1, 2]'''": "[1, 2]",
+        '"{"a": 1}"': '{"a": 1}',
+        "'{\"a\": 1}'": '{"a": 1}',
+        '"just words': '"just words',
+        '"not {json"': '"not {json"',
+        '{\\"a\\": 1}': '{"a": 1}',
+        '{"a": "say \\"x\\""}': '{"a": "say \\"x\\""}',
+        '{"a":1,\\n"b":2}': '{"a":1,\n"b":2}',
+        '{"a":"{"b":1"}"}': '{"a":{"b":1"}}',
+        "": "",
+        None: None,
+    }
+    assert applied(spark, texts.clean_json, list(cases)) == list(cases.values())
+    items = applied(spark, texts.json_items, ['[{"a": 1}, 2]', '{"a": 1}', "no json", None])
+    assert items == [['{"a":1}', "2"], ['{"a": 1}'], None, None] or items == [['{"a": 1}', "2"], ['{"a": 1}'], None, None]
+
+
+def test_semantic_analysis_of_a_hub(spark):
+    from skeinworks.operators import access
+
+    nodes = spark.range(50).selectExpr("id", "concat('f', lpad(id, 2, '0')) as name", "id as address", "if(id = 3, null, 'code') as content", "if(id = 0, 'opens a socket', null) as summary", "0.5 as confidence", "array('X') as flags")
+    edges = spark.range(1, 50).selectExpr("id as source_id", "0L as target_id", "'CALLS' as type")
+    none = spark.createDataFrame([], "id long, community long, title string")
+    found = {r.id: r for r in access.semantic_analysis(nodes, edges, none, 3).collect()}
+    assert (found[0].callers, found[0].n_callers, found[0].category) == ("f01,f02,f03", 49, "network")
+    assert not found[3].indexed and found[3].callees is None and found[3].flags is None and found[4].callees == "f00"
+    asked = spark.createDataFrame([(1, 7, None), (2, 999, "f05"), (3, None, "nothing")], "ask long, address long, name string")
+    assert sorted((r.ask, r.id) for r in access.looked_up(asked, nodes).collect() if r.id is not None) == [(1, 7), (2, 5)]
