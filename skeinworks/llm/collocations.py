@@ -37,15 +37,15 @@ PIECE_ENDS, WORD_ENDS = b".,;:!?\x0a\x0b\x0c\x0d", b" \x09"
 #: Words of a phrase, its least count, how much of a phrase's count a longer one takes to replace it (per cent), rows per language.
 MOST_WORDS, LEAST_COUNT, REPLACED, TOP = 3, 10, 50, 2000
 #: Bytes of text whose pointers a task combines at a time.
-CHUNK = 8 << 20
+CHUNK = 2 << 20
 #: Bytes of the sample whose most frequent words have codes.
 SAMPLE = 16 << 20
 #: Pointers of a prefix that a task takes: PART, or a SHARE-th of all where that is less, but LEAST_PART at least.
-PART, SHARE, LEAST_PART = 1 << 21, 1024, 10_000
+PART, SHARE, LEAST_PART = 200_000, 1024, 10_000
 #: Words that have a code, and the prefixes dealt in parts up to which their list is broadcast.
 CODED, LISTED = 1 << 16, 10_000
 #: Pointers of whole prefixes that a task unpacks at a time.
-UNPACKED = 400_000
+UNPACKED = 150_000
 
 _END, _GAP = b"\n", b" "
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ" + PIECE_ENDS + WORD_ENDS, b"abcdefghijklmnopqrstuvwxyz" + _END * len(PIECE_ENDS) + _GAP * len(WORD_ENDS))
