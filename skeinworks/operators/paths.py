@@ -145,11 +145,10 @@ def shortest_paths(pairs: DataFrame, sources: DataFrame, sinks: DataFrame | None
         found = found.orderBy("node", "sink").limit(max_paths)
     begun, n = stored(found.select(F.col("node").alias("source"), "sink", "hops", F.array("node", "next").alias("path"), F.col("next").alias("at")), "paths")
     most = (begun.agg(F.max("hops")).first()[0] or 1) if n else 1
-    for k in range(2, most + 1):
-        done = begun.filter(F.col("hops") < k)
+    for k in range(2, most + 1):  # a path that has come to its sink finds no next node
         ahead = steps.filter((F.col("hops") > 0) & (F.col("hops") <= most - k + 1)).select(F.col("node").alias("at"), "sink", "next")
-        begun = begun.filter(F.col("hops") >= k).join(ahead, ["at", "sink"]).select("source", "sink", "hops", F.concat("path", F.array("next")).alias("path"), F.col("next").alias("at")).unionByName(done)
-        begun, _ = stored(begun, "paths")
+        longer = F.when(F.col("next").isNotNull(), F.concat("path", F.array("next"))).otherwise(F.col("path"))
+        begun = begun.join(ahead, ["at", "sink"], "left").select("source", "sink", "hops", longer.alias("path"), F.col("next").alias("at"))
     return begun.select("source", "sink", "hops", "path")
 
 

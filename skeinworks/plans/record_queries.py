@@ -44,6 +44,25 @@ def bucket_upsert(spark, sf_dir):
     return snapshot.read()
 
 
+def sessions_changed(spark, sf_dir):
+    """Chats as a table of sessions: some are renamed, long ones touched, single messages deleted, new ones created."""
+    chats = table(spark, sf_dir, "conversations", "conv_id", "turn").groupBy("conv_id").agg(F.count("*").alias("n"), F.max("turn").alias("touched"))
+    made = chats.select("conv_id", F.concat(F.lit("Chat "), F.col("conv_id").cast("string")).alias("title"), "touched")
+    sessions_ = Snapshot.create(made, ["conv_id"], 8)
+    sessions_.upsert(chats.filter("conv_id % 5 = 0").select("conv_id", F.concat(F.lit("Renamed "), F.col("conv_id").cast("string")).alias("title"), F.lit(None).cast("long").alias("touched")), ["title", "touched"], [])
+    sessions_.upsert(chats.filter("n >= 4").select("conv_id", F.lit(None).cast("string").alias("title"), (F.col("n") + 100).alias("touched")), ["title"], ["touched"])
+    sessions_.delete(chats.filter("n = 1").select("conv_id"))
+    toxic = table(spark, sf_dir, "labels", "doc_id", "toxic").filter("toxic = 1")
+    sessions_.insert_or_ignore(toxic.select(F.col("doc_id").alias("conv_id"), F.concat(F.lit("About "), F.col("doc_id").cast("string")).alias("title"), F.lit(0).cast("long").alias("touched")))
+    return sessions_.read()
+
+
+def settings_kept(spark, sf_dir):
+    """Settings by user and name, each with the value that was set last."""
+    history = table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "value")
+    return merge.latest(history, ["user_id", "event_type"], "ts", F.desc("event_id")).select("user_id", F.col("event_type").alias("setting"), "value")
+
+
 def merge_policies(spark, sf_dir):
     a, b = _local(spark, sf_dir), _remote(spark, sf_dir)
     out = None
@@ -166,7 +185,7 @@ def feedback_stats(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    node_upsert, bucket_upsert, merge_policies, insert_or_ignore, incremental_stale, symbol_conflicts, record_vulnerability, latest_analysis, chat_last_n, chat_compressed, token_estimate, context_status,
+    node_upsert, bucket_upsert, sessions_changed, settings_kept, merge_policies, insert_or_ignore, incremental_stale, symbol_conflicts, record_vulnerability, latest_analysis, chat_last_n, chat_compressed, token_estimate, context_status,
     role_normalize, tool_pairs, orphans_dropped, message_separators, chat_edit_diff, session_list, findings_relevance, todo_similarity, todo_next, line_context, feedback_stats,
 )}
 
@@ -196,6 +215,10 @@ ORACLE_SQL = {
   case when l.content is null then 'insert' when r.content is null then 'keep' else 'update' end as change from local_ l full join remote_ r using (address)),
 d as (select * from u where address not in (select o_custkey from orders where o_orderstatus = 'P'))
 select * from d union all select s_suppkey * 3, s_name, 's', s_acctbal, 'new' from supplier where s_suppkey * 3 not in (select address from d)""",
+    "sessions_changed": """with c as (select conv_id, count(*) as n, max(turn) as turn from conversations group by 1),
+k as (select conv_id, case when conv_id % 5 = 0 then 'Renamed ' else 'Chat ' end || conv_id as title, case when n >= 4 then n + 100 else turn end as touched from c where n > 1)
+select * from k union all select doc_id, 'About ' || doc_id, 0 from labels where toxic = 1 and doc_id not in (select conv_id from k)""",
+    "settings_kept": "select user_id, event_type as setting, value from events qualify row_number() over (partition by user_id, event_type order by ts desc, event_id desc) = 1",
     "merge_policies": f"""with {LOCAL}, {REMOTE} select address, coalesce(r.name, l.name) as name, coalesce(r.content, l.content) as content, 'upsert' as policy from local_ l full join remote_ r using (address)
 union all select address, case when l.content is not null then l.name else r.name end, coalesce(l.content, r.content), 'prefer_local' from local_ l full join remote_ r using (address)
 union all select address, name, content, 'replace' from remote_""",
