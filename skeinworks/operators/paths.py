@@ -140,6 +140,7 @@ def shortest_paths(pairs: DataFrame, sources: DataFrame, sinks: DataFrame | None
         new = within.filter(F.col("before") + k <= hops).join(reached, "target_id").groupBy(F.col("source_id").alias("node"), "sink").agg(F.min("target_id").alias("next"))
         level, n = stored(new.join(steps, ["node", "sink"], "left_anti").select("node", "sink", F.lit(k).alias("hops"), "next"), "next")
         steps = steps.unionByName(level)
+    steps, _ = stored(steps, "steps")  # one table: it is read once for each step of the paths
     found = steps.filter("node != sink").join(sources.select(F.col("id").alias("node")).distinct(), "node", "left_semi")
     if max_paths is not None:
         found = found.orderBy("node", "sink").limit(max_paths)
