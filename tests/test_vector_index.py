@@ -50,3 +50,19 @@ def test_small(spark, rows):
     queries = spark.createDataFrame([(1, [2.0, 0.0]), (2, None)], "query_id long, query array<float>")
     found = index.search(queries, "query_id", "query").select("query_id", "vec_id", F.round("score", 6)).collect()
     assert [tuple(r) for r in found] == ([(1, 1, 1.0)] if rows and rows[0][1] else [])
+
+
+def test_chunks_of_cells_and_queries_give_the_same(spark, monkeypatch):
+    """Chunks of a few rows, with many copies, odd vectors and ties: what SQL's order gives; no cosine is taken row by row."""
+    for name, size in (("PER", 20), ("VECTORS", 7), ("QUERIES", 3), ("PAIRS", 16)):
+        monkeypatch.setattr(vector_index, name, size)
+    rows = clusters(300, 5) + [(1000 + k, [1.0, 2.0, 0.5, 0.0, -1.0, 3.0], 0) for k in range(60)]
+    odd = [(2000, [1e-20] * 6, 0), (2001, [0.0] * 6, 0), (2002, [1.0, None, 0.0, 0.0, 0.0, 0.0], 0), (2003, None, 0)]
+    df = spark.createDataFrame(rows + odd, SCHEMA)
+    asked = [*rows[::30], rows[-1], rows[-2], odd[0]]
+    queries = spark.createDataFrame([(i, v) for i, v, _ in asked], "query_id long, query array<float>")
+    index = VectorIndex.build(df, "embedding")
+    wanted = [(i, *r) for i, v, _ in asked for r in plain(df, v, 5)]
+    found = index.search(queries, "query_id", "query", 5, "vec_id")
+    assert sorted((r.query_id, r.vec_id, round(r.score, 9)) for r in found.collect()) == sorted(wanted)
+    assert "zip_with" not in found._jdf.queryExecution().toString()
