@@ -1,6 +1,8 @@
 import random
 from collections import defaultdict, deque
 
+from pyspark.sql import functions as F
+
 from skeinworks.operators import communities, graph, paths
 
 FLAGS = "id long, name string, flags array<string>"
@@ -128,3 +130,23 @@ def test_records(spark):
     assert build.user_edges(wanted, wanted).count() == 0
     items = build.todo_items(spark.createDataFrame([(1, "# plan\n- [x] one\n2. two\n* three\nfree text\n- ")], "o int, t string"), "o", "t")
     assert rows(items, "seq", "task", "priority") == [(1, "one", 10), (2, "two", 9), (3, "three", 8)]
+
+
+def test_shared_thrice_at_small_and_large_hubs(spark, monkeypatch):
+    """Small hubs: pairs are counted where they meet, no pair meets all its neighbours again. Large hubs: the same by filtering first."""
+    e = [(h, 1000 + k % 40) for h in range(60) for k in (h, 3 * h, 7 * h, 11 * h)]
+    found = graph.siblings(edges(spark, e), "callers", 3)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+    both = rows(found, "id", "other", "shared")
+    monkeypatch.setattr(graph, "MEETINGS", 0)
+    assert both and rows(graph.siblings(edges(spark, e), "callers", 3), "id", "other", "shared") == both
+    hubs = {}
+    for h, k in set(e):
+        hubs.setdefault(h, []).append(k)
+    counts = {}
+    for of in hubs.values():
+        for a in of:
+            for b in of:
+                if a != b:
+                    counts[a, b] = counts.get((a, b), 0) + 1
+    assert both == sorted((a, b, n) for (a, b), n in counts.items() if n >= 3)
