@@ -91,11 +91,16 @@ def contains_edges(binaries: DataFrame, functions: DataFrame) -> DataFrame:
 
 
 def user_edges(wanted: DataFrame, existing: DataFrame) -> DataFrame:
-    """New semantic edges (source_id, target_id, type, confidence): known types, weights within 0 and 1 (0.8 for none), none twice."""
-    known = [t for t, category, *_ in EDGE_TYPES if category == "semantic"]
+    """New semantic edges (source_id, target_id, type, confidence): known types, weights within 0 and 1 (0.8 for none), none twice.
+
+    Wanted and existing edges meet in one grouping by their ends and type. A null end meets none that exists.
+    """
+    known, key = [t for t, category, *_ in EDGE_TYPES if category == "semantic"], ["source_id", "target_id", "type"]
     weight = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce("confidence", F.lit(0.8))))
-    new = wanted.filter(F.col("type").isin(*known)).groupBy("source_id", "target_id", "type").agg(F.max(weight).alias("weight"))
-    return new.join(existing.select("source_id", "target_id", "type"), ["source_id", "target_id", "type"], "left_anti")
+    new = wanted.filter(F.col("type").isin(*known)).select(*key, weight.alias("weight"), F.lit(False).alias("there"))
+    old = existing.filter(F.col("type").isin(*known)).dropna(subset=key).select(*key, F.lit(None).cast("double").alias("weight"), F.lit(True).alias("there"))
+    both = new.unionByName(old).groupBy(*key).agg(F.max("weight").alias("weight"), F.bool_or("there").alias("there"))
+    return both.filter("not there").drop("there")
 
 
 def first_wins(pending: DataFrame, by: str = "seq") -> DataFrame:

@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 
 from skeinworks.functions.names import is_default
 from skeinworks.functions.texts import squeezed
+from skeinworks.sources.tables import stored
+
+#: Pairs that a join deals out together.
+DEALT = 1 << 18
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str, filled: list[str], replaced: list[str]) -> DataFrame:
@@ -82,6 +86,22 @@ def with_vulnerability(nodes: DataFrame, found: DataFrame) -> DataFrame:
     )
 
 
+def dealt_join(left: DataFrame, right: DataFrame, keys: list[str], by: str, pairs: int = DEALT) -> DataFrame:
+    """An inner join on `keys` dealt out by the number of its pairs, so that tasks grow in number with these and not in size.
+
+    A key with more than `pairs` pairs is cut into chunks: its left rows go to one each by the hash of `by`, its right ones to all.
+    """
+    n = left.groupBy(*keys).agg(F.count("*").alias("__l")).join(right.groupBy(*keys).agg(F.count("*").alias("__r")), keys)
+    n = n.select(*keys, (F.col("__l") * F.col("__r")).alias("__pairs"))
+    n, _ = stored(n.withColumn("__chunks", F.ceil(F.col("__pairs") / pairs).cast("int")), "pairs")
+    parts = (n.agg(F.sum("__pairs")).first()[0] or 0) // pairs + 1
+    chunks = n.drop("__pairs")
+    a = left.join(chunks, keys).withColumn("__chunk", F.pmod(F.xxhash64(by), F.col("__chunks")).cast("int")).drop("__chunks")
+    b = right.join(chunks, keys).withColumn("__chunk", F.explode(F.sequence(F.lit(0), F.col("__chunks") - 1))).drop("__chunks")
+    on = [*keys, "__chunk"]
+    return a.repartition(parts, *on).join(b.repartition(parts, *on), on).drop("__chunk")
+
+
 def intervals_containing(refs: DataFrame, at: str, spans: DataFrame, first: str, last: str, narrowest: int = 1) -> DataFrame:
     """Each ref with each span that contains it, both ends included, as an equi-join over whole numbers.
 

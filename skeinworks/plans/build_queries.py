@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinworks.functions import vectors
-from skeinworks.operators import build
+from skeinworks.operators import build, merge
 from skeinworks.plans.graph_queries import LAYER_CALLS, PARTS, chain_sql
 from skeinworks.sources import graph_tables as G
 from skeinworks.sources.tables import table
@@ -50,7 +50,7 @@ def user_edges(spark, sf_dir):
     """Customers and suppliers of one nation and balance class as related; what is there already is left out."""
     c = table(spark, sf_dir, "customer", "c_custkey", "c_nationkey", "c_acctbal").select(F.col("c_custkey").alias("source_id"), F.col("c_nationkey").alias("nation"), F.floor(F.col("c_acctbal") / 100).alias("class"), (F.col("c_acctbal") / 5000).alias("confidence"))
     s = table(spark, sf_dir, "supplier", "s_suppkey", "s_nationkey", "s_acctbal").select(F.col("s_suppkey").alias("target_id"), F.col("s_nationkey").alias("nation"), F.floor(F.col("s_acctbal") / 100).alias("class"))
-    wanted = c.join(s, ["nation", "class"]).select("source_id", "target_id", F.when(F.col("class") > 90, "CALLS").otherwise("RELATED_TO").alias("type"), F.when(F.col("class") >= 5, F.col("confidence")).alias("confidence"))
+    wanted = merge.dealt_join(c, s, ["nation", "class"], "source_id").select("source_id", "target_id", F.when(F.col("class") > 90, "CALLS").otherwise("RELATED_TO").alias("type"), F.when(F.col("class") >= 5, F.col("confidence")).alias("confidence"))
     existing = wanted.filter("confidence > 1.2").select("source_id", "target_id", "type")
     return build.user_edges(wanted, existing)
 

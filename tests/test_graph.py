@@ -150,3 +150,20 @@ def test_shared_thrice_at_small_and_large_hubs(spark, monkeypatch):
                 if a != b:
                     counts[a, b] = counts.get((a, b), 0) + 1
     assert both == sorted((a, b, n) for (a, b), n in counts.items() if n >= 3)
+
+
+def test_user_edges_deal_pairs_out(spark):
+    from skeinworks.operators import build, merge
+
+    left = spark.range(300, numPartitions=1).selectExpr("id as source_id", "if(id < 250, 1, id) as k", "'RELATED_TO' as type")
+    right = spark.range(80, numPartitions=1).selectExpr("id as target_id", "1L as k")
+    pairs = merge.dealt_join(left, right, ["k"], "source_id", 500)
+    assert pairs.distinct().count() == pairs.count() == 250 * 80
+    tasks = pairs.groupBy(F.spark_partition_id()).count().collect()
+    assert len(tasks) > 10 and max(r["count"] for r in tasks) < 5000  # one task made all 20 000
+    schema = "source_id long, target_id long, type string, confidence double"
+    wanted = spark.createDataFrame([(1, 2, "RELATED_TO", 3.0), (1, 2, "RELATED_TO", 0.2), (1, 3, "RELATED_TO", None), (None, 3, "DEPENDS_ON", -1.0), (4, 5, "CALLS", 0.5)], schema)
+    there = spark.createDataFrame([(1, 3, "RELATED_TO", None), (None, 3, "DEPENDS_ON", None), (9, 9, "RELATED_TO", None)], schema)
+    found = build.user_edges(wanted, there)
+    assert sorted(map(tuple, found.collect()), key=str) == [(1, 2, "RELATED_TO", 1.0), (None, 3, "DEPENDS_ON", 0.0)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0  # edges meet once
