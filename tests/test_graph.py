@@ -167,3 +167,23 @@ def test_user_edges_deal_pairs_out(spark):
     found = build.user_edges(wanted, there)
     assert sorted(map(tuple, found.collect()), key=str) == [(1, 2, "RELATED_TO", 1.0), (None, 3, "DEPENDS_ON", 0.0)]
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0  # edges meet once
+
+
+def test_labels_around_what_moved(spark, monkeypatch):
+    """Rounds around moved nodes give what rounds over all give; the pairs are made once."""
+    e = [(k, k + 1) for k in range(1, 9)] + [(k, k + 2) for k in range(100, 112)] + [(k % 7 + 200, k % 11 + 205) for k in range(50)]
+    of = lambda few: (monkeypatch.setattr(communities, "FEW", few), rows(communities.label_propagation(graph.calls(edges(spark, e))), "id", "label"))[1]
+    all_, some = of(10**9), of(0)
+    assert all_ == some
+    near, label = {}, {}
+    for a, b in set(e):
+        near.setdefault(a, []).append(b)
+        near.setdefault(b, []).append(a)
+    label = {k: k for k in near}
+    for _ in range(100):
+        votes = {k: [label[k], *(label[x] for x in near[k])] for k in near}
+        new = {k: min(set(v), key=lambda x: (-v.count(x), x)) for k, v in votes.items()}
+        if new == label:
+            break
+        label = new
+    assert some == sorted(label.items())
