@@ -7,15 +7,23 @@ count each. Ties in ranked lists go by the further columns given, else any comes
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from skeinworks.sources.tables import cut
+from skeinworks.sources.tables import cut, stored
 
 #: BM25's usual parameters, the boost of contents, and limits of a vector search.
 K1, B, BOOST = 1.2, 0.75, 2.0
 FLOOR, RELATIVE, MOST = 0.50, 0.95, 5
 CHUNK = 500
+#: Bytes of text whose words are counted together.
+HELD_BYTES = 4 << 20
 
 
 def tokens(text: Column) -> Column:
@@ -44,9 +52,44 @@ def chunks(df: DataFrame, id_col: str, text_col: str, delimiter: str = "\n\n", l
     return cut.select(id_col, "chunk_id", F.substring("__text", F.col("x.a") + 1, F.col("x.b") - F.col("x.a")).alias("content"))
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, tokens with a blank between two) to (id, n, terms)."""
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            part = batch.slice(at, max(1, int(np.searchsorted(ends, before + HELD_BYTES, "right")) - at))
+            at += part.num_rows
+            split = pc.split_pattern(part.column(1), " ")
+            words, owner = pc.list_flatten(split), pc.list_parent_indices(split)
+            some = pc.not_equal(words, "")
+            coded, owner = words.filter(some).dictionary_encode(), owner.filter(some).to_numpy().astype(np.int64)
+            width = max(1, len(coded.dictionary))
+            key, tf = np.unique(owner * width + coded.indices.to_numpy(), return_counts=True)
+            terms = pa.StructArray.from_arrays([coded.dictionary.take(pa.array(key % width)), pa.array(tf, pa.int32())], ["term", "tf"])
+            offsets = np.r_[0, np.cumsum(np.bincount(key // width, minlength=part.num_rows))]
+            n = np.bincount(owner, minlength=part.num_rows)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), terms)], ["id", "n", "terms"])
+
+
+def counted(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, n, terms) of each row: how many tokens it has, and its terms with their counts; counted where the row is."""
+    words = F.trim(F.regexp_replace(F.lower(F.coalesce(text_col, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
+    terms = StructType.fromDDL("n int, terms array<struct<term: string, tf: int>>")
+    schema = StructType([StructField("id", df.schema[id_col].dataType), *terms.fields])
+    return df.select(F.col(id_col).alias("id"), words.alias("words")).mapInArrow(_counted, schema)
+
+
 def postings(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(term, id, tf) of all terms: the inverted index."""
-    return df.select(id_col, F.explode(tokens(F.col(text_col))).alias("term")).groupBy("term", id_col).agg(F.count("*").alias("tf"))
+    """(term, id, tf) of all terms: the inverted index. Rows of one id are one document; only such rows are shuffled."""
+    each = counted(df, id_col, text_col).select(F.col("id").alias(id_col), F.inline("terms")).select("term", id_col, F.col("tf").cast("long").alias("tf"))
+    repeated, n = stored(df.groupBy(id_col).agg(F.count("*").alias("n")).filter("n > 1").select(F.col(id_col).alias("__id")), "repeated")
+    if not n:
+        return each
+    same = F.col(id_col).eqNullSafe(F.col("__id"))
+    summed = each.join(repeated, same, "left_semi").groupBy("term", id_col).agg(F.sum("tf").alias("tf"))
+    return each.join(repeated, same, "left_anti").unionByName(summed)
 
 
 def _is(term: str):

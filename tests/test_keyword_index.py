@@ -78,3 +78,16 @@ def test_small(spark, rows):
     assert len(searched(index, "a", 5)) == (1 if len(rows) == 3 else 0)
     index.apply(spark.createDataFrame([(7, "a")], SCHEMA))
     assert 7 in [r[0] for r in searched(index, "a", 5)] and index.totals()[0] == len(rows) + 1
+
+
+def test_terms_are_counted_where_rows_are(spark):
+    rows = [(1, "Ab ab, cd-ab 42"), (2, None), (3, ""), (4, "ÄB äb x"), (4, "x y"), (None, "z z"), (None, "z")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    counts = retrieval.counted(df, "id", "text")
+    assert "Exchange" not in counts._jdf.queryExecution().executedPlan().toString()  # words were shuffled to be counted
+    assert [r.n for r in counts.orderBy("id", "n").collect()] == [1, 2, 5, 0, 0, 2, 3]
+    plain = df.select("id", F.explode(retrieval.tokens(F.col("text"))).alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"))
+    found = retrieval.postings(df, "id", "text")
+    assert sorted(map(str, found.collect())) == sorted(map(str, plain.collect()))
+    some = df.filter("id < 4")
+    assert "Exchange" not in retrieval.postings(some, "id", "text")._jdf.queryExecution().executedPlan().toString()
