@@ -24,16 +24,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from skeinworks.operators.retrieval import B, BOOST, K1, tokens
+from skeinworks.operators.retrieval import B, BOOST, K1, counted
 from skeinworks.sources.tables import new_folder, stored
 
 #: Postings of a block, blocks that a search looks at to find its threshold, and blocks that it names one by one.
 BLOCK, FIRST, NAMED = 128, 64, 4000
 #: Postings of a part, about, and how many parts there are at least.
 PART, LEAST_PARTS = 1 << 20, 4
+#: Ids that may be broadcast.
+FEW = 1 << 20
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,8 +67,7 @@ class KeywordIndex:
     @classmethod
     def build(cls, df: DataFrame, id_col: str, text_col: str, folder: str | None = None) -> KeywordIndex:
         index = cls(df.sparkSession, folder or new_folder(df.sparkSession, "keywords"))
-        entries = index._entries(df, id_col, text_col)
-        index._generation(0, entries, entries, None)
+        index._generation(0, *index._forward(0, counted(df, id_col, text_col)))
         index._commit([0])
         return index
 
@@ -93,63 +94,60 @@ class KeywordIndex:
         last = self.spark.read.parquet(f"{self.folder}/manifest").agg(F.max("v")).first()[0] if there else -1
         self.spark.range(1).select(F.array(*map(F.lit, gens)).cast("array<int>").alias("gens")).write.parquet(f"{self.folder}/manifest/v={last + 1}")
 
-    @staticmethod
-    def _entries(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-        """(id, n, terms) of documents; terms with their counts."""
-        words = df.select(F.col(id_col).alias("id"), F.uuid().alias("row"), tokens(F.col(text_col)).alias("words"))
-        words, _ = stored(words, "words")  # so that rows keep their names
-        each = words.select("row", F.explode("words").alias("term")).groupBy("row", "term").agg(F.count("*").cast("int").alias("tf"))
-        terms = each.groupBy("row").agg(F.collect_list(F.struct("term", "tf")).alias("terms"))  # one document
-        none = F.array().cast("array<struct<term: string, tf: int>>")
-        entries, _ = stored(words.select("id", "row", F.size("words").alias("n")).join(terms, "row", "left").select("id", "n", F.coalesce("terms", none).alias("terms")), "entries")
-        return entries
-
-    def _generation(self, gen: int, live: DataFrame, changes: DataFrame, gone: DataFrame | None, removed: DataFrame | None = None) -> None:
-        """Writes a generation: postings and forward rows of `live`; differences for `changes` coming and `gone` going."""
+    def _forward(self, gen: int, entries: DataFrame) -> tuple[DataFrame, int]:
+        """Writes the forward rows (id, n, terms) of a generation; these, and how many postings they make."""
+        seen, path = Observation(), f"{self.folder}/gen={gen}/forward"
+        entries.observe(seen, F.sum(F.size("terms")).alias("n")).write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(entries.schema).parquet(path), seen.get["n"] or 0
+
+    def _generation(self, gen: int, live: DataFrame, n_postings: int, gone: DataFrame | None = None, removed: DataFrame | None = None) -> None:
+        """Writes what belongs to the forward rows `live` of a generation: postings, and differences for these coming and `gone` going."""
         path = f"{self.folder}/gen={gen}"
         kind = live.schema["id"].dataType.simpleString()
         postings = live.select("id", "n", F.inline("terms")).select("term", "id", "tf", "n")
-        weight = F.col("tf") / (F.col("tf") + K1 + F.col("n") / 100)  # any falling order is right, this one keeps bounds tight
-        parts = max(LEAST_PARTS, (live.agg(F.sum(F.size("terms"))).first()[0] or 0) // PART)
-        dealt = postings.withColumn("weight", -weight).repartitionByRange(parts, "term", "weight").sortWithinPartitions("term", "weight", "id")
+        weight = -F.col("tf") / (F.col("tf") + K1 + F.col("n") / 100)  # any falling order is right, this one keeps bounds tight
+        dealt = postings.repartitionByRange(max(LEAST_PARTS, n_postings // PART), F.col("term"), weight).sortWithinPartitions("term", weight, "id")
         schema = f"term string, block long, most_tf int, least_n int, ids array<{kind}>, tfs array<int>, ns array<int>, part int"
-        dealt.select("term", "id", "tf", "n").mapInArrow(_blocks, schema).write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
+        dealt.mapInArrow(_blocks, schema).write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
         written = self.spark.read.schema(schema).parquet(f"{path}/postings")
         written.groupBy("part").agg(F.min("term").alias("first"), F.max("term").alias("last")).coalesce(1).write.mode("overwrite").parquet(f"{path}/ranges")
-        live.write.mode("overwrite").parquet(f"{path}/forward")
-        both = changes.withColumn("sign", F.lit(1).cast("long"))
+        both = live.withColumn("sign", F.lit(1).cast("long"))
         if gone is not None:
-            both = both.unionByName(gone.withColumn("sign", F.lit(-1).cast("long")))
+            gone, _ = stored(gone.withColumn("sign", F.lit(-1).cast("long")), "gone")
+            both = both.unionByName(gone)
         both.select("sign", F.inline("terms")).groupBy("term").agg(F.sum("sign").alias("df")).filter("df != 0").write.mode("overwrite").parquet(f"{path}/terms")
         both.agg(F.sum("sign").alias("docs"), F.sum(F.col("sign") * F.col("n")).alias("words")).write.mode("overwrite").parquet(f"{path}/totals")
         (removed if removed is not None else live.select("id").filter("false")).write.mode("overwrite").parquet(f"{path}/removed")
 
     def _live(self, rows: DataFrame) -> DataFrame:
         """Rows (id, gen) without those that a later generation has removed."""
-        dead = self._all("removed").groupBy(F.col("id").alias("dead")).agg(F.max("gen").alias("until"))
-        return rows.join(dead, F.col("id").eqNullSafe(F.col("dead")) & (F.col("gen") < F.col("until")), "left_anti")
+        dead = self._all("removed")
+        few = dead.count() <= FEW  # few ids go to where the rows are
+        dead = dead.groupBy(F.col("id").alias("dead")).agg(F.max("gen").alias("until"))
+        return rows.join(F.broadcast(dead) if few else dead, F.col("id").eqNullSafe(F.col("dead")) & (F.col("gen") < F.col("until")), "left_anti")
 
     # Upkeep
 
     def apply(self, changed: DataFrame | None, deleted: DataFrame | None = None, id_col: str = "id", text_col: str = "text") -> None:
         """New and edited documents (id, text), and ids of those that go, as one new generation."""
         gens = self.generations()
+        gen = max(gens) + 1
         none = self._read(gens[0], "forward").drop("gen").filter("false")
-        entries = self._entries(changed, id_col, text_col) if changed is not None else none
-        ids = entries.select("id")
+        live, n_postings = self._forward(gen, counted(changed, id_col, text_col) if changed is not None else none)
+        ids = live.select("id")
         if deleted is not None:
             ids = ids.unionByName(deleted.select(F.col(id_col).alias("id")))
-        removed, _ = stored(ids.distinct(), "removed")
-        old = self._live(self._all("forward")).join(removed.select(F.col("id").alias("out")), F.col("id").eqNullSafe(F.col("out")), "left_semi").drop("gen")
-        self._generation(max(gens) + 1, entries, entries, old, removed)
-        self._commit([*gens, max(gens) + 1])
+        removed, n = stored(ids.distinct(), "removed")
+        out = removed.select(F.col("id").alias("out"))
+        old = self._all("forward").join(F.broadcast(out) if n <= FEW else out, F.col("id").eqNullSafe(F.col("out")), "left_semi")
+        self._generation(gen, live, n_postings, self._live(old).drop("gen"), removed)
+        self._commit([*gens, gen])
 
     def merge(self) -> None:
         """All generations as one: dead postings go, parts are made anew by ranges of terms."""
-        gens = self.generations()
-        live, _ = stored(self._live(self._all("forward")).drop("gen"), "live")
-        self._generation(max(gens) + 1, live, live, None)
-        self._commit([max(gens) + 1])
+        gen = max(self.generations()) + 1
+        self._generation(gen, *self._forward(gen, self._live(self._all("forward")).drop("gen")))
+        self._commit([gen])
 
     # Search
 
