@@ -207,15 +207,15 @@ def vulnerable_via(pairs: DataFrame, nodes: DataFrame, entries: DataFrame, hops:
     return found.select(F.col("seed").alias("source_id"), F.col("node").alias("target_id"), "hops", "vulnerability_type")
 
 
-def calls_vulnerable(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """CALLS_VULNERABLE edges: calls of a node with a vulnerability flag."""
+def calls_vulnerable(edges: DataFrame, nodes: DataFrame, unique: bool = False) -> DataFrame:
+    """CALLS_VULNERABLE edges: calls of a node with a vulnerability flag. unique: no call comes twice."""
     bad = nodes.filter(is_vulnerable(F.col("flags"))).select(F.col("id").alias("target_id"), vulnerability_type(F.col("flags")).alias("vulnerability_type"))
-    return calls(edges).join(bad, "target_id").select("source_id", "target_id", F.lit("CALLS_VULNERABLE").alias("type"), "vulnerability_type")
+    return calls(edges, unique=unique).join(bad, "target_id").select("source_id", "target_id", F.lit("CALLS_VULNERABLE").alias("type"), "vulnerability_type")
 
 
-def propagate(edges: DataFrame, nodes: DataFrame, flag: str = "CALLS_VULNERABLE_FUNCTION") -> DataFrame:
+def propagate(edges: DataFrame, nodes: DataFrame, flag: str = "CALLS_VULNERABLE_FUNCTION", unique: bool = False) -> DataFrame:
     """`nodes` in which each direct caller of a vulnerable node has the flag, once."""
-    hit = calls_vulnerable(edges, nodes).select(F.col("source_id").alias("id")).distinct().withColumn("hit", F.lit(True))
+    hit = calls_vulnerable(edges, nodes, unique).select(F.col("source_id").alias("id")).distinct().withColumn("hit", F.lit(True))
     more = F.when(F.coalesce("hit", F.lit(False)), F.array_union("flags", F.array(F.lit(flag)))).otherwise(F.col("flags"))
     return nodes.join(hit, "id", "left").withColumn("flags", more).drop("hit")
 

@@ -4,6 +4,7 @@ from collections import defaultdict, deque
 from pyspark.sql import functions as F
 
 from skeinworks.operators import communities, graph, paths
+from skeinworks.sources import graph_tables
 
 FLAGS = "id long, name string, flags array<string>"
 
@@ -187,3 +188,18 @@ def test_labels_around_what_moved(spark, monkeypatch):
             break
         label = new
     assert some == sorted(label.items())
+
+
+def test_layer_calls_are_dealt_out_by_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(graph_tables, "LINES", 50, raising=False)
+    lines = [(k // 4, k % 7, k % 3) for k in range(2000)]
+    lines = spark.createDataFrame(lines + lines, "l_orderkey long, l_partkey long, l_suppkey long")
+    orders = spark.createDataFrame([(k % 9, k) for k in range(500)] * 2, "o_custkey long, o_orderkey long")
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    found = graph_tables.layer_calls(spark, str(tmp_path), unique=True)
+    assert found.count() == found.distinct().count() == 500 + lines.select("l_orderkey", "l_partkey").distinct().count() + lines.select("l_orderkey", "l_suppkey").distinct().count()
+    most = found.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert most <= 200
+    degrees = lambda **unique: rows(graph.degrees(found, **unique), "id", "n_callers", "n_callees")
+    assert degrees(unique=True) == degrees()
