@@ -5,31 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from skeinworks.llm import bpe, exact_dedup, language_id, mixing, queries, simhash_dedup
-from skeinworks.llm.common import written
+from skeinworks.llm.common import small_batches, written
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the model tells. Null texts and texts without a letter go, as it tells none."""
+    small_batches(spark)
     return language_id.keep_identified(docs)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts that are equal without white space the longest, then that of the smallest id, null ids last."""
+    small_batches(spark)
     return exact_dedup.drop_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by a similarity of 0.8 on five-word shingles, that of the smallest id, null ids last."""
+    small_batches(spark)
     return simhash_dedup.drop_similar(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, up to twice; the null source is one of its own."""
+    small_batches(spark)
     return mixing.mixed_documents(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Per document its id, number of tokens and the hashes of ids and of the decoded text; a null text is empty."""
+    small_batches(spark)
     return bpe.encode_documents(docs, queries.vocabulary_path())
 
 

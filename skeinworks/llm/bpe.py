@@ -27,12 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skeinworks.llm.common import slices
 from skeinworks.llm.pretokens import pieces
 
 #: Pieces and pairs of tokens that a worker remembers; beyond, it starts anew.
-KEPT_PIECES = 300_000
-KEPT_PAIRS = 600_000
+KEPT_PIECES = 100_000
+KEPT_PAIRS = 150_000
 LONGEST_KEPT = 64
+#: Rows and bytes of text whose ids and decoded texts a worker holds at a time; a longer text by itself.
+ROWS, HELD_BYTES = 256, 4 << 20
 
 
 def byte_signs() -> dict[str, int]:
@@ -154,7 +157,7 @@ def encode_documents(df: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(vocabulary)
         names = [f.split()[0] for f in schema.split(", ")]
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1, ROWS, HELD_BYTES)):
             ids = [bpe.encode(t.as_py() or "") for t in batch.column(1)]
             back = [bpe.decode(i) for i in ids]
             columns = [

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = r"[\x20\x09-\x0D]+"
+#: Rows with whole texts that go to a Python worker at a time.
+BATCH_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -79,6 +81,13 @@ def slices(batch: pa.RecordBatch, column: int, rows: int = 256, size: int = 32 <
         at += n
 
 
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """From now on the session hands Python `rows` rows at a time at most: whole texts are long, and a worker holds a batch several times over."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

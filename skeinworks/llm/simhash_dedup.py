@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skeinworks.llm.blocks import linked, masks_for, meetings, nodes, scattered, tiles
-from skeinworks.llm.common import row_hash, shuffle_partitions, written
+from skeinworks.llm.common import row_hash, shuffle_partitions, slices, written
 from skeinworks.llm.components import connected_components
 from skeinworks.llm.gray_index import GrayIndex, forest, gray_rank
 
@@ -177,7 +177,7 @@ def _prints(words: int):
     """(key, size, whole, parts) of the texts (key, text): distinct shingles, SimHash of all, SimHashes of samples."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             sizes, wholes, parts = [], [], []
             for text in batch.column(1):
                 found = shingles(text.as_py(), words)
@@ -195,7 +195,7 @@ def _sets(words: int):
     """(key, found) of the texts (key, text): distinct shingles, ascending."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             found = [np.unique(shingles(t.as_py(), words)).view(np.int64) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["key", "found"])
 

@@ -108,3 +108,15 @@ def test_run(spark):
     found = corpus_pipeline.run(spark, DATA)
     assert {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"} <= set(found.columns) and found.count() > 0
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
+
+
+def test_stages_hand_python_few_texts_at_a_time(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, 10000)
+        docs = spark.createDataFrame([(1, "a text"), (2, None)], "doc_id long, text string")
+        assert corpus_pipeline.encode(spark, docs, "").count() == 2
+        assert int(spark.conf.get(name)) <= 1000
+    finally:
+        spark.conf.set(name, before)
